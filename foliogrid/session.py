@@ -25,6 +25,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; only Spark's reader touches the path."""
+    # Python workers import this package from where the driver has it, if that folder is there
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
