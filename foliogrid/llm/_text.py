@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import DataType, StructField, StructType
 
 U = np.uint64
 #: Bytes that one step works on; a longer row is a step of its own, hashed in blocks.
@@ -161,3 +162,8 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 def list_array(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def wider(schema: StructType, **fields: str) -> StructType:
+    """A copy of the schema with further fields."""
+    return StructType([*schema.fields, *(StructField(name, DataType.fromDDL(kind)) for name, kind in fields.items())])
