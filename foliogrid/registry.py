@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from foliogrid.session import table
+from foliogrid import plans
+from foliogrid.plans import base
+
+for _module in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
+    importlib.import_module(f"foliogrid.plans.{_module}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"))
+    """Evidence for a question: indexed, ranked and blended."""
+    return base.QUERIES["t07_hybrid_evidence"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
