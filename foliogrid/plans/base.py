@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliogrid.session import table
 
@@ -69,13 +70,14 @@ blocks as (
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs on pages: an order is a page, a line item a glyph; boxes, fonts and characters follow from keys."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    items = table(spark, sf_dir, "lineitem").withColumn("i", F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"))
+    return items.selectExpr(
         "l_orderkey as page_num",
-        "l_linenumber as idx",
-        "concat('g', l_orderkey, '_', l_linenumber) as node_id",
-        "cast(l_linenumber * 12 + l_partkey % 5 as double) as x0",
+        "i as idx",
+        "concat('g', l_orderkey, '_', i) as node_id",
+        "cast(i * 12 + l_partkey % 5 as double) as x0",
         "cast(100 + l_suppkey % 9 as double) as y0",
-        "cast(l_linenumber * 12 + l_partkey % 5 + 4 + l_partkey % 7 as double) as x1",
+        "cast(i * 12 + l_partkey % 5 + 4 + l_partkey % 7 as double) as x1",
         "cast(100 + l_suppkey % 9 + 6 + l_suppkey % 4 as double) as y1",
         "cast(8 + l_suppkey % 4 as double) as size",
         "concat(case when l_partkey % 3 = 0 then 'ABCDEF+' else '' end, element_at(array('CMR10', 'CMMI10', 'Times', 'Symbol'), cast(l_partkey % 4 + 1 as int))) as font",
@@ -86,14 +88,14 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GLYPHS = """
 glyphs as (
-  select l_orderkey as page_num, l_linenumber as idx, 'g' || l_orderkey || '_' || l_linenumber as node_id,
-         (l_linenumber * 12 + l_partkey % 5)::double as x0, (100 + l_suppkey % 9)::double as y0,
-         (l_linenumber * 12 + l_partkey % 5 + 4 + l_partkey % 7)::double as x1, (100 + l_suppkey % 9 + 6 + l_suppkey % 4)::double as y1,
+  select l_orderkey as page_num, i::int as idx, 'g' || l_orderkey || '_' || i as node_id,
+         (i * 12 + l_partkey % 5)::double as x0, (100 + l_suppkey % 9)::double as y0,
+         (i * 12 + l_partkey % 5 + 4 + l_partkey % 7)::double as x1, (100 + l_suppkey % 9 + 6 + l_suppkey % 4)::double as y1,
          (8 + l_suppkey % 4)::double as size,
          case when l_partkey % 3 = 0 then 'ABCDEF+' else '' end || ['CMR10', 'CMMI10', 'Times', 'Symbol'][(l_partkey % 4 + 1)::int] as font,
          (l_partkey % 50)::int as cid,
          case when l_partkey % 11 = 0 then '' when l_partkey % 13 = 0 then 'cid:' || (l_partkey % 50) else substr('abcxyz=+-123', (l_partkey % 12 + 1)::int, 1) end as text
-  from lineitem)
+  from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i from lineitem))
 """
 
 
