@@ -19,6 +19,8 @@ each other in order of their texts; null ids come first; an empty table gives no
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,9 +36,9 @@ from foliogrid.session import cut, small
 
 SEGMENT = 1 << 20
 HINT = 64
-#: Words whose ids a worker remembers (some 30 bytes each).
-REMEMBERED = 1_500_000
-_STEP = 1 << 22
+#: Words whose ids a worker remembers (some 150 bytes each); past it, it starts anew.
+REMEMBERED = 500_000
+_STEP = 1 << 20
 
 
 class EliasFano:
@@ -81,6 +83,31 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) + (low << np.arange(self.low_bits)).sum(axis=1)
 
 
+#: A pre-tokenizer's pattern, which ends a piece between an ASCII letter and other ASCII characters but digits, either way round but behind "'".
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes by kind: white space, letter, other character of ASCII, "'", what has no sure bound.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[0x21:0x30] = _KIND[0x3A:0x41] = _KIND[0x5B:0x61] = _KIND[0x7B:0x7F] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+_KIND[0x27], _KIND[0x20], _KIND[0x09:0x0E] = 3, 0, 0
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, lower: bool) -> T.Words:
+    """Words cut further where any tokenizer of ``_PIECES`` ends a piece."""
+    kind = _KIND[data]
+    n = len(kind)
+    last, now = kind[:-1], kind[1:]
+    cut = np.zeros(n + 1, bool)  # a bound before this byte
+    cut[1:n] = ((last == 1) & ((now == 2) | (now == 3))) | ((last == 2) & (now == 1))
+    cut[offsets] = True
+    word = kind != 0
+    s, e = word.copy(), word.copy()
+    s[1:] &= cut[1:n] | ~word[:-1]
+    e[:-1] &= cut[1:n] | ~word[1:]
+    starts, ends = np.flatnonzero(s), np.flatnonzero(e) + 1
+    return T.Words(data, starts, ends, T.hash_spans(data, starts, ends, lower), np.searchsorted(starts, offsets))
+
+
 class Encoder:
     """Token ids of texts; tokenizers that drop white space are asked once for each distinct word."""
 
@@ -89,32 +116,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
+        made = json.loads(self.tokenizer.to_str())
+        steps = (made.get("normalizer") or {}).get("normalizers") or [made.get("normalizer") or {}]
+        self.lower = any(x.get("type") == "Lowercase" for x in steps)
+        splits = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [made.get("pre_tokenizer") or {}]
+        suffix = made["model"].get("end_of_word_suffix")
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        if suffix:
+            self.word_end[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self.cuts = (splits[0].get("pattern") or {}).get("Regex") == _PIECES
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         mark = next((t.content for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized), None)
         self.mark, self.mark_id = mark, self.tokenizer.token_to_id(mark) if mark else None
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.at, self.flat = np.zeros(0, T.U), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.place: dict[int, int] = {}  # of a word's hash in what follows
+        self.counts, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint16 if self.size <= 1 << 16 else np.uint32)
 
     def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _ask(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word: many words in one text with a special token between them."""
-        if self.mark is None:
-            return [np.array(self._plain(w.decode()), np.uint32) for w in words]
-        out: list[np.ndarray] = []
-        mark = self.mark.encode()
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has."""
+        texts = [w.decode() for w in words]
+        plain = [t.isalpha() and (t.isascii() or unicodedata.normalize("NFC", t).lower().isalpha()) for t in texts] if self.cuts and self.word_end.any() else [False] * len(words)
+        # words of letters alone are a piece each and show in the ids where they end
+        counts, flat = np.zeros(len(words), np.int64), np.zeros(0, np.uint32)
+        letters = np.flatnonzero(plain)
+        if len(letters):
+            flat = np.array(self._plain(" ".join(texts[i] for i in letters)), np.uint32)
+            ends = np.flatnonzero(self.word_end[flat])
+            if len(ends) == len(letters) and ends[-1] == len(flat) - 1:
+                counts[letters] = np.diff(ends, prepend=-1)
+            else:
+                letters, flat = letters[:0], flat[:0]
+        rest = np.setdiff1d(np.arange(len(words)), letters, assume_unique=True)
+        if len(rest):
+            other, n = self._ask_apart([words[i] for i in rest])
+            counts[rest] = n
+            own = np.zeros(len(words), bool)
+            own[rest] = True
+            out = np.empty(len(flat) + len(other), np.uint32)
+            side = np.repeat(own, counts)
+            out[side], out[~side] = other, flat
+            return out, counts
+        return flat, counts
+
+    def _ask_apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has: many words in one text with a special token between them."""
+        mark = self.mark.encode() if self.mark else b""
+        odd = {i for i, w in enumerate(words) if not mark or mark in w}
+        out, counts = [], np.zeros(len(words), np.int64)
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            ids = np.array(self._plain((b" " + mark + b" ").join(b"" if mark in w else w for w in part).decode()), np.uint32)
-            split = np.split(ids, np.flatnonzero(ids == self.mark_id))
-            split = [split[0], *[x[1:] for x in split[1:]]]
-            if len(split) != len(part):
-                raise ValueError("the special token doesn't separate words")
-            out += [np.array(self._plain(w.decode()), np.uint32) if mark in w else x for w, x in zip(part, split, strict=True)]
-        return out
+            if not any(i + j in odd for j in range(len(part))):
+                ids = np.array(self._plain((b" " + mark + b" ").join(part).decode()), np.uint32)
+                ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+                if len(ends) != len(part):
+                    raise ValueError("the special token doesn't separate words")
+                counts[i : i + len(part)] = np.diff(ends, prepend=-1) - 1
+                out.append(ids[ids != self.mark_id])
+            else:
+                for j, w in enumerate(part):
+                    ids = np.array(self._plain(w.decode()), np.uint32)
+                    counts[i + j] = len(ids)
+                    out.append(ids)
+        return np.concatenate(out), counts
+
+    def _places(self, own: np.ndarray, word) -> np.ndarray:
+        """Where the ids of words with these hashes are kept; new ones are asked for, ``word(i)`` being the i-th."""
+        get = self.place.get
+        at = np.array([get(h, -1) for h in own.tolist()], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.place) + len(new) > REMEMBERED and len(self.place):
+                self.forget()
+                return self._places(own, word)
+            ids, counts = self._ask([word(i) for i in new])
+            at[new] = len(self.counts) + np.arange(len(new))
+            self.place.update(zip(own[new].tolist(), at[new].tolist(), strict=True))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
+            self.counts = np.concatenate([self.counts, counts])
+            self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+        return at
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with the end id behind it; the rows' bounds in them."""
@@ -124,32 +210,22 @@ class Encoder:
             each = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)
             parts = [np.array([*e.ids, end_id], np.uint32) for e in each]
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        w = T.split_words(data, offsets, T.SPACED, lower=False)
+        marked = self.mark is not None and self.mark.encode() in data.tobytes()
+        special = marked or b"<|" in data.tobytes()
+        # special tokens stand for themselves, in their own spelling
+        w = _pieces(data, offsets, self.lower) if self.cuts and not special else T.split_words(data, offsets, T.SPACED, lower=self.lower and not special)
         own, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, own), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[at] != own) if len(self.known) else np.arange(len(own))
-        if len(new):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.forget()
-                new = np.arange(len(own))
-            asked = self._ask([w.word(i) for i in first[new]])
-            keys = np.concatenate([self.known, own[new]])
-            counts = np.concatenate([np.diff(self.at), [len(x) for x in asked]]).astype(np.int64)
-            begin = np.concatenate([self.at[:-1], len(self.flat) + np.cumsum(counts[len(self.known) :]) - counts[len(self.known) :]])
-            flat = np.concatenate([self.flat, *asked])
-            order = np.argsort(keys)
-            self.known, counts = keys[order], counts[order]
-            self.at = np.concatenate([[0], np.cumsum(counts)])
-            self.flat = flat[np.repeat(begin[order] - self.at[:-1], counts) + np.arange(self.at[-1])]
-            at = np.searchsorted(self.known, own)
-        count, begin = (self.at[at + 1] - self.at[at])[inverse], self.at[at][inverse]
+        at = self._places(own, lambda i: w.word(first[i]))[inverse]
+        count, begin = self.counts[at], self.begin[at]
         # place of each word's ids: an end id follows each row
         row = np.repeat(np.arange(rows), np.diff(w.first))
         start = np.cumsum(count) - count + row
-        bounds = np.concatenate([[0], np.cumsum(np.concatenate([[0], np.cumsum(count)])[w.first[1:]] - np.concatenate([[0], np.cumsum(count)])[w.first[:-1]] + 1)])
+        before = np.concatenate([[0], np.cumsum(count)])[w.first]
+        bounds = before + np.arange(rows + 1)
         out = np.full(bounds[-1], end_id, np.uint32)
-        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        out[np.repeat(start, count) + step] = self.flat[np.repeat(begin, count) + step]
+        ids = np.arange(int(before[-1]))
+        first_id = np.cumsum(count) - count
+        out[ids + np.repeat(start - first_id, count)] = self.flat[ids + np.repeat(begin - first_id, count)]
         return out, bounds
 
 

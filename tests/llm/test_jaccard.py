@@ -76,6 +76,6 @@ def test_odd_rows(spark, odd, empty):
 
 
 def test_boundary_follows_cost():
-    long = [(200, 10, 5.0)]
+    long = [(200, 10_000, 5.0)]
     alone, shared, crowded = ([(n, 1000, x) for n in range(9, 30)] + long for x in (0.0, 0.8, 9.0))
     assert J.choose_boundary(alone, 90) == 0 and 20 <= J.choose_boundary(shared, 90) <= 29 and J.choose_boundary(crowded, 90) < 20
