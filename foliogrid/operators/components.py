@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliogrid.session import cut
 
+EDGES_A_TASK = 100_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node in an edge; component is its smallest reachable node.
@@ -23,17 +25,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     e = cut(e)
+    # few edges need few tasks: each writes a file for each shuffle
+    parts = e.count() // EDGES_A_TASK + 1
+    e = e.coalesce(parts)
     nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     e = e.where("u <> v")
     last = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts)
+        e = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
         # small star over (u > v)
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = cut(e)
+        least = e.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        e = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").coalesce(parts).distinct()
+        e = cut(e.coalesce(parts))
         # a forest of stars: no parent is itself a child; the sum guards against endless change
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if tuple(now) == last:
