@@ -100,10 +100,10 @@ glyphs as (
 
 
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formula candidates: a part is one, with LaTeX, stage and scores that follow from its key; eight in a row make a group."""
+    """Formula candidates: a part is one, with LaTeX, stage and scores that follow from its key; three in a row make a group."""
     return table(spark, sf_dir, "part").selectExpr(
         "p_partkey as result_id",
-        "p_partkey div 8 as candidate_id",
+        "p_partkey div 3 as candidate_id",
         """element_at(array(
              concat('\\\\frac{', p_size, '}{x_', p_partkey % 7, '} + \\\\alpha'),
              concat('\\\\mathbf{A}^{', p_size, '} = \\\\sum_{i=', p_partkey % 5, '} b_i'),
@@ -125,7 +125,7 @@ def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FORMULAS = r"""
 formulas as (
-  select p_partkey as result_id, (p_partkey // 8)::bigint as candidate_id,
+  select p_partkey as result_id, (p_partkey // 3)::bigint as candidate_id,
     [ '\frac{' || p_size || '}{x_' || (p_partkey % 7) || '} + \alpha',
       '\mathbf{A}^{' || p_size || '} = \sum_{i=' || (p_partkey % 5) || '} b_i',
       '$x_' || (p_partkey % 9) || ' − ' || p_size || '$',
