@@ -9,13 +9,13 @@ size - a + k elements share k elements at least.
   are compared only if they share such a subset.
 * Heavy sets put the (size - a + 1)-prefix into inverted lists, and so do light sets large enough to link with
   one; lists are scanned for partners.
-* The boundary is the size at which the enumerated subsets plus the scanned list entries cost least,
-  from the histogram of sizes and the measured lengths of the lists.
+* The boundary is the size at which enumerating subsets below it plus scanning lists above it costs least,
+  from the histogram of sizes and the list entries that sets of each size share with others.
 
 Equal sets are one class before any join. A list is never turned into all its pairs: in each round its
-first members (1, then 8, 64, ...) are compared with the others and leave it, and a list whose
+first members (1, then 16, 256, ...) are compared with the others and leave it, and a list whose
 members are all connected is done. Every pair is thus either compared exactly or known to be in one
-component; sizes that can't link are skipped. Comparison is an exact intersection of whole sets.
+component; pairs whose sizes and places in the list rule out a link are skipped. Comparison is an exact intersection of whole sets.
 
 Defined results: words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased; a text with fewer words
 than n is one n-gram; null, empty and blank texts have empty sets, link with nothing and are
@@ -40,6 +40,10 @@ from foliogrid.session import cut, small
 N, PERCENT = 3, 90
 #: Frequent n-grams that are ordered by frequency and broadcast (16 bytes each); any others are ordered by length.
 FREQUENT = 250_000
+#: What a pair to compare costs, in list entries or enumerated subsets: it is shuffled twice with prefixes.
+PAIR = 10
+#: Pairs that one task compares, or so: few pairs need few tasks, each of which writes a file for each shuffle.
+PAIRS_A_TASK, ENTRIES_A_TASK = 20_000, 50_000
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -149,21 +153,51 @@ def _whole_sets(texts: DataFrame, n: int) -> DataFrame:
 
 
 def choose_boundary(histogram: list[tuple[int, int, float]], percent: int) -> int:
-    """The size up to which sets enumerate subsets, from (size, sets, list entries that one scan of such a set's prefix reads)."""
+    """The size up to which sets enumerate subsets, from (size, sets, list entries of such a set that others share).
+
+    A heavy set costs its prefix's entries, and ``PAIR`` for each that others share, as it is compared with what leads that list.
+    A light set costs its subsets, and ``PAIR`` for those made of two entries that others share.
+    """
     best, least = 0, math.inf
+    largest = max((size for size, _, _ in histogram), default=0)
     for bound in [0, *sorted({size for size, _, _ in histogram})]:
         cost = 0.0
-        for size, sets, scanned in histogram:
+        for size, sets, shared in histogram:
             p = size - -(-percent * size // 100) + 1
             if size <= bound:
-                cost += sets * math.comb(min(p + 1, size), 2)
-            if size > bound or 100 * size >= percent * (bound + 1):
-                cost += sets * (p + scanned)
+                cost += sets * (math.comb(min(p + 1, size), 2) + PAIR * shared * shared / 2)
+            if size > bound or 100 * size >= percent * (bound + 1) and bound < largest:
+                cost += sets * (p + PAIR * shared)
         if cost < least:
             best, least = bound, cost
     return best
 
 
+def _links(pairs: DataFrame, prefix: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (a, b) of pairs (node, pivot) whose sets have Jaccard >= percent / 100.
+
+    What two sets share is in both prefixes or behind the one that ends first, so c shared elements of the
+    prefixes bound the intersection by c + the longer rest. Only pairs that pass fetch whole sets.
+    """
+    asked = small(pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct())
+    own = prefix.join(asked, "node", "left_semi").select("node", "size", "p", F.slice("grams", F.lit(1), F.col("p")).alias("grams"))
+    parts = pairs.count() // PAIRS_A_TASK + 1
+    own = own.coalesce(parts)
+    other = own.select(*[F.col(c).alias(f"pivot_{c}" if c != "node" else "pivot") for c in own.columns])
+    near = pairs.join(own, "node").join(other, "pivot").withColumn("both", F.size(F.array_intersect("grams", "pivot_grams")))
+    near = near.where(F.expr(f"(both + greatest(size - p, pivot_size - pivot_p)) * {100 + percent} >= {percent} * (size + pivot_size)"))
+    near = cut(near.select("node", "pivot").coalesce(parts))
+    involved = near.select(F.explode(F.array("node", "pivot")).alias("node")).distinct().join(classes.select("node", "h1", "h2", "least"), "node")
+    involved = cut(involved.coalesce(parts))
+    wanted = small(involved.select(F.col("least").alias("wanted")).distinct())
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    known = _whole_sets(texts.select("text"), n)
+    sets = cut(known.join(small(involved.select("h1", "h2", "node")), ["h1", "h2"]).groupBy("node").agg(F.first("grams").alias("grams")).coalesce(parts))
+    other = sets.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
+    compared = near.join(sets, "node").join(other, "pivot").withColumn("both", F.size(F.array_intersect("grams", "pivot_grams")))
+    return compared.where(F.expr(f"100 * both >= {percent} * (size(grams) + size(pivot_grams) - both)")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each document."""
     spark = docs.sparkSession
@@ -179,49 +213,49 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # sizes at which two different sets can link: with one element more, or one less
     prefix = classes.where(F.expr(f"size * 100 >= {percent} * (size + 1) or size * {percent} <= 100 * (size - 1)")).withColumn("p", F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)"))
 
-    entries = prefix.select("node", "size", F.explode(F.slice("grams", F.lit(1), F.col("p"))).alias("key"))
-    lists = entries.groupBy("key").agg(F.count("*").alias("entries")).where("entries > 1")
-    shared = cut(entries.join(lists, "key"))
-    read = shared.groupBy("size").agg(F.sum("entries").alias("read"))
-    histogram = [(r[0], r[1], (r[2] or 0) / r[1]) for r in prefix.groupBy("size").count().join(read, "size", "left").collect()]  # by size: bounded by the longest text
+    # an entry's place bounds the size of a partner that it can still link with
+    reach = F.expr(f"cast(({100 + percent} * (size - pos)) div {percent} - size as int)")
+    entries = prefix.select("node", "size", F.posexplode(F.slice("grams", F.lit(1), F.col("p"))).alias("pos", "key")).withColumn("reach", reach)
+    lists = entries.groupBy("key").agg(F.count("*").alias("entries"), F.min("size").alias("smallest")).where("entries > 1")
+    shared = cut(entries.join(lists, "key").where("reach >= smallest").drop("smallest", "entries"))
+    kept = shared.groupBy("size").agg(F.count("*").alias("kept"))
+    histogram = [(r[0], r[1], (r[2] or 0) / r[1]) for r in prefix.groupBy("size").count().join(kept, "size", "left").collect()]  # by size: bounded by the longest text
     boundary = choose_boundary(_coarse(histogram), percent)
 
-    scanned = shared.where(F.expr(f"100 * size >= {percent} * ({boundary} + 1)")).select(F.col("key"), "node", "size")
+    heavy = any(size > boundary for size, _, _ in histogram)
+    scanned = shared.where(F.expr(f"100 * size >= {percent} * ({boundary} + 1)") if heavy else F.lit(False)).select("key", "node", "size", "pos", "reach")
     pairs_of = F.expr("flatten(transform(slice(grams, 1, p + 1), (x, i) -> transform(slice(grams, i + 2, greatest(p - i, 0)), y -> xxhash64(x, y))))")
-    subsets = prefix.where(F.col("size") <= boundary).select(F.explode(pairs_of).alias("key"), "node", "size")
+    subsets = prefix.where(F.col("size") <= boundary).select(F.explode(pairs_of).alias("key"), "node", "size", F.lit(0).alias("pos"), F.expr(f"cast(size * 100 div {percent} as int)").alias("reach"))
     twice = subsets.groupBy("key").count().where("count > 1").select("key")
     members = cut(scanned.unionByName(subsets.join(twice, "key")))
 
-    sets = None
     label = None
     width = 1
+    entries_left = members.count()
     while True:
         if label is None:
             live = members.withColumn("label", F.col("node"))
         else:
             live = members.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         split = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        live = cut(live.join(split, "key"))
-        if live.isEmpty():
+        live = cut(live.join(split, "key").coalesce(entries_left // ENTRIES_A_TASK + 1))
+        entries_left = live.count()
+        if not entries_left:
             break
-        if sets is None:
-            involved = live.select("node").distinct().join(classes.select("node", "h1", "h2", "least"), "node")
-            texts = slim.join(small(involved.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi")
-            known = _whole_sets(texts.select("text"), n)
-            sets = cut(known.join(small(involved.select("h1", "h2", "node")), ["h1", "h2"]).groupBy("node").agg(F.first("grams").alias("grams")))
-        first = live.withColumn("rank", F.expr("row_number() over (partition by key order by node)"))
-        pivots = first.where(F.col("rank") <= width).select("key", F.col("node").alias("pivot"), F.col("size").alias("pivot_size"), F.col("label").alias("pivot_label"))
-        pairs = live.join(pivots, "key").where("node > pivot and label <> pivot_label").where(F.expr(f"100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)")).select("node", "pivot").distinct()
-        other = sets.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
-        compared = pairs.join(sets, "node").join(other, "pivot").withColumn("both", F.size(F.array_intersect("grams", "pivot_grams")))
-        links = compared.where(F.expr(f"100 * both >= {percent} * (size(grams) + size(pivot_grams) - both)")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        # those whose n-grams are shared most widely come first: the midst of a family of near copies
+        first = live.withColumn("rank", F.expr("row_number() over (partition by key order by pos, node)"))
+        pivots = first.where(F.col("rank") <= width).select("key", *[F.col(c).alias(p) for c, p in (("node", "pivot"), ("pos", "pivot_pos"), ("size", "pivot_size"), ("reach", "pivot_reach"), ("label", "pivot_label"))])
+        later = F.expr("struct(pos, node) > struct(pivot_pos, pivot)")
+        pairs = live.join(pivots, "key").where(later).where("label <> pivot_label and size <= pivot_reach and pivot_size <= reach").select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
+        pairs = cut(pairs.coalesce(entries_left // ENTRIES_A_TASK + 1))
+        links = _links(pairs, prefix, classes, slim, n, percent)
         if label is None:
             edges = links
         else:  # old components stay connected
             edges = links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
         label = cut(connected_components(edges))
-        members = live.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node", "size")
-        width *= 8
+        members = live.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node", "size", "pos", "reach")
+        width *= 16
 
     ids = classes.select("h1", "h2", "node", "least")
     if label is not None:
@@ -246,11 +280,15 @@ def _coarse(histogram: list[tuple[int, int, float]], most: int = 400) -> list[tu
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, with all columns: the row of the least id (least text among equal ids).
+    """One document of each component, with all columns: the one of the least id.
 
-    Documents without n-grams are components of their own and stay, rows with a null id too.
+    Rows that repeat its id and text go as well. Documents without n-grams are components of their
+    own and stay, as do rows with a null id.
     """
+    text = options.get("text", "text")
     ids = jaccard_components(docs, doc_id, **options).where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    null = docs.where(F.col(doc_id).isNull())
-    kept = docs.join(small(ids), F.col(doc_id) == F.col("__keep"), "left_semi")
-    return kept.unionByName(null)
+    kept = docs.join(small(ids), F.col(f"`{doc_id}`") == F.col("__keep"), "left_semi")
+    repeated = small(docs.groupBy(F.col(f"`{doc_id}`").alias("__twice")).count().where("count > 1 and __twice is not null").select("__twice"))
+    single = kept.join(repeated, F.col(f"`{doc_id}`") == F.col("__twice"), "left_anti")
+    double = kept.join(repeated, F.col(f"`{doc_id}`") == F.col("__twice"), "left_semi").dropDuplicates([doc_id, text])
+    return single.unionByName(double).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
