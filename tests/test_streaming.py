@@ -33,7 +33,8 @@ def test_blocks_of_arriving_documents(spark, tmp_path):
 def test_windows_and_duplicates(spark, tmp_path):
     events = spark.read.parquet(f"{PATH}/events.parquet")
     assert J.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
-    stream = J.event_stream(spark, f"{PATH}/events.parquet", events.schema)
+    events.write.parquet(f"{tmp_path}/in")
+    stream = J.event_stream(spark, f"{tmp_path}/in", events.schema, 100)
     q = J.first_requests(stream, "60 days").writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/o").count() == events.select("user_id", "event_type").distinct().count()
