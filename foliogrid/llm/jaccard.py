@@ -43,7 +43,7 @@ FREQUENT = 250_000
 #: What a pair to compare costs, in list entries or enumerated subsets: it is shuffled twice with prefixes.
 PAIR = 10
 #: Pairs that one task compares, or so: few pairs need few tasks, each of which writes a file for each shuffle.
-PAIRS_A_TASK, ENTRIES_A_TASK = 20_000, 50_000
+PAIRS_A_TASK, ENTRIES_A_TASK = 2_000, 50_000
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
