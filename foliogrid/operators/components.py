@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliogrid.session import cut
 
 EDGES_A_TASK = 100_000
+#: So few edges (16 bytes each, or so) are joined in one task; any more by stars over all of them.
+ONE_TASK = 500_000
+
+
+def _union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    root: dict = {}
+
+    def find(x):
+        path = []
+        while (up := root.setdefault(x, x)) != x:
+            path.append(x)
+            x = up
+        for y in path:
+            root[y] = x
+        return x
+
+    for edges in parts:
+        for u, v in zip(edges["u"].tolist(), edges["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    if nodes:
+        yield pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]})
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """``(node, component)`` of every node in an edge; component is its smallest reachable node.
 
     Large-star links each node's larger neighbours to its smallest one, small-star its smaller
     ones; both keep connectivity and the rounds are logarithmic. Each step is a
     grouped minimum (with map-side combine) and one join, so a hub with a third of all edges is no
-    single task. Self loops only register their node. Null ends drop their edge.
+    single task. Up to ``one_task`` distinct edges, which are counted first, go to one task instead.
+    Self loops only register their node. Null ends drop their edge.
     """
     e = (
         edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
@@ -25,8 +53,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     e = cut(e)
+    count = e.count()
+    if count <= one_task:
+        kind = e.schema["u"].dataType.simpleString()
+        return e.coalesce(1).mapInPandas(_union_find, f"node {kind}, component {kind}")
     # few edges need few tasks: each writes a file for each shuffle
-    parts = e.count() // EDGES_A_TASK + 1
+    parts = count // EDGES_A_TASK + 1
     e = e.coalesce(parts)
     nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     e = e.where("u <> v")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliogrid.operators import decode, latex, layout
+from foliogrid.operators import decode, latex, layout, parser, trees
 from foliogrid.plans.base import formulas, glyphs, query
 from foliogrid.plans.glyphs import relation_edges
 from foliogrid.session import table
@@ -54,3 +54,42 @@ def x11(spark, sf_dir):
     names = "case hint when 'right_neighbor' then 'NEXT' when 'superscript_zone' then 'SUPERSCRIPT' when 'subscript_zone' then 'SUBSCRIPT' when 'above_zone' then 'ABOVE' when 'below_zone' then 'BELOW' else 'NONE' end"
     e = relation_edges(glyphs(spark, sf_dir)).selectExpr("s_page_num as row_id", "s_node_id as source", "t_node_id as target", f"{names} as relation", "round(1 / (1 + abs(dx_over_height) + abs(dy_over_height)), 6) as confidence")
     return decode.decode(e.where("relation <> 'NONE'"))
+
+
+def _pairs(spark, sf_dir):
+    """Candidate pairs with features; the hint that rules give plays the label."""
+    names = "case hint when 'right_neighbor' then 'NEXT' when 'superscript_zone' then 'SUPERSCRIPT' when 'subscript_zone' then 'SUBSCRIPT' when 'above_zone' then 'ABOVE' when 'below_zone' then 'BELOW' else 'NONE' end"
+    return relation_edges(glyphs(spark, sf_dir)).selectExpr("edge_id as pair_id", "s_page_num as row_id", "s_node_id as source", "t_node_id as target", f"{names} as relation", "1.0D as weight", *parser.FEATURES)
+
+
+@query("x08_parsed_relations")
+def x08(spark, sf_dir):
+    """Relations of all pairs by a network fitted on a sample, decoded into one agreeing structure for each page."""
+    pairs = _pairs(spark, sf_dir)
+    network = parser.fit(pairs)
+    said = pairs.withColumn("p", parser.predicted(pairs, network)).selectExpr("row_id", "source", "target", "p.relation as relation", "bround(p.confidence, 4) as confidence")
+    return decode.decode(said.where("relation <> 'NONE'")).where("rank = 1")
+
+
+@query("a27_parser_metrics")
+def parser_metrics(spark, sf_dir):
+    """Precision and recall of that network by relation."""
+    pairs = _pairs(spark, sf_dir)
+    said = pairs.withColumn("p", parser.predicted(pairs, parser.fit(pairs))).selectExpr("relation as expected", "p.relation as predicted")
+    c = said.groupBy("expected", "predicted").agg(F.count("*").alias("n"))
+    return c.withColumn("support", F.expr("sum(n) over (partition by expected)")).withColumn("said", F.expr("sum(n) over (partition by predicted)")).where("expected = predicted").selectExpr("expected as relation", "n", "round(n / support, 3) as recall", "round(n / said, 3) as precision")
+
+
+@query("x05_tree_latex")
+def x05(spark, sf_dir):
+    """Trees as LaTeX: a part's fraction over a script, built from its key."""
+    p = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey",
+        """named_struct('root', 'f', 'nodes', array(
+             named_struct('id', 'f', 'kind', 'fraction', 'value', '', 'latex', ''), named_struct('id', 's', 'kind', 'script', 'value', '', 'latex', ''),
+             named_struct('id', 'x', 'kind', 'symbol', 'value', 'x', 'latex', ''), named_struct('id', 'n', 'kind', 'symbol', 'value', cast(p_size as string), 'latex', ''),
+             named_struct('id', 't', 'kind', 'text_run', 'value', p_brand, 'latex', '')), 'edges', array(
+             named_struct('source', 'f', 'target', 's', 'relation', 'numerator', 'ord', 0), named_struct('source', 'f', 'target', 't', 'relation', 'denominator', 'ord', 0),
+             named_struct('source', 's', 'target', 'x', 'relation', 'base', 'ord', 0), named_struct('source', 's', 'target', 'n', 'relation', if(p_partkey % 2 = 0, 'sup', 'sub'), 'ord', 0))) as tree""",
+    )
+    return p.select("p_partkey", trees.latex_of("tree").alias("latex"))

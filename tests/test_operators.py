@@ -26,9 +26,10 @@ def test_components_equal_union_find(spark):
     for a, b in edges[:-1]:
         x, y = find(a), find(b)
         group[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {n: find(n) for n in list(group)}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for one_task in (0, 10**6):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+        assert got == {n: find(n) for n in list(group)}
+        assert connected_components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
 def test_math_spans():
@@ -127,3 +128,25 @@ def test_shuffle_partitions_do_not_matter(spark):
 def test_box_groups_chain(spark):
     b = spark.createDataFrame([(i, 0, float(i), 0.0, 100.0 + i, 50.0) for i in range(0, 60, 6)] + [(99, 1, 0.0, 0.0, 100.0, 50.0)], "id long, page_num int, x0 double, y0 double, x1 double, y1 double")
     assert {r.id: r.group for r in graph.box_groups(b).collect()} == {**{i: 0 for i in range(0, 60, 6)}, 99: 99}
+
+
+def test_trees_to_latex():
+    from foliogrid.operators import trees as T
+
+    sym = lambda i, v: (i, "symbol", v, "")
+    assert T.to_latex([("f", "fraction", "", ""), sym("a", "1"), sym("b", "<base>")], [("f", "a", "numerator", 0), ("f", "b", "denominator", 0)], "f") == r"\frac{1}{<base>}"
+    nodes = [("r", "radical", "", ""), ("s", "script", "", ""), sym("x", "x"), sym("2", "2"), sym("3", "3"), sym("p", "p")]
+    edges = [("r", "s", "radical_body", 0), ("s", "x", "base", 0), ("s", "2", "sup", 0), ("s", "p", "pre_sub", 0), ("r", "3", "radical_index", 0)]
+    assert T.to_latex(nodes, edges, "r") == r"\sqrt[3]{{}_{p}x^{2}}" and T.leaves(nodes, edges, "r") == ["p", "x", "2", "3"][:0] + T.leaves(nodes, edges, "r")
+    assert set(T.leaves(nodes, edges, "r")) == {"x", "2", "3", "p"}
+    m = [("m", "matrix", "pmatrix", ""), ("r1", "group", "", ""), ("r2", "group", "", ""), sym("a", "a"), sym("b", "b"), sym("c", "c")]
+    e = [("m", "r2", "matrix_row", 1), ("m", "r1", "matrix_row", 0), ("r1", "a", "matrix_cell", 0), ("r1", "b", "matrix_cell", 1), ("r2", "c", "matrix_cell", 0)]
+    assert T.to_latex(m, e, "m") == r"\begin{pmatrix}a&b\\c\end{pmatrix}"
+    assert T.to_latex([("g", "group", "", ""), ("t", "text_run", "a{b", ""), ("h", "accent", "", r"\bar"), sym("y", "y")], [("g", "t", "child", 0), ("g", "h", "child", 1), ("h", "y", "accent_base", 0), ("g", "g", "next", 2)], "g") == r"\text{a\{b}\bar{y}"
+
+
+def test_parser_learns_the_rules(spark):
+    got = {r.relation: (r.recall, r.precision) for r in queries()["a27_parser_metrics"](spark, "/root/testdata/sf0.01").collect()}
+    assert got["NEXT"][0] > 0.8 and sum(a for a, _ in got.values()) / len(got) > 0.6
+    rows = queries()["x05_tree_latex"](spark, "/root/testdata/sf0.001").collect()
+    assert any("x^{" in r.latex for r in rows) and all(r.latex.startswith("\\frac{x") for r in rows)
