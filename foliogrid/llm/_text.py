@@ -12,9 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructField, StructType
 
 U = np.uint64
+#: Bytes of rows that Spark hands to a Python worker at once; a longer row comes alone.
+BATCH = "4m"
 #: Bytes that one step works on; a longer row is a step of its own, hashed in blocks.
 STEP = 1 << 19
 BLOCK = 1 << 18
@@ -167,3 +170,9 @@ def list_array(values: pa.Array, offsets: np.ndarray) -> pa.Array:
 def wider(schema: StructType, **fields: str) -> StructType:
     """A copy of the schema with further fields."""
     return StructType([*schema.fields, *(StructField(name, DataType.fromDDL(kind)) for name, kind in fields.items())])
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over texts, in batches of bounded size: rows may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df.mapInArrow(run, schema)

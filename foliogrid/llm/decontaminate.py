@@ -47,7 +47,7 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int = WI
                         words.append(h[s : s + n].tobytes())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(words, pa.binary())], ["item", "words"])
 
-    return benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).mapInArrow(run, "item string, words binary").distinct()
+    return T.mapped(benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")), run, "item string, words binary").distinct()
 
 
 class Index:
@@ -171,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                         ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
                     )
 
-        return slim.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+        return T.mapped(slim, run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
     def hits(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         return run
 
     keyed = slim.withColumn("key", F.xxhash64("text"))
-    parts = [keyed.mapInArrow(hits(x), f"doc_id {kind}, key long, places array<long>, items array<string>") for x in indexes]
+    parts = [T.mapped(keyed, hits(x), f"doc_id {kind}, key long, places array<long>, items array<string>") for x in indexes]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -201,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 w = T.split_words(data, offsets, T.ALNUM_ANY, hashed=False)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(w.first))], ["doc_id", "key", "n_words"])
 
-    counted = keyed.mapInArrow(count, f"doc_id {kind}, key long, n_words long")
+    counted = T.mapped(keyed, count, f"doc_id {kind}, key long, n_words long")
     joined = counted.join(merged, counted.doc_id.eqNullSafe(merged.d) & (counted.key == merged.k), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), items.alias("items"))
@@ -223,5 +223,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
         return run
 
     for index in _blocks(item_windows(benchmark, item_id, item_text, window), k, block_windows):
-        docs = docs.mapInArrow(keep(index), docs.schema)
+        docs = T.mapped(docs, keep(index), docs.schema)
     return docs

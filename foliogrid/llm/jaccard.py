@@ -90,7 +90,7 @@ def _frequent(texts: DataFrame, n: int, most: int) -> DataFrame:
         if held:
             yield shared()
 
-    counts = cut(texts.mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")))
+    counts = cut(T.mapped(texts, run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")))
     # the least count that leaves no more than `most`, from a histogram by powers of 2^(1/4)
     levels = sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("docs") * 4)).count().collect()), reverse=True)
     kept, floor = 0, None
@@ -136,7 +136,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, size int, grams array<long>")
+    return T.mapped(docs, run, f"doc_id {kind}, h1 long, h2 long, size int, grams array<long>")
 
 
 def _whole_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _whole_sets(texts: DataFrame, n: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(h) for h, _ in sets])])
                 yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), T.list_array(pa.array(T.as_long(np.concatenate([h for h, _ in sets]))), ends)], ["h1", "h2", "grams"])
 
-    return texts.mapInArrow(run, "h1 long, h2 long, grams array<long>")
+    return T.mapped(texts, run, "h1 long, h2 long, grams array<long>")
 
 
 def choose_boundary(histogram: list[tuple[int, int, float]], percent: int) -> int:

@@ -107,7 +107,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(c[at], rows[name]), pa.int64())], ["lang", "bucket", "n"])
 
-    sums = texts.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = T.mapped(texts, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()  # 2^16 buckets of each language at most
     langs, buckets, n = np.array(got.column(0).to_pylist(), object), np.asarray(got.column(1)), np.asarray(got.column(2))
     names = sorted(x for x in set(langs) if n[(langs == x) & (buckets == -1)].sum() >= least)
@@ -135,7 +135,7 @@ def _with_scores(rows: DataFrame, model: TextModel, text: str, html: str | None,
                 own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * classes), pa.array(s.reshape(-1))), pa.array(n)], [*own.schema.names, ll, letters])
 
-    return rows.mapInArrow(run, T.wider(rows.schema, **{ll: "array<double>", letters: "long"}))
+    return T.mapped(rows, run, T.wider(rows.schema, **{ll: "array<double>", letters: "long"}))
 
 
 def _visible(data: np.ndarray, offsets: np.ndarray, html: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -155,7 +155,7 @@ def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(w.first)), pa.array(out, pa.list_(span))], ["doc_id", "n_words", "spans"])
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<label:string,first_word:long,last_word:long,edits:int,length:int,base:boolean>>")
+    return T.mapped(slim, run, f"doc_id {kind}, n_words long, spans array<struct<label:string,first_word:long,last_word:long,edits:int,length:int,base:boolean>>")
 
 
 def license_report(docs: DataFrame, **options) -> DataFrame:

@@ -133,7 +133,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
                     ["id", "digest", "lines", "words"],
                 )
 
-    lines = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, digest long, lines array<long>, words array<int>")
+    lines = T.mapped(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), run, f"id {kind}, digest long, lines array<long>, words array<int>")
     lines = lines.groupBy("id", "digest").agg(F.first("lines").alias("lines"), F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id())
     lines = cut(lines)
     total = lines.count()
@@ -152,7 +152,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
                 out += [blocks_to_delete(x, y, w, min_words) for x, y, w in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["node", "removed"])
 
-    aligned = pairs.join(a, "earlier").join(b, "node").select("node", "a", "b", "words").mapInArrow(align, "node long, removed array<int>").where(F.size("removed") > 0)
+    aligned = T.mapped(pairs.join(a, "earlier").join(b, "node").select("node", "a", "b", "words"), align, "node long, removed array<int>").where(F.size("removed") > 0)
     merged = aligned.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
     return cut(merged.join(lines.select("node", "id", "digest"), "node").select("id", "digest", "removed"))
 
@@ -168,7 +168,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
                 own = batch.slice(i, len(digest))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(T.as_long(digest))], [*own.schema.names, "__digest"])
 
-    marked = docs.mapInArrow(run, T.wider(docs.schema, __digest="long"))
+    marked = T.mapped(docs, run, T.wider(docs.schema, __digest="long"))
     joined = marked.join(small(gone), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left")
     cleaned = F.when(F.col("__removed").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, i: ~F.array_contains("__removed", i)), "\n"))
     return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__removed")

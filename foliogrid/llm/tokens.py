@@ -284,7 +284,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
             yield close()
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").mapInArrow(run, schema).write.parquet(path)
+    T.mapped(slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text"), run, schema).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -313,7 +313,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     joined = files.join(small(bases), (F.col("shard") == F.col("a")) & (F.col("segment") == F.col("b"))).drop("a", "b")
-    return joined.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids array<long>")
+    return T.mapped(joined, run, f"doc_id {kind}, start long, n_tokens long, ids array<long>")
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -331,7 +331,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(np.full(n, row["shard"].as_py(), np.int32)), pa.array(np.full(n, row["segment"].as_py(), np.int32)), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "shard", "segment", "within", "n_tokens", "ids_crc32"])
 
-    each = files.mapInArrow(run, f"doc_id {kind}, shard int, segment int, within long, n_tokens long, ids_crc32 long")
+    each = T.mapped(files, run, f"doc_id {kind}, shard int, segment int, within long, n_tokens long, ids_crc32 long")
     sums = files.groupBy("shard").agg(F.sum("n_ids").alias("sum"))
     shards = sums.select(F.col("shard").alias("s"), F.expr("sum(sum) over (order by shard) - sum").alias("shard_base"))
     bases = files.select(F.col("shard").alias("a"), F.col("segment").alias("b"), F.expr("sum(n_ids) over (partition by shard order by segment) - n_ids").alias("own_base"))

@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[1][at], docs_of[1]), pa.int64()), pa.array(np.append(counts[0][at], docs_of[0]), pa.int64())], ["bucket", "bad", "good"])
 
     # clean counts of buckets that a task saw in no toxic document are missing: they make a sign look a little stronger
-    stats = texts.mapInArrow(count, "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    stats = T.mapped(texts, count, "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     stats = cut(stats)
     row = stats.where("bucket = -1").first()
     n_bad, n_good = (row[1], row[2]) if row else (0, 0)
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 words = np.diff(T.split_words(data, offsets, T.ALNUM_ANY, hashed=False).first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(words), T.list_array(pa.array(slot, pa.int64()), ends), T.list_array(pa.array(n, pa.int64()), ends)], ["level", "words", "slots", "counts"])
 
-    got = texts.mapInArrow(features_of, "level int, words long, slots array<long>, counts array<long>").orderBy("level", "words", F.xxhash64("slots", "counts")).toArrow()  # `sample` sparse rows
+    got = T.mapped(texts, features_of, "level int, words long, slots array<long>, counts array<long>").orderBy("level", "words", F.xxhash64("slots", "counts")).toArrow()  # `sample` sparse rows
     level = np.asarray(got.column("level")).astype(np.int64)
     slot, n = got.column("slots").combine_chunks(), got.column("counts").combine_chunks()
     rows = np.repeat(np.arange(len(level)), np.diff(np.asarray(slot.offsets)))
@@ -198,4 +198,4 @@ def severity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(above.sum(axis=1)), pa.array(np.argmax(edges[:, :-1] - edges[:, 1:], axis=1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= threshold)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
+    return T.mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
