@@ -108,7 +108,7 @@ def a35(spark, sf_dir):
     return ends.groupBy("node_id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.round(F.min("d"), 6).alias("nearest"), F.round(F.avg("d"), 6).alias("mean"))
 
 
-@query("w04_distance_ranks", f"with {GLYPHS}, p as (select s.node_id as source, t.node_id as target, round({_DIST}, 6) as d {_PAIR}) select source, target, rank() over (partition by source order by d) as place, percent_rank() over (partition by source order by d) as share from p")
+@query("w04_distance_ranks", f"with {GLYPHS}, p as (select s.node_id as source, t.node_id as target, round({_DIST}, 6) as d {_PAIR}) select source, target, rank() over (partition by source order by d)::int as place, percent_rank() over (partition by source order by d) as share from p")
 def w04(spark, sf_dir):
     dist = f"round(sqrt(power({G.centre('t_', 'x')} - {G.centre('s_', 'x')}, 2) + power({G.centre('t_', 'y')} - {G.centre('s_', 'y')}, 2)), 6)"
     p = twin(glyphs(spark, sf_dir)).where("s_node_id <> t_node_id").selectExpr("s_node_id as source", "t_node_id as target", f"{dist} as d")

@@ -175,13 +175,13 @@ def a41(spark, sf_dir):
 @query(
     "q14_cache",
     """with p as (select user_id % 50 as block_id, event_type as result_type, arg_max(case when event_id % 7 = 0 then null else value end, event_id) as v, arg_max(event_id % 7 = 0, event_id) as gone from events group by all)
-    select result_type, count(*) filter (where not gone) as entries, sum(v) filter (where not gone) as total from p group by result_type""",
+    select result_type, count(*) filter (where not gone) as entries, round(sum(v) filter (where not gone), 4) as total from p group by result_type""",
 )
 def q14(spark, sf_dir):
     """A cache as puts and tombstones: the last write of a key wins (A5, Q14)."""
     e = table(spark, sf_dir, "events").selectExpr("user_id % 50 as block_id", "event_type as result_type", "value", "event_id", "event_id % 7 = 0 as gone")
     last = e.groupBy("block_id", "result_type").agg(F.expr("max_by(struct(value, gone), event_id)").alias("last")).where("not last.gone")
-    out = last.groupBy("result_type").agg(F.count("*").alias("entries"), F.sum("last.value").alias("total"))
+    out = last.groupBy("result_type").agg(F.count("*").alias("entries"), F.round(F.sum("last.value"), 4).alias("total"))
     return e.select("result_type").distinct().join(out, "result_type", "left").selectExpr("result_type", "coalesce(entries, 0) as entries", "total")
 
 

@@ -44,9 +44,9 @@ def g22(spark, sf_dir):
     return j.selectExpr("event_id", f"{k} as k", f"coalesce({page}, {k}, -1) as page")
 
 
-@query("g25_merged_counters", "select user_id % 20 as bucket, event_type as counter, count(*) as n, sum(value) as total from events group by all")
+@query("g25_merged_counters", "select user_id % 20 as bucket, event_type as counter, count(*) as n, round(sum(value), 4) as total from events group by all")
 def g25(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.expr("user_id % 20").alias("bucket"), F.col("event_type").alias("counter")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return table(spark, sf_dir, "events").groupBy(F.expr("user_id % 20").alias("bucket"), F.col("event_type").alias("counter")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("f33_history_window", "with r as (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations) select conv_id, count(*) as kept, string_agg(role || ': ' || left(text, 40), ' | ' order by turn) as context from r where back <= 12 group by conv_id")
