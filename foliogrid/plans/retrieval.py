@@ -67,10 +67,10 @@ def bm25(rows: DataFrame, questions: DataFrame, top: int) -> DataFrame:
     wanted = small(asked.select("term").distinct())
     found = postings(rows).join(wanted, "term", "left_semi")
     lengths = row_lengths(rows)
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("tokens").alias("mean"))
+    whole = lengths.agg(F.count("*").alias("n"), F.avg("tokens").alias("mean")).first()
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weights = df.join(F.broadcast(whole)).select("term", idf.alias("idf"), "mean")
+    idf = F.greatest(F.log((F.lit(whole.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weights = df.select("term", idf.alias("idf"), F.lit(whole["mean"]).cast("double").alias("mean"))
     scored = found.join(small(weights), "term").join(lengths, "doc_id")
     part = F.expr(f"idf * tf * {K1 + 1}D / (tf + {K1}D * ({1 - B}D + {B}D * tokens / mean))")
     hits = small(asked).join(scored.select("term", "doc_id", part.alias("part")), "term").groupBy("question", "doc_id").agg(F.sum("part").alias("score"))
