@@ -23,10 +23,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, unless their path has it already.
+
+    A changed path means new workers beside the old ones, so it is set before any are started.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; only Spark's reader touches the path."""
-    # Python workers import this package from where the driver has it, if that folder is there
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
