@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructField, StructType
 
+from foliogrid.session import importable
+
 U = np.uint64
 #: Bytes of rows that Spark hands to a Python worker at once; a longer row comes alone.
 BATCH = "4m"
@@ -174,5 +176,6 @@ def wider(schema: StructType, **fields: str) -> StructType:
 
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` over texts, in batches of bounded size: rows may be long."""
+    importable(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return df.mapInArrow(run, schema)

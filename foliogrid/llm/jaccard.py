@@ -85,7 +85,7 @@ def _frequent(texts: DataFrame, n: int, most: int) -> DataFrame:
         for batch in batches:
             for _, sets in _sets(batch.column(0), n):
                 held += [h for h, _ in sets if len(h)]
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > 1_000_000:
                     yield shared()
         if held:
             yield shared()
