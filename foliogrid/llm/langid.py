@@ -89,7 +89,10 @@ def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> TextModel:
     """Fit text models on labelled documents, ``sample`` of each language at most."""
     marked = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(lang).alias("lang"))
-    chosen = marked.withColumn("rank", F.expr("row_number() over (partition by lang order by xxhash64(__id), __id)")).where(F.col("rank") <= sample).select("__id", "lang").distinct()
+    # a language's rows below a share of the hash's range are a few times the sample: no window gets all rows of a language
+    share = marked.groupBy(F.col("lang").alias("__l")).agg((3.0 * sample / F.count("*")).alias("__share"))
+    near = marked.join(small(share), F.col("lang") == F.col("__l")).where((F.col("__share") >= 1) | (F.shiftrightunsigned(F.xxhash64("__id"), 11) / float(1 << 53) < F.col("__share")))
+    chosen = near.withColumn("rank", F.expr("row_number() over (partition by lang order by shiftrightunsigned(xxhash64(__id), 11), __id)")).where(F.col("rank") <= sample).select("__id", "lang").distinct()
     texts = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text"), F.col(lang).alias("__lang")).join(small(chosen), (F.col("__doc") == F.col("__id")) & (F.col("__lang") == F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
