@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliogrid.llm import _text as T
-from foliogrid.session import cut, small
+from foliogrid.session import BROADCAST_ROWS, cut
 
 MIN_WORDS = 20
 RARE_SHARE = 0.5
+#: Places of cut lines that are broadcast, 4 bytes each; more are joined by a shuffle.
+BROADCAST_PLACES = 8_000_000
 
 
 def _lines(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,6 +162,9 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, rare_share: float = RARE_SHARE) -> DataFrame:
     """All documents and columns with the repeated blocks cut out of their texts, and ``__removed``, the cut lines' places."""
     gone = removals(docs, doc_id, text, min_words, rare_share).select(F.col("id").alias("__id"), F.col("digest").alias("__gone"), F.col("removed").alias("__removed"))
+    held = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__removed")), F.lit(0))).first()
+    if held[0] <= BROADCAST_ROWS and held[1] <= BROADCAST_PLACES:
+        gone = F.broadcast(gone)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +174,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(T.as_long(digest))], [*own.schema.names, "__digest"])
 
     marked = T.mapped(docs, run, T.wider(docs.schema, __digest="long"))
-    joined = marked.join(small(gone), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left")
+    joined = marked.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left")
     cleaned = F.when(F.col("__removed").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, i: ~F.array_contains("__removed", i)), "\n"))
     return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__removed")
