@@ -51,6 +51,10 @@ def base_tokens(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-z0-9_]+|[\\u4e00-\\u9fff]', 0)"
 
 
+def token_count(x: str) -> str:
+    return f"regexp_count(lower({x}), '[a-z0-9_]+|[\\u4e00-\\u9fff]')"
+
+
 def variants(t: str) -> str:
     """Simple English word forms of an ASCII token, as an array."""
     short = f"case when length({t}) > 4 and endswith({t}, 'ies') then array(concat(left({t}, length({t}) - 3), 'y')) when length({t}) > 4 and endswith({t}, 's') then array(left({t}, length({t}) - 1)) else array() end"

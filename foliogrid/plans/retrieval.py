@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from foliogrid.functions import text as X
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, blocks, query
-from foliogrid.session import small, table
+from foliogrid.session import cut, small, table
 
 K1, B = 1.2, 0.75
 #: Weights of the indexed fields.
@@ -49,7 +49,7 @@ def postings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def row_lengths(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, tokens): tokens of all fields."""
-    n = " + ".join(f"size({X.base_tokens(f"coalesce({f}, '')")})" for f in ("document", "section", "keywords"))
+    n = " + ".join(f"{X.token_count(f"coalesce({f}, '')")}" for f in ("document", "section", "keywords"))
     return rows.selectExpr(key, f"cast({n} as long) as tokens")
 
 
@@ -66,7 +66,7 @@ def bm25(rows: DataFrame, questions: DataFrame, top: int) -> DataFrame:
     asked = question_terms(questions)
     wanted = small(asked.select("term").distinct())
     found = postings(rows).join(wanted, "term", "left_semi")
-    lengths = row_lengths(rows)
+    lengths = cut(row_lengths(rows))  # two numbers a row, read twice
     whole = lengths.agg(F.count("*").alias("n"), F.avg("tokens").alias("mean")).first()
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(whole.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -122,22 +122,25 @@ def t04(spark, sf_dir):
     return top.select("question", "doc_id", "rank", F.round("score", 6).alias("score"), F.expr("least(4.0D, round(score, 6) + (rank - 1) * 0.08D)").alias("distance"))
 
 
-def lexical_score(query_tokens: str, candidate: str) -> str:
-    """Coverage of a question's tokens by a candidate's: counts, kinds and pairs."""
-    kinds = f"array_distinct({query_tokens})"
-    count = lambda a: f"size(filter({a}, y -> y = x))"
-    matched = f"aggregate({kinds}, 0, (s, x) -> s + least({count(query_tokens)}, {count(candidate)}))"
-    pairs = f"array_distinct({X.bigrams(query_tokens)})"
-    shared = f"size(array_intersect({pairs}, {X.bigrams(candidate)}))"
-    return f"""case when size({candidate}) = 0 or size({query_tokens}) = 0 then 0.0D else least(1.0D, 0.55D * {matched} / size({query_tokens})
-        + 0.35D * size(array_intersect({kinds}, {candidate})) / size({kinds}) + 0.1D * case when size({pairs}) = 0 then 0.0D else {shared} / size({pairs}) end) end"""
-
-
 def rerank(pool: DataFrame, texts: DataFrame, questions: DataFrame, top: int) -> DataFrame:
-    """Candidates (question, doc_id, distance, place) blended with their lexical score, the ``top`` of each question."""
-    q = questions.selectExpr("question", f"{X.retrieval_tokens('asked')} as qt")
-    joined = pool.join(small(q), "question").join(texts.selectExpr("doc_id", "body"), "doc_id").withColumn("ct", F.expr(X.retrieval_tokens("body")))
-    scored = joined.withColumn("lexical_score", F.expr(lexical_score("qt", "ct"))).withColumn("vector_score", F.expr("1.0D / (1.0D + greatest(distance, 0.0D))"))
+    """Candidates (question, doc_id, distance, place) blended with their lexical score, the ``top`` of each question.
+
+    The lexical score is how far a candidate covers a question's tokens: their counts, their kinds and their pairs. Counts meet in a
+    join on the term, so a document's tokens are made once, however many questions it is a candidate for.
+    """
+    pool = cut(pool)
+    tokens = questions.selectExpr("question", f"{X.retrieval_tokens('asked')} as qt")
+    q = tokens.selectExpr("question", "size(qt) as asked_n", "size(array_distinct(qt)) as kinds", f"array_distinct({X.bigrams('qt')}) as pairs")
+    asked = tokens.select("question", F.explode("qt").alias("term")).groupBy("question", "term").agg(F.count("*").alias("qn"))
+    held = texts.join(small(pool.select("doc_id").distinct()), "doc_id", "left_semi").selectExpr("doc_id", f"{X.retrieval_tokens('body')} as ct")
+    held = cut(held)
+    terms = held.select("doc_id", F.explode("ct").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("cn"))
+    met = pool.select("question", "doc_id").join(asked, "question").join(terms, ["doc_id", "term"]).groupBy("question", "doc_id").agg(F.sum(F.least("qn", "cn")).alias("matched"), F.count("*").alias("same"))
+    docs = held.selectExpr("doc_id", "size(ct) as own_n", f"array_distinct({X.bigrams('ct')}) as own_pairs")
+    joined = pool.join(small(q), "question").join(docs, "doc_id").join(met, ["question", "doc_id"], "left")
+    lexical = """case when own_n = 0 or asked_n = 0 then 0.0D else least(1.0D, 0.55D * coalesce(matched, 0) / asked_n + 0.35D * coalesce(same, 0) / kinds
+        + 0.1D * case when size(pairs) = 0 then 0.0D else size(array_intersect(pairs, own_pairs)) / size(pairs) end) end"""
+    scored = joined.withColumn("lexical_score", F.expr(lexical)).withColumn("vector_score", F.expr("1.0D / (1.0D + greatest(distance, 0.0D))"))
     scored = scored.withColumn("retrieval_score", F.expr("0.55D * vector_score + 0.45D * lexical_score"))
     ranked = scored.withColumn("answer", F.expr("row_number() over (partition by question order by round(retrieval_score, 9) desc, round(lexical_score, 9) desc, distance, place)"))
     return ranked.where(F.col("answer") <= top)
