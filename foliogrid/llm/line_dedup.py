@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment.
 
-A line is what stands between newlines, without blanks at its ends, A-Z lower-cased. Lines of several documents
-but no more than half of all are rare; each links its later documents to its first one. Documents that
-share rare lines of ``MIN_WORDS`` words in all are aligned by patience diff: lines that are unique on both sides anchor
-a longest increasing run, equal neighbours extend it, and gaps are aligned in the same way. Common blocks of ``MIN_WORDS``
-words or more are deleted from the later document.
+A line is what stands between newlines, without blanks at its ends, A-Z lower-cased. Each run of consecutive lines that just
+makes up ``MIN_WORDS`` words, counted from its first line on or from its last line back, links its later documents to its first one,
+however many documents have it: every line of a common block is in such a run of the block, so some document with that run is aligned.
+Shorter lines of several documents but no more than half of all are rare; they link likewise documents that share ``MIN_WORDS`` words of
+them in all. Linked documents are aligned by patience diff: lines that are unique on both sides anchor a longest increasing run, equal
+neighbours extend it, and gaps are aligned in the same way. Common blocks of ``MIN_WORDS`` words or more are deleted from the later document.
 
 Linking to the first document keeps pairs linear in lines, however many documents share a line. A line is
 deleted only where an earlier document has it, so its first document always keeps it.
@@ -57,6 +58,35 @@ def _lines(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         yield i, hashes, words, bounds, text
 
 
+def _runs(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shortest runs of ``least`` words from each line on and from each line back, and their bounds by row."""
+    n = len(hashes)
+    at = np.arange(n)
+    row = np.searchsorted(bounds, at, "right") - 1
+    sums = np.concatenate([[0], np.cumsum(words)])
+    # blank lines and rows' ends break runs
+    blanks = np.append(np.flatnonzero(words == 0), n)
+    stop = np.minimum(blanks[np.searchsorted(blanks, at)], bounds[row + 1])
+    blanks = np.concatenate([[-1], blanks])
+    start = np.maximum(blanks[np.searchsorted(blanks, at, "right") - 1] + 1, bounds[row])
+    ends = np.searchsorted(sums, sums[:-1] + least)
+    firsts = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    on = np.flatnonzero((words > 0) & (ends <= stop))
+    back = np.flatnonzero((words > 0) & (firsts >= start))
+    back = back[ends[firsts[back]] != back + 1]  # else it is a run from its first line on too
+    first, end = np.concatenate([on, firsts[back]]), np.concatenate([ends[on], back + 1])
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], end[order]
+    out = hashes[first]
+    more = np.arange(len(first))
+    step = 1
+    while len(more := more[first[more] + step < end[more]]):
+        with np.errstate(over="ignore"):
+            out[more] = T.mix(out[more] * T.U(0x9E3779B97F4A7C15) + hashes[first[more] + step])
+        step += 1
+    return out, np.searchsorted(first, bounds)
+
+
 def _each(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Digests of rows of which some are empty."""
     out = np.zeros(len(offsets) - 1, T.U)
@@ -130,17 +160,21 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, hashes, words, bounds, digest in _lines(batch.column(1)):
+                runs, at = _runs(hashes, words, bounds, min_words)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(digest)), pa.array(T.as_long(digest)), T.list_array(pa.array(T.as_long(hashes)), bounds), T.list_array(pa.array(words.astype(np.int32)), bounds)],
-                    ["id", "digest", "lines", "words"],
+                    [batch.column(0).slice(i, len(digest)), pa.array(T.as_long(digest)), T.list_array(pa.array(T.as_long(hashes)), bounds), T.list_array(pa.array(words.astype(np.int32)), bounds), T.list_array(pa.array(T.as_long(runs)), at)],
+                    ["id", "digest", "lines", "words", "runs"],
                 )
 
-    lines = T.mapped(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), run, f"id {kind}, digest long, lines array<long>, words array<int>")
-    lines = lines.groupBy("id", "digest").agg(F.first("lines").alias("lines"), F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id())
+    lines = T.mapped(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), run, f"id {kind}, digest long, lines array<long>, words array<int>, runs array<long>")
+    lines = lines.groupBy("id", "digest").agg(F.first("lines").alias("lines"), F.first("words").alias("words"), F.first("runs").alias("runs")).withColumn("node", F.monotonically_increasing_id())
     lines = cut(lines)
     total = lines.count()
-    each = lines.select(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "node").alias("place"), F.explode(F.array_distinct(F.arrays_zip("lines", "words"))).alias("line")).select("place", F.col("line.lines").alias("line"), F.col("line.words").alias("words")).where("line <> 0")
-    rare = each.groupBy("line").agg(F.count("*").alias("docs"), F.min("place").alias("first")).where((F.col("docs") > 1) & (F.col("docs") <= max(2.0, rare_share * total)))
+    # lines of enough words are runs; a run's words are put down as `min_words`, those of a line are fewer
+    short = F.filter(F.arrays_zip(F.col("lines").alias("line"), F.col("words").alias("words")), lambda x: (x["line"] != 0) & (x["words"] < min_words))
+    runs = F.transform("runs", lambda x: F.struct(x.alias("line"), F.lit(min_words).cast("int").alias("words")))
+    each = lines.select(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "node").alias("place"), F.explode(F.array_distinct(F.concat(short, runs))).alias("line")).select("place", "line.line", "line.words")
+    rare = each.groupBy("line").agg(F.count("*").alias("docs"), F.min("place").alias("first"), F.max("words").alias("most")).where((F.col("docs") > 1) & ((F.col("most") >= min_words) | (F.col("docs") <= max(2.0, rare_share * total))))
     linked = each.join(rare.select("line", "first"), "line").where(F.col("place.node") != F.col("first.node"))
     pairs = linked.groupBy(F.col("place.node").alias("node"), F.col("first.node").alias("earlier")).agg(F.sum("words").alias("shared")).where(F.col("shared") >= min_words).select("node", "earlier")
     a = lines.select(F.col("node").alias("earlier"), F.col("lines").alias("a"))

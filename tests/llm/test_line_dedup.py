@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from foliogrid.llm import line_dedup as L
 
 
@@ -62,3 +64,43 @@ def test_odd_rows(spark, odd):
     got = L.deduplicated(odd).collect()
     assert len(got) == odd.count()
     assert {(r.doc_id, hashlib.md5(r.text.encode()).hexdigest() if r.text is not None else None) for r in got} == {(r.doc_id, hashlib.md5(r.text.encode()).hexdigest() if r.text is not None else None) for r in odd.collect()}
+
+
+def test_passage_whose_lines_have_different_first_holders_goes(spark):
+    lines = [line(5, f"s{i}_") for i in range(8)]
+    docs = [
+        (1, "\n".join([lines[0], lines[1], lines[2], "one"])),
+        (2, "\n".join([lines[3], lines[4], lines[5], "two"])),
+        (3, "\n".join([lines[6], lines[7], "three"])),
+        (4, "\n".join(["four", *lines, "end four"])),
+        (5, "\n".join(["five", *lines[:3], "", *lines[3:6], "end five"])),
+        (6, "\n".join(["six", *lines, "end six"])),
+        (7, "\n".join(["seven", *lines[2:7], "end seven"])),
+        (8, "\n".join(["eight", line(30, "l"), lines[0], "end eight"])),
+        (9, "\n".join(["nine", line(30, "l"), lines[0], "end nine"])),
+    ]
+    docs += [(i, f"own {i}") for i in range(10, 30)]
+    got = {r.doc_id: r.text for r in L.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(docs) | {6: "six\nend six", 7: "seven\nend seven", 9: "nine\nend nine"}
+
+
+def test_every_line_of_a_block_is_in_a_run_of_it():
+    rng = random.Random(2)
+    for _ in range(300):
+        words = [rng.choice([0, 1, 2, 5, 9, 25]) for _ in range(rng.randrange(1, 40))]
+        cuts = sorted({0, len(words), *(rng.randrange(len(words) + 1) for _ in range(3))})
+        hashes = np.array([0 if w == 0 else rng.randrange(1, 2**63) for w in words], np.uint64)
+        runs, at = L._runs(hashes, np.array(words), np.array(cuts), 20)
+        for row, (s, e) in enumerate(zip(cuts, cuts[1:])):
+            want = set()
+            for i in range(s, e):
+                for j in range(i + 1, e + 1):
+                    block = words[i:j]
+                    if 0 not in block and sum(block) >= 20 and (sum(block[1:]) < 20 or sum(block[:-1]) < 20):
+                        want.add((i, j))
+            own = runs[at[row] : at[row + 1]]
+            assert len(own) == len(want) == len(set(own.tolist()))
+            for i in range(s, e):
+                for j in range(i + 1, e + 1):
+                    if 0 not in words[i:j] and sum(words[i:j]) >= 20:
+                        assert {x for p, q in want if i <= p and q <= j for x in range(p, q)} == set(range(i, j))
