@@ -5,7 +5,8 @@ makes up ``MIN_WORDS`` words, counted from its first line on or from its last li
 however many documents have it: every line of a common block is in such a run of the block, so some document with that run is aligned.
 Shorter lines of several documents but no more than half of all are rare; they link likewise documents that share ``MIN_WORDS`` words of
 them in all. Linked documents are aligned by patience diff: lines that are unique on both sides anchor a longest increasing run, equal
-neighbours extend it, and gaps are aligned in the same way. Common blocks of ``MIN_WORDS`` words or more are deleted from the later document.
+neighbours extend it, and gaps are aligned in the same way; where no line is unique, the common run of most words is the anchor.
+Common blocks of ``MIN_WORDS`` words or more are deleted from the later document.
 
 Linking to the first document keeps pairs linear in lines, however many documents share a line. A line is
 deleted only where an earlier document has it, so its first document always keeps it.
@@ -95,8 +96,55 @@ def _each(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def patience(a: list[int], b: list[int], a0: int = 0, a1: int | None = None, b0: int = 0, b1: int | None = None) -> list[tuple[int, int]]:
-    """Aligned (place in a, place in b) of equal lines, both ascending; 0 matches nothing."""
+def longest_run(a: list[int], b: list[int], words: list[int]) -> tuple[int, int, int, int]:
+    """(words, place in a, place in b, lines) of the common run with most words, by a suffix automaton of a; 0 matches nothing."""
+    step: list[dict[int, int]] = [{}]
+    length, link, end = [0], [-1], [-1]
+    last = 0
+    for i, x in enumerate(a):
+        step.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        end.append(i)
+        new, p = len(step) - 1, last
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if length[q] != length[p] + 1:
+                step.append(dict(step[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                end.append(end[q])
+                twin = len(step) - 1
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = twin
+                    p = link[p]
+                link[q] = twin
+                q = twin
+            link[new] = q
+        last = new
+    best = (0, 0, 0, 0)
+    state = lines = held = 0
+    for j, x in enumerate(b):
+        while state and (x == 0 or x not in step[state]):
+            state = link[state]
+            held -= sum(words[j - lines : j - length[state]])
+            lines = length[state]
+        if x and x in step[state]:
+            state, lines, held = step[state][x], lines + 1, held + words[j]
+        if held > best[0]:
+            best = (held, end[state] - lines + 1, j - lines + 1, lines)
+    return best
+
+
+def patience(a: list[int], b: list[int], a0: int = 0, a1: int | None = None, b0: int = 0, b1: int | None = None, words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Aligned (place in a, place in b) of equal lines, both ascending; 0 matches nothing.
+
+    ``words``: of lines of b, 1 each by default; runs of lines that aren't unique anchor from ``least`` words on.
+    """
+    words = [1] * len(b) if words is None else words
     out: list[tuple[int, int]] = []
     todo = [(a0, len(a) if a1 is None else a1, b0, len(b) if b1 is None else b1)]
     while todo:
@@ -127,6 +175,13 @@ def patience(a: list[int], b: list[int], a0: int = 0, a1: int | None = None, b0:
         i = piles[-1] if piles else -1
         end_a, end_b = a1, b1
         if i < 0:
+            # equal ends are gone: no pair of this range goes on with a block outside, so shorter runs delete nothing
+            if sum(words[q] for q in range(b0, b1) if b[q] and b[q] in in_a) >= least:
+                held, p, q, n = longest_run(a[a0:a1], b[b0:b1], words[b0:b1])
+                if held >= least:
+                    p, q = a0 + p, b0 + q
+                    out += [(p + k, q + k) for k in range(n)]
+                    todo += [(a0, p, b0, q), (p + n, a1, q + n, b1)]
             continue
         while i >= 0:
             p, q = run[i]
@@ -143,7 +198,7 @@ def blocks_to_delete(a: list[int], b: list[int], words: list[int], least: int) -
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
-    for p, q in [*patience(a, b), (-9, -9)]:
+    for p, q in [*patience(a, b, words=words, least=least), (-9, -9)]:
         if (p, q) != (last[0] + 1, last[1] + 1):
             if sum(words[x] for x in block) >= least:
                 out += block

@@ -104,3 +104,22 @@ def test_every_line_of_a_block_is_in_a_run_of_it():
                 for j in range(i + 1, e + 1):
                     if 0 not in words[i:j] and sum(words[i:j]) >= 20:
                         assert {x for p, q in want if i <= p and q <= j for x in range(p, q)} == set(range(i, j))
+
+
+def test_ranges_without_unique_lines_anchor_on_a_common_run(spark):
+    assert L.patience([1, 2, 7, 1, 2], [9, 1, 2, 8]) in ([(0, 1), (1, 2)], [(3, 1), (4, 2)])
+    assert len(L.patience([1, 2, 7, 1, 2], [9, 1, 2, 8, 1, 2, 6])) == 4
+    assert L.patience([5, 1, 2, 7, 1, 2, 4], [5, 9, 1, 2, 8, 3], words=[1] * 6, least=3) == [(0, 0)]
+    rng = random.Random(7)
+    for _ in range(500):
+        a, b = [rng.randrange(4) for _ in range(rng.randrange(14))], [rng.randrange(4) for _ in range(rng.randrange(14))]
+        words = [rng.randrange(1, 9) if x else 0 for x in b]
+        found, p, q, n = L.longest_run(a, b, words)
+        assert a[p : p + n] == b[q : q + n] and 0 not in b[q : q + n] and sum(words[q : q + n]) == found
+        assert found == max((sum(words[j : j + k]) for i in range(len(a)) for j in range(len(b)) for k in range(1, 14) if a[i : i + k] == b[j : j + k] and i + k <= len(a) and j + k <= len(b) and 0 not in b[j : j + k]), default=0)
+        got = L.patience(a, b, words=words)
+        assert all(a[x] == b[y] != 0 for x, y in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+    passage = "\n".join(line(6, f"p{i}_") for i in range(9))
+    docs = [(1, f"{passage}\none\n{passage}"), *((i, f"start {i}\n{passage}\nend {i}") for i in (2, 3)), *((i, f"own {i}") for i in range(4, 12))]
+    got = {r.doc_id: r.text for r in L.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(docs) | {i: f"start {i}\nend {i}" for i in (2, 3)}
