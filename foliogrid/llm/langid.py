@@ -34,8 +34,6 @@ from foliogrid.session import cut, small
 
 #: Labelled rows of each language that its model is fitted on, at most: the first by a hash of their id.
 SAMPLE = 1_500
-#: A language needs so many rows in the sample.
-LEAST = 20
 EVIDENCE = 200.0
 UND = "und"
 UND_PRIOR = 1e-3
@@ -86,8 +84,12 @@ def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (h[at] >> np.uint32(32 - _BITS)).astype(np.int64), np.searchsorted(offsets, at, "right") - 1
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> TextModel:
-    """Fit text models on labelled documents, ``sample`` of each language at most."""
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, least: int = 1) -> TextModel:
+    """Fit text models on labelled documents, ``sample`` of each language at most.
+
+    Every language with a window of text has a model, unless ``least`` asks for more rows. The same 0.02 of each bucket are added
+    to every language's counts, 1,311 windows in all: a rare language's model is mostly flat, a large one's hardly moves.
+    """
     marked = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(lang).alias("lang"))
     # a language's rows below a share of the hash's range are a few times the sample: no window gets all rows of a language
     share = marked.groupBy(F.col("lang").alias("__l")).agg((3.0 * sample / F.count("*")).alias("__share"))
@@ -113,7 +115,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     sums = T.mapped(texts, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()  # 2^16 buckets of each language at most
     langs, buckets, n = np.array(got.column(0).to_pylist(), object), np.asarray(got.column(1)), np.asarray(got.column(2))
-    names = sorted(x for x in set(langs) if n[(langs == x) & (buckets == -1)].sum() >= least)
+    names = sorted(x for x in set(langs[buckets >= 0]) if n[(langs == x) & (buckets == -1)].sum() >= least)
     table = np.full((1 << _BITS, len(names) + 1), -np.log(1 << _BITS), np.float32)
     for c, name in enumerate(names):
         own = (langs == name) & (buckets >= 0)

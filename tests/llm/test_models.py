@@ -75,3 +75,19 @@ def test_language_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 6}
     assert not {3, 4, 5} & {r.doc_id for r in kept.collect()}
     assert langid.known_language(empty, model).count() == 0
+
+
+def test_rare_languages_have_models(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    assert model.languages == ["de", "en", "es", "fr"]
+    assert langid.known_language(docs, model).where("lang = 'es'").count() == docs.where("lang = 'es'").count() == 17
+    all_docs = spark.read.parquet(f"{PATH}/documents.parquet")
+    few = all_docs.where("lang = 'es'").orderBy("doc_id").limit(2)
+    model = langid.train(all_docs.where("lang <> 'es'").unionByName(few), sample=300)
+    none = F.lit(None).cast("string")
+    rows = all_docs.join(few.select("doc_id"), "doc_id", "left_anti").where(F.pmod("doc_id", F.lit(8)) == 0).select("doc_id", "text", none.alias("d"), none.alias("h"), none.alias("m"), none.alias("x"), F.col("lang").alias("truth"))
+    got = langid.identify(rows, model, ["doc_id", "truth"], "text", None, "d", "h", "m", "x").toPandas()
+    rare = got.truth == "es"
+    assert (got.lang == got.truth)[rare].mean() >= 0.95 and (got.lang == got.truth)[~rare].mean() >= 0.98
+    assert langid.train(docs.where("lang = 'fr'").limit(1)).languages == ["fr"] and langid.train(docs.select("doc_id", F.lit("12 34").alias("text"), "lang")).languages == []
