@@ -123,3 +123,10 @@ def test_ranges_without_unique_lines_anchor_on_a_common_run(spark):
     docs = [(1, f"{passage}\none\n{passage}"), *((i, f"start {i}\n{passage}\nend {i}") for i in (2, 3)), *((i, f"own {i}") for i in range(4, 12))]
     got = {r.doc_id: r.text for r in L.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == dict(docs) | {i: f"start {i}\nend {i}" for i in (2, 3)}
+
+
+def test_passages_of_most_documents_go(spark):
+    passage = "\n".join(line(6, f"c{i}_") for i in range(6))
+    docs = [(1, f"one\n{passage}"), (2, f"two\n{passage}"), (3, f"three\n{passage}\n{line(25, 'w')}"), (4, f"four\n{line(25, 'w')}"), (5, f"five\n{line(25, 'w')}")]
+    got = {r.doc_id: r.text for r in L.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(docs) | {2: "two", 3: f"three\n{line(25, 'w')}", 4: "four", 5: "five"}
