@@ -142,6 +142,13 @@ def blocked(left: DataFrame, right: DataFrame, limit: int = BLOCK_LIMIT) -> Data
     return pairs.withColumn("place", F.expr(place)).where(F.col("place") <= limit)
 
 
+def first_rows(left: DataFrame, right: DataFrame, met: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
+    """As ``blocked``, the first ``limit`` of ``right`` by id for each of ``left`` that isn't in ``met``; a null partner if there are none."""
+    alone = left.join(met.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti").selectExpr("id as left_id", "normal as left_normal")
+    first = right.orderBy("id").limit(limit).selectExpr("id as right_id", "normal as right_normal", "cast(row_number() over (order by id) as int) as place")
+    return alone.join(F.broadcast(first), F.lit(True), "left").selectExpr("left_id", "right_id", "left_normal", "right_normal", "0L as shared", "place")
+
+
 def formula_similarity(left: str, right: str) -> float:
     """Matching blocks' share of both; a formula that holds the other has their ratio of lengths at least."""
     score = difflib.SequenceMatcher(None, left, right).ratio()
@@ -175,10 +182,17 @@ def j21(spark, sf_dir):
 
 @query("f17_best_matches")
 def f17(spark, sf_dir):
-    """The best structural match of each parsed formula by similarity, among ``BLOCK_LIMIT`` blocked partners."""
+    """The best structural match of each parsed formula by similarity, among ``BLOCK_LIMIT`` blocked partners or, without any, the first rows."""
     n = formulas(spark, sf_dir).selectExpr("result_id as id", f"{X.formula_normal('latex')} as normal", "stage").where("length(normal) >= 4")
-    scored = blocked(n.where("stage = 'parsed_blocks'"), n.where("stage = 'pdf_structure'")).withColumn("similarity", F.round(similarity("left_normal", "right_normal"), 3))
-    return scored.groupBy("left_id").agg(F.expr("max_by(right_id, struct(similarity, -place))").alias("right_id"), F.max("similarity").alias("similarity"))
+    return best_matches(n.where("stage = 'parsed_blocks'"), n.where("stage = 'pdf_structure'"))
+
+
+def best_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id, similarity), a row for each of ``left``; no partner where nothing is similar."""
+    met = blocked(left, right)
+    pairs = met.unionByName(first_rows(left, right, met))
+    scored = pairs.withColumn("similarity", F.round(similarity("left_normal", F.coalesce("right_normal", F.lit(""))), 3))
+    return scored.groupBy("left_id").agg(F.expr("max_by(if(similarity > 0, right_id, null), struct(similarity, -place))").alias("right_id"), F.max("similarity").alias("similarity"))
 
 
 @query("a17_agreement")

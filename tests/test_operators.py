@@ -150,3 +150,15 @@ def test_parser_learns_the_rules(spark):
     assert got["NEXT"][0] > 0.8 and sum(a for a, _ in got.values()) / len(got) > 0.6
     rows = queries()["x05_tree_latex"](spark, "/root/testdata/sf0.001").collect()
     assert any("x^{" in r.latex for r in rows) and all(r.latex.startswith("\\frac{x") for r in rows)
+
+
+def test_formulas_without_shared_tokens_meet_the_first_rows(spark):
+    from foliogrid.plans import fusion
+
+    left = spark.createDataFrame([(1, "alpha+beta"), (2, "=+x-y")], "id long, normal string")
+    right = spark.createDataFrame([(7, "alpha-beta"), (8, "*=+x-y"), (9, "????")], "id long, normal string")
+    got = {r.left_id: r.right_id for r in fusion.best_matches(left, right).collect()}
+    assert {r.left_id for r in fusion.blocked(left, right).collect()} == {1} and got == {1: 7, 2: 8}
+    none = fusion.best_matches(left, right.where("id = 9")).collect()
+    assert sorted((r.left_id, r.right_id, r.similarity) for r in none) == [(1, None, 0.0), (2, None, 0.0)]
+    assert fusion.best_matches(left, right.where("false")).count() == 2
