@@ -10,7 +10,8 @@ Labels say only whether a document is toxic. Grades of toxic sample documents ar
 grade column can be given instead.
 
 Defined results: null and empty texts have no features and get the severity of none; labels without a
-document, or null, are left out; repeated labels count once; repeated documents give a row each. With no
+document, or null, are left out; repeated labels count once; repeated documents give a row each, and of those that
+share an id the sample has the one whose text comes first. How rows are dealt changes nothing. With no
 toxic or no clean label there is nothing to learn: every severity is 0.
 """
 
@@ -32,8 +33,10 @@ SAMPLE = 8_000
 #: Features of the model, at most, and buckets that they are hashed to.
 FEATURES, BITS = 1_024, 20
 GRADES = 4
-#: A sign of toxicity is so many times more frequent in toxic documents.
-LIFT = 8
+#: A sign of toxicity is so many times more frequent in toxic documents; a strong one twice that.
+LIFT = 2
+#: Toxic documents of the sample that a sign stands in, at least.
+LEAST = 3
 #: A cut that no score passes.
 NEVER = np.inf
 WINDOW = 5
@@ -120,44 +123,57 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
     return par[:features], par[features] + np.concatenate([[0], np.cumsum(gaps)])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, grades: int = GRADES, grade: str | None = None) -> Model:
-    """Fit on ``sample`` labelled documents at most. ``grade``: an integer column of labels to use as it is."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, grades: int = GRADES, grade: str | None = None, tasks: int = 8) -> Model:
+    """Fit on ``sample`` labelled documents at most, in ``tasks`` tasks. ``grade``: an integer column of labels to use as it is."""
     level = F.max(grade if grade else toxic).cast("int")
     marked = labels.where(F.col(doc_id).isNotNull() & F.col(grade or toxic).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(level.alias("level"))
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    texts = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("level", "text")
-    texts = cut(texts.repartition(8, F.xxhash64("text")))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BITS), np.int32)
-        docs_of = np.zeros(2, np.int64)
-        for batch in batches:
-            bad = (np.asarray(batch.column(0)) > 0).astype(np.int64)
-            for i, j, data, offsets in T.text_steps(batch.column(1)):
-                windows, words, word_rows = _buckets(data, offsets)
-                rows = np.searchsorted(offsets, np.arange(len(windows)), "right") - 1
-                ok = np.arange(len(windows)) + WINDOW <= offsets[rows + 1]
-                key = np.unique(np.concatenate([(rows[ok] << BITS) | windows[ok], (word_rows << BITS) | words]))
-                kind = bad[i + (key >> BITS)]
-                for k in (0, 1):
-                    counts[k] += np.bincount(key[kind == k] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
-                docs_of += np.bincount(bad[i:j], minlength=2)
-        at = np.flatnonzero(counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[1][at], docs_of[1]), pa.int64()), pa.array(np.append(counts[0][at], docs_of[0]), pa.int64())], ["bucket", "bad", "good"])
-
-    # clean counts of buckets that a task saw in no toxic document are missing: they make a sign look a little stronger
-    stats = T.mapped(texts, count, "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    stats = cut(stats)
-    row = stats.where("bucket = -1").first()
-    n_bad, n_good = (row[1], row[2]) if row else (0, 0)
-    if not n_bad or not n_good:
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.array([NEVER]))
-    a, b = F.col("bad") / n_bad, F.col("good") / n_good
-    z = (a - b) / F.sqrt((a * (1 - a) + 0.5 / n_bad) / n_bad + (b * (1 - b) + 0.5 / n_good) / n_good)
-    top = stats.where("bucket >= 0 and bad >= 3").where(a > LIFT * (b + 0.5 / n_good)).withColumn("z", z).orderBy(F.desc("z"), "bucket").limit(features).select("bucket", (a / (b + 0.5 / n_good)).alias("lift")).collect()
-    if not top:
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.array([NEVER]))
-    model = Model(np.array([r[0] for r in top]), np.zeros(len(top)), np.zeros(1))
+    texts = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    # rows that share an id are one document of the sample, so it has `sample` rows at most
+    texts = cut(texts.repartition(tasks, "__id").groupBy("__id").agg(F.first("level").alias("level"), F.min("text").alias("text")).select("level", "text"))
+
+    def counting(kind: int, wanted=None):
+        """Documents of a kind (1: toxic) by bucket, and all of them under -1; of the ``wanted`` buckets alone, if given."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, total = np.zeros(1 << BITS, np.int32), 0
+            for batch in batches:
+                bad = np.asarray(batch.column(0)) > 0
+                own = batch.filter(pa.array(bad == bool(kind)))
+                for i, j, data, offsets in T.text_steps(own.column(1)):
+                    windows, words, word_rows = _buckets(data, offsets)
+                    rows = np.searchsorted(offsets, np.arange(len(windows)), "right") - 1
+                    ok = np.arange(len(windows)) + WINDOW <= offsets[rows + 1]
+                    key = np.concatenate([(rows[ok] << BITS) | windows[ok], (word_rows << BITS) | words])
+                    if wanted is not None:
+                        key = key[wanted.value[key & ((1 << BITS) - 1)]]
+                    np.add.at(counts, np.unique(key) & ((1 << BITS) - 1), 1)
+                    total += j - i
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], total), pa.int64())], ["bucket", "n"])
+
+        return T.mapped(texts, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+    def table(kind: int, least: int, wanted=None) -> tuple[int, np.ndarray]:
+        got = counting(kind, wanted).where(F.col("n") >= least).toArrow()  # a row for each of 2^BITS buckets at most
+        bucket, n = np.asarray(got.column(0)), np.asarray(got.column(1))
+        return int(n[bucket < 0].sum()), np.bincount(bucket[bucket >= 0], n[bucket >= 0], 1 << BITS)
+
+    nothing = Model(np.zeros(0, np.int64), np.zeros(0), np.array([NEVER]))
+    n_bad, bad = table(1, LEAST)
+    if not n_bad:
+        return nothing
+    n_good, good = table(0, 1, texts.sparkSession.sparkContext.broadcast(bad > 0))
+    if not n_good:
+        return nothing
+    a, b = bad / n_bad, good / n_good
+    z = (a - b) / np.sqrt((a * (1 - a) + 0.5 / n_bad) / n_bad + (b * (1 - b) + 0.5 / n_good) / n_good)
+    lift = a / (b + 0.5 / n_good)
+    sign = np.flatnonzero((bad > 0) & (lift > LIFT))
+    if not len(sign):
+        return nothing
+    sign = sign[np.lexsort((sign, -z[sign]))][:features]
+    model = Model(sign, np.zeros(len(sign)), np.zeros(1))
     slots = texts.sparkSession.sparkContext.broadcast(model.slots())
 
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,12 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = np.repeat(np.arange(len(level)), np.diff(np.asarray(slot.offsets)))
     cols, tf = np.asarray(slot.flatten()), np.asarray(n.flatten())
     if grade is None:
-        strong = np.array([r[1] for r in top]) >= 2 * LIFT
+        strong = lift[sign] >= 2 * LIFT
         strength = np.bincount(rows, np.log1p(tf) * strong[cols], len(level))
         bad = level > 0
         steps = np.quantile(strength[bad], np.arange(1, grades - 1) / (grades - 1))
         level = np.where(bad, 1 + np.searchsorted(np.unique(steps), strength), 0)
-    model.weights, model.cuts = fit_cumulative_link(rows, cols, np.log1p(tf), level, len(top), signs=True)
+    model.weights, model.cuts = fit_cumulative_link(rows, cols, np.log1p(tf), level, len(sign), signs=True)
     return model
 
 

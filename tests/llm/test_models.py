@@ -1,9 +1,14 @@
 """Toxicity and language ID: held-out accuracy and defined results."""
 
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from foliogrid.llm import _text as T
 from foliogrid.llm import langid, toxicity
+from tests.llm.conftest import alnum
 
 PATH = "/root/testdata/sf0.1"
 
@@ -30,11 +35,78 @@ def test_toxicity_held_out(spark):
     assert got.severity[truth].mean() > 1.2 and got.severity[~truth].mean() < 0.1
 
 
+def buckets_of(text):
+    """Buckets of a text's 5-byte windows and words, one by one."""
+    data, out = (text or "").encode(), []
+    for i in range(len(data) - toxicity.WINDOW + 1):
+        h = 0
+        for b in data[i : i + toxicity.WINDOW]:
+            h = (h * 0x9E3779B1 + int(toxicity._BYTES[b])) % (1 << 32)
+            h ^= h >> 15
+        h = h * 0x85EBCA6B % (1 << 32)
+        out.append((h >> (33 - toxicity.BITS)) + (1 << (toxicity.BITS - 1)))
+    for w in alnum(text):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        out.append(int(T.hash_spans(raw, np.array([0]), np.array([len(raw)]))[0]) >> (65 - toxicity.BITS))
+    return out
+
+
+def brute_severity(text, model):
+    counts = Counter(b for b in buckets_of(text) if b in set(model.buckets.tolist()))
+    x = sum(math.log1p(counts[b]) * w for b, w in zip(model.buckets.tolist(), model.weights.tolist()))
+    return sum(0.0 if c == toxicity.NEVER else 1 / (1 + math.exp(min(60, max(-60, c - x)))) for c in model.cuts)
+
+
+def brute_signs(rows, features):
+    """Buckets that a plain count of documents ties to toxicity, best first; rows of (text, toxic)."""
+    n, held = Counter(), (Counter(), Counter())
+    for text, bad in rows:
+        n[bad] += 1
+        held[bad].update(set(buckets_of(text)))
+    found = []
+    for b, x in held[1].items():
+        a, c = x / n[1], held[0][b] / n[0]
+        if x >= toxicity.LEAST and a / (c + 0.5 / n[0]) > toxicity.LIFT:
+            found.append((-(a - c) / math.sqrt((a * (1 - a) + 0.5 / n[1]) / n[1] + (c * (1 - c) + 0.5 / n[0]) / n[0]), b))
+    return [b for _, b in sorted(found)[:features]]
+
+
+def planted(spark, odd):
+    """Odd rows, and short texts of which every third holds one or both bad words; their labels."""
+    rows = [(100 + i, f"plain words number {i}" + (" vile" if i % 3 == 0 else "") + (" nasty" if i % 6 == 0 else "")) for i in range(60)]
+    docs = odd.select("doc_id", "text", "labels", "score").unionByName(spark.createDataFrame([(*r, "x", 0.5) for r in [*rows, rows[0], rows[3]]], "doc_id long, text string, labels string, score double"))
+    marks = [(i, 1, int(i >= 100 and (i - 100) % 3 == 0)) for i in [1, 2, 3, 4, 5, 6, 7, 9, *range(100, 160)]] + [(1, 1, 0), (999, 1, 1), (None, 0, 1)]
+    return docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_equals_brute_force(spark, odd):
+    docs, labels = planted(spark, odd)
+    model = toxicity.train(docs, labels, features=40)
+    texts = {}
+    for r in docs.collect():
+        texts[r.doc_id] = min((x for x in (texts.get(r.doc_id), r.text) if x is not None), default=None)
+    marks = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in texts and r.doc_id is not None}
+    assert model.buckets.tolist() == brute_signs([(texts[d], bad) for d, bad in marks.items()], 40)
+    said = toxicity.severity(docs, model).collect()
+    want = [(r.doc_id, round(brute_severity(r.text, model), 9)) for r in docs.collect()]
+    assert sorted(((r.doc_id, round(r.severity, 9)) for r in said), key=str) == sorted(want, key=str)
+    by = {r.doc_id: r for r in said}
+    assert by[103].toxic and by[100].severity > by[103].severity - 1e-9 and not by[101].toxic and by[3].severity == by[4].severity == by[5].severity < 0.1
+    assert all(np.diff(model.cuts) > 0)
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(11), labels.repartition(3), tasks=211)
+    assert a.buckets.tolist() == b.buckets.tolist() and a.weights.tolist() == b.weights.tolist() and a.cuts.tolist() == b.cuts.tolist() and len(a.buckets) > 100
+
+
 def test_toxicity_defined_results(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (99, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd, labels)
     got = toxicity.severity(odd, model).collect()
     assert len(got) == odd.count() and {r.severity for r in got} == {0.0} and toxicity.severity(empty, model).count() == 0
+    assert len(toxicity.train(empty, labels).buckets) == len(toxicity.train(odd, labels.where("false")).buckets) == 0
 
 
 def test_language_held_out(spark):
