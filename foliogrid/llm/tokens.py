@@ -13,8 +13,10 @@ Spark's own writer makes the files, so a task that is lost is run again and leav
 segment, and any store that Spark reaches will do. A segment closes at ``SEGMENT`` ids or after the document
 that passes it.
 
+Documents are found through select alone: a reader decodes the bounds of those that it asks for, never a segment's whole code.
+
 Defined results: a null text is an empty one and has only the end id; rows with equal ids stand next to
-each other in order of their texts; null ids come first; an empty table gives no segment.
+each other in order of their texts' hashes (``xxhash64``), then texts; null ids come first; an empty table gives no segment.
 """
 
 from __future__ import annotations
@@ -77,10 +79,24 @@ class EliasFano:
             low |= ((int(self.low[at // 8]) >> (at % 8)) & 1) << b
         return ((place - i) << self.low_bits) | low
 
+    def span(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: select for all of them, reading the high bits from the hint before a to the one behind b alone."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, np.int64)
+        first, last = a // HINT, -(-b // HINT)
+        begin = int(self.hints[first]) // 8
+        end = int(self.hints[last]) // 8 + 1 if last < len(self.hints) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")) + begin * 8
+        skipped = int(np.searchsorted(ones, int(self.hints[first])))
+        ones = ones[skipped + a - first * HINT :][: b - a]
+        bit, count = a * self.low_bits, (b - a) * self.low_bits
+        low = np.unpackbits(self.low[bit // 8 : -(-(bit + count) // 8)], bitorder="little")[bit % 8 :][:count].reshape(b - a, self.low_bits).astype(np.int64)
+        return ((ones - np.arange(a, b)) << self.low_bits) + (low << np.arange(self.low_bits)).sum(axis=1)
+
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return ((ones - np.arange(self.n)) << self.low_bits) + (low << np.arange(self.low_bits)).sum(axis=1)
+        return self.span(0, self.n)
 
 
 #: A pre-tokenizer's pattern, which ends a piece between an ASCII letter and other ASCII characters but digits, either way round but behind "'".
@@ -284,59 +300,95 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
             yield close()
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    T.mapped(slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text"), run, schema).write.parquet(path)
+    order = ["doc_id", F.xxhash64("text")]
+    T.mapped(slim.repartitionByRange(*order).sortWithinPartitions(*order, "text"), run, schema).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): each document's ids and the ids before it, read from the files."""
-    files = spark.read.parquet(path)
+def _placed(files: DataFrame) -> DataFrame:
+    """(a, b, base): the ids before each segment (shard a, segment b)."""
     sums = files.groupBy("shard").agg(F.sum("n_ids").alias("sum"))
     shards = sums.select(F.col("shard").alias("s"), F.expr("sum(sum) over (order by shard) - sum").alias("shard_base"))
     bases = files.select(F.col("shard").alias("a"), F.col("segment").alias("b"), F.expr("sum(n_ids) over (partition by shard order by segment) - n_ids").alias("own_base"))
-    bases = bases.join(shards, F.col("a") == F.col("s")).select("a", "b", (F.col("own_base") + F.col("shard_base")).alias("base"))
-    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    return bases.join(shards, F.col("a") == F.col("s")).select("a", "b", (F.col("own_base") + F.col("shard_base")).alias("base"))
+
+
+def _id_kind(files: DataFrame) -> str:
+    return files.schema["doc_ids"].dataType.elementType.simpleString()
+
+
+#: Documents whose bounds are selected at once.
+_AT_ONCE = 512
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, EliasFano, np.ndarray]]:
+    """The columns, the bounds' code and the ids of each segment."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = {k: batch.column(k)[r] for k in batch.schema.names}
+            code = EliasFano(row["n_docs"].as_py() + 1, row["low_bits"].as_py(), row["low"].as_py(), row["high"].as_py(), row["hints"].as_py())
+            yield row, code, np.frombuffer(row["ids"].as_buffer(), "<u2" if row["width"].as_py() == 2 else "<u4")
+
+
+def _with_bases(files: DataFrame) -> DataFrame:
+    return files.join(small(_placed(files)), (F.col("shard") == F.col("a")) & (F.col("segment") == F.col("b"))).drop("a", "b")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): each document's ids and the ids before it, read from the files."""
+    files = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {k: batch.column(k)[r] for k in batch.schema.names}
-                n, width = row["n_docs"].as_py(), row["width"].as_py()
-                code = EliasFano(n + 1, row["low_bits"].as_py(), row["low"].as_py(), row["high"].as_py(), row["hints"].as_py())
-                bounds = code.all()
-                raw = row["ids"].as_buffer()
-                for a in range(0, n, 512):
-                    b = min(n, a + 512)
-                    ids = np.frombuffer(raw, "<u2" if width == 2 else "<u4")[bounds[a] : bounds[b]].astype("<u4")
-                    yield pa.RecordBatch.from_arrays(
-                        [row["doc_ids"].values.slice(a, b - a), pa.array(bounds[a:b] + row["base"].as_py()), pa.array(np.diff(bounds[a : b + 1])), T.list_array(pa.array(ids), bounds[a : b + 1] - bounds[a]).cast(pa.list_(pa.int64()))],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
-
-    joined = files.join(small(bases), (F.col("shard") == F.col("a")) & (F.col("segment") == F.col("b"))).drop("a", "b")
-    return T.mapped(joined, run, f"doc_id {kind}, start long, n_tokens long, ids array<long>")
+        for row, code, raw in _segments(batches):
+            for a in range(0, code.n - 1, _AT_ONCE):
+                b = min(code.n - 1, a + _AT_ONCE)
+                bounds = code.span(a, b + 1)
+                ids = raw[bounds[0] : bounds[-1]].astype("<u4")
+                yield pa.RecordBatch.from_arrays(
+                    [row["doc_ids"].values.slice(a, b - a), pa.array(bounds[:-1] + row["base"].as_py()), pa.array(np.diff(bounds)), T.list_array(pa.array(ids), bounds - bounds[0]).cast(pa.list_(pa.int64()))],
+                    ["doc_id", "start", "n_tokens", "ids"],
+                )
+
+    return T.mapped(_with_bases(files), run, f"doc_id {_id_kind(files)}, start long, n_tokens long, ids array<long>")
+
+
+def find_tokens(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of some documents: two selects for each, in the segments that have them; others stay closed."""
+    files = spark.read.parquet(path)
+    kind = _id_kind(files)
+    wanted = F.array(*[F.lit(x).cast(kind) for x in doc_ids])
+    known = set(doc_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, code, raw in _segments(batches):
+            at = [i for i, x in enumerate(row["doc_ids"].values.to_pylist()) if x in known]
+            spans = [(code.select(i), code.select(i + 1)) for i in at]
+            yield pa.RecordBatch.from_arrays(
+                [row["doc_ids"].values.take(pa.array(at, pa.int64())), pa.array([a + row["base"].as_py() for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array([raw[a:b].tolist() for a, b in spans], pa.list_(pa.int64()))],
+                ["doc_id", "start", "n_tokens", "ids"],
+            )
+
+    return T.mapped(_with_bases(files).where(F.arrays_overlap("doc_ids", wanted)), run, f"doc_id {kind}, start long, n_tokens long, ids array<long>")
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in the files; crc32 is over ids of 4 bytes."""
     files = spark.read.parquet(path)
-    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {k: batch.column(k)[r] for k in batch.schema.names}
-                n = row["n_docs"].as_py()
-                bounds = EliasFano(n + 1, row["low_bits"].as_py(), row["low"].as_py(), row["high"].as_py(), row["hints"].as_py()).all()
-                raw = memoryview(np.frombuffer(row["ids"].as_buffer(), "<u2" if row["width"].as_py() == 2 else "<u4").astype("<u4")).cast("B")
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(np.full(n, row["shard"].as_py(), np.int32)), pa.array(np.full(n, row["segment"].as_py(), np.int32)), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "shard", "segment", "within", "n_tokens", "ids_crc32"])
-
-    each = T.mapped(files, run, f"doc_id {kind}, shard int, segment int, within long, n_tokens long, ids_crc32 long")
-    sums = files.groupBy("shard").agg(F.sum("n_ids").alias("sum"))
-    shards = sums.select(F.col("shard").alias("s"), F.expr("sum(sum) over (order by shard) - sum").alias("shard_base"))
-    bases = files.select(F.col("shard").alias("a"), F.col("segment").alias("b"), F.expr("sum(n_ids) over (partition by shard order by segment) - n_ids").alias("own_base"))
-    bases = bases.join(shards, F.col("a") == F.col("s")).select("a", "b", (F.col("own_base") + F.col("shard_base")).alias("base"))
-    return each.join(small(bases), (F.col("shard") == F.col("a")) & (F.col("segment") == F.col("b"))).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+        for row, code, raw in _segments(batches):
+            for a in range(0, code.n - 1, _AT_ONCE):
+                b = min(code.n - 1, a + _AT_ONCE)
+                bounds = code.span(a, b + 1)
+                own = memoryview(raw[bounds[0] : bounds[-1]].astype("<u4")).cast("B")
+                at = (bounds - bounds[0]) * 4
+                crc = [zlib.crc32(own[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [row["doc_ids"].values.slice(a, b - a), pa.array(np.full(b - a, row["shard"].as_py(), np.int32)), pa.array(np.full(b - a, row["segment"].as_py(), np.int32)), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                    ["doc_id", "shard", "segment", "within", "n_tokens", "ids_crc32"],
+                )
+
+    each = T.mapped(files, run, f"doc_id {_id_kind(files)}, shard int, segment int, within long, n_tokens long, ids_crc32 long")
+    return each.join(small(_placed(files)), (F.col("shard") == F.col("a")) & (F.col("segment") == F.col("b"))).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

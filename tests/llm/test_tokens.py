@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from foliogrid.llm import tokens as K
@@ -21,11 +22,30 @@ def test_elias_fano_round_trip(values):
         assert size < 0.3 * 8 * len(values)
     with pytest.raises(IndexError):
         code.select(len(values))
+    for a in range(0, len(values), 1 + len(values) // 9):
+        for b in (a, a + 1, (a + len(values)) // 2, len(values)):
+            assert (code.span(a, b) == values[a:b]).all()
+
+
+def test_one_document_is_read_without_decoding_all_bounds(spark, tmp_path, monkeypatch):
+    values = np.cumsum(np.random.default_rng(3).integers(0, 900, 100_000))
+    code = K.EliasFano(len(values), *K.EliasFano.encode(values))
+    asked = []
+    unpack = np.unpackbits
+    monkeypatch.setattr(K.np, "unpackbits", lambda x, **o: asked.append(len(x)) or unpack(x, **o))
+    assert code.select(70_001) == values[70_001] and (code.span(70_001, 70_003) == values[70_001:70_003]).all()
+    assert sum(asked) < 100 < len(code.high)
+    docs = spark.range(500).selectExpr("id as doc_id", "repeat('some words ', cast(id as int)) as text")
+    K.write_tokens(docs, f"{tmp_path}/one", WORD, segment=20_000)
+    monkeypatch.setattr(K.EliasFano, "all", None)
+    (row,) = K.find_tokens(spark, f"{tmp_path}/one", [321]).collect()
+    assert row.n_tokens == len(row.ids) == 643 and row.start == sum(2 * i + 1 for i in range(321))
 
 
 def expected(rows, path, end=1):
     t, at, out = Tokenizer.from_file(path), 0, []
-    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    place = lambda r: ((h := xxhash.xxh64_intdigest((r[1] or "").encode(), 42)) - (h >> 63 << 64), r[1] or "")
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, *place(r))):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, end]
         out.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -43,11 +63,14 @@ def test_files_equal_the_library(spark, odd, tmp_path, path, by_word):
     where = f"{tmp_path}/t"
     K.write_tokens(docs, where, path, by_word=by_word, segment=3000)
     got = [tuple(r) for r in K.token_digest(spark, where).orderBy("start").collect()]
-    # rows of one id stand in order of text; Spark orders by bytes, which agrees here
+    # rows of one id stand in order of their texts' hashes
     assert got == want
     back = {(r.doc_id, r.start): r.ids for r in K.read_tokens(spark, where).collect()}
     assert [(d, s, len(back[d, s]), zlib.crc32(np.array(back[d, s], "<u4").tobytes())) for d, s, _, _ in want] == want
     assert spark.read.parquet(where).count() > 3
+    some = [x for x in want if x[0] in (2, 10, 150, 401)]
+    found = sorted(((r.doc_id, r.start, r.n_tokens, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in K.find_tokens(spark, where, [2, 10, 150, 401, 9999]).collect()), key=lambda r: r[1])
+    assert found == some and len(some) == 5
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
