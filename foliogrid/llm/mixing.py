@@ -74,12 +74,12 @@ def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", source_weights: Sequence[float] = SOURCE_WEIGHTS, percent: float = BUDGET_PERCENT, epochs: float = MAX_EPOCHS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words), times (copies).
+    """One row per document: doc_id, source, size, source_size, target, taken (words), times (copies).
 
     ``weights`` has (doc_id, weight) with weight > 0; documents without one weigh 1.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    slim = cut(slim.select("doc_id", "source", F.expr(SIZE).alias("size")))
+    slim = slim.select("doc_id", "source", F.expr(SIZE).alias("size"))
     if weights is None:
         keyed = slim.withColumn("weight", F.lit(1.0))
     else:
@@ -99,20 +99,37 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     inside = F.col("before") + F.col("offset") + F.col("size") / 2 <= rest
     out = out.withColumn("whole", whole).withColumn("times", (F.col("whole") + F.when((F.col("size") > 0) & inside, 1).otherwise(0)).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times")
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns.
+    """The mix itself: each document as often as it is taken, with all its columns, so that its words are the mix's.
 
-    Rows that share an id and size are taken alike. Documents without words take part once where their source is taken whole.
+    Rows of one id, source and size share a place in the source's order and are taken alike, but where the source's budget ends among
+    them: then some are taken once more, whichever. Documents without words take part once where their source is taken whole.
     """
-    times = mix(docs, weights, doc_id, **options).where("times > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("times").alias("__times"))
-    columns = docs.columns
-    text = options.get("text", "text")
+    text, source = options.get("text", "text"), options.get("source", "source")
+    place = ["__id", "__source", "__size"]
+    mixed = mix(docs, weights, doc_id, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "times")
+    times = cut(mixed.groupBy(*place).agg(F.sum("times").alias("__sum"), F.count("*").alias("__rows")).where("__sum > 0"))
+    times = times.withColumn("__times", F.expr("cast(__sum div __rows as int)")).withColumn("__more", F.expr("__sum % __rows")).drop("__sum", "__rows")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).cast("string").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size"))
     sized = docs.withColumn("__own", F.expr(SIZE.replace("(text,", f"(`{text}`,")))
-    taken = sized.join(times, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    taken = sized.join(times.where("__more = 0"), same).withColumn("__copies", F.col("__times")).select(*columns, "__copies")
+    # a budget ends among equals at most once in a source, and seldom: a row of `split` for each source at most
+    split = times.where("__more > 0")
+    if split.count():
+        split = split.withColumn("__n", F.expr("row_number() over (order by __source, __id, __size)"))
+        # numbered by the task that reads them and a running number there, so that no task has all equals
+        some = cut(sized.join(F.broadcast(split), same).withColumn("__task", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
+        counts = some.groupBy("__n", "__task").agg(F.count("*").alias("__here"))
+        counts = counts.select(F.col("__n").alias("__m"), F.col("__task").alias("__t"), F.expr("sum(__here) over (partition by __n order by __task) - __here").alias("__before"))
+        some = some.withColumn("__number", F.expr("row_number() over (partition by __n, __task order by __row)"))
+        some = some.join(F.broadcast(counts), (F.col("__n") == F.col("__m")) & (F.col("__task") == F.col("__t")))
+        some = some.withColumn("__copies", F.col("__times") + F.when(F.col("__before") + F.col("__number") <= F.col("__more"), 1).otherwise(0))
+        taken = taken.unionByName(some.where("__copies > 0").select(*columns, "__copies"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

@@ -71,13 +71,35 @@ def test_weights_favour_good_documents(spark):
 
 
 def test_the_mix_repeats_documents(spark, odd):
-    times = {(r.doc_id, r.size): r.times for r in M.mix(odd).collect()}
+    times = defaultdict(int)
+    for r in M.mix(odd).collect():
+        times[r.doc_id, r.size] += r.times
     out = M.mixed_documents(odd)
     assert out.columns == odd.columns
     got = defaultdict(int)
     for r in out.collect():
         got[r.doc_id, len(spaced(r.text))] += 1
-    rows = defaultdict(int)
-    for r in odd.collect():
-        rows[r.doc_id, len(spaced(r.text))] += 1
-    assert dict(got) == {k: v * rows[k] for k, v in times.items() if v}
+    assert dict(got) == {k: v for k, v in times.items() if v}
+
+
+def test_words_of_the_mix_with_repeated_rows(spark, empty):
+    """A source whose budget ends among rows of one id and size: its documents have just the mix's words."""
+    rows = [(1, "a b c d", "x", i) for i in range(40)] + [(2, "a b", "y", i) for i in range(7)] + [(None, "w " * 9, "x", i) for i in range(30)] + [(i, "v " * (i % 5), "z", 0) for i in range(10, 40)]
+    rows += [(1, "a b c d", "y", i) for i in range(11)] + [(50, None, None, 0), (50, "q q", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(6)
+    mixed = M.mix(docs).collect()
+    split = defaultdict(set)
+    for r in mixed:
+        split[r.doc_id, r.source, r.size].add(r.times)
+    assert any(len(x) > 1 for x in split.values()), "no budget ends among equals"
+    out = M.mixed_documents(docs)
+    words, want = defaultdict(int), defaultdict(int)
+    for r in out.collect():
+        words[r.source] += len(spaced(r.text))
+    for r in mixed:
+        want[r.source] += r.taken
+    assert {k: v for k, v in words.items() if v} == {k: v for k, v in want.items() if v}
+    copies = defaultdict(int)
+    for r in out.collect():
+        copies[tuple(r)] += 1
+    assert max(copies.values()) <= 2 and M.mixed_documents(empty).count() == 0
