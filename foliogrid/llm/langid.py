@@ -37,6 +37,8 @@ SAMPLE = 1_500
 EVIDENCE = 200.0
 UND = "und"
 UND_PRIOR = 1e-3
+#: Sums by host and other evidence that one task holds, or so.
+GROUPS_A_TASK = 100_000
 _BITS = 16
 _BYTES = (T._VALUES_LOWER >> T.U(32)).astype(np.uint32)
 _LETTER = np.zeros(256, bool)
@@ -51,31 +53,45 @@ class TextModel:
     languages: list[str]
     table: np.ndarray  # (windows, classes)
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tempered log-likelihoods (row, class) and numbers of letters."""
-        b, row_of = _windows(data, offsets)
-        sums = np.zeros((len(offsets) - 1, self.table.shape[1]))
-        first = np.searchsorted(row_of, np.arange(len(offsets)))
-        for c in range(self.table.shape[1]):
-            total = np.concatenate([[0], np.cumsum(self.table[b, c], dtype=np.float64)])
-            sums[:, c] = total[first[1:]] - total[first[:-1]]
-        n = np.diff(first)
-        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-        letters = letters[offsets[1:]] - letters[offsets[:-1]]
-        return sums / np.maximum(n, 1)[:, None] * (n / (1 + n / EVIDENCE))[:, None], letters
-
-
-def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 3-byte windows that stay in their row and hold a letter, and their rows."""
-    n = len(data) - 2
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tempered log-likelihoods (row, class), the posteriors that they give alone (0 without letters), and numbers of letters.
+
+        A row beyond a step's bytes is a step of its own; it is read in blocks, so memory doesn't follow its length.
+        """
+        rows, k = len(offsets) - 1, self.table.shape[1]
+        sums, n, letters = np.zeros((rows, k)), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        for at in range(0, max(len(data), 1), T.STEP):
+            part = data[at : at + T.STEP + 2]
+            own = np.clip(offsets - at, 0, len(part))
+            b, row_of = _windows(part, own, min(T.STEP, len(part)))
+            first = np.searchsorted(row_of, np.arange(rows + 1))
+            full = np.flatnonzero(np.diff(first))
+            if len(full):
+                sums[full] += np.add.reduceat(self.table[b], first[full], axis=0, dtype=np.float64)
+            n += np.diff(first)
+            held = np.concatenate([[0], np.cumsum(_LETTER[part[: T.STEP]])])
+            own = np.minimum(own, T.STEP)
+            letters += held[own[1:]] - held[own[:-1]]
+        ll = sums / np.maximum(n, 1)[:, None] * (n / (1 + n / EVIDENCE))[:, None]
+        return ll, np.where(letters[:, None] > 0, _soft(ll), 0.0), letters
+
+
+def _soft(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the 3-byte windows that stay in their row and hold a letter, and their rows; ``most``: windows from the first bytes alone."""
+    n = len(data) - 2 if most is None else min(most, len(data) - 2)
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     v = _BYTES[data]
-    h = (v[:n] * np.uint32(0x9E3779B1) + v[1 : n + 1]) * np.uint32(0x85EBCA6B) + v[2:]
+    h = (v[:n] * np.uint32(0x9E3779B1) + v[1 : n + 1]) * np.uint32(0x85EBCA6B) + v[2 : n + 2]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     letter = _LETTER[data]
-    ok = letter[:n] | letter[1 : n + 1] | letter[2:]
+    ok = letter[:n] | letter[1 : n + 1] | letter[2 : n + 2]
     edge = offsets[1:-1]
     for back in (1, 2):
         at = edge - back
@@ -124,8 +140,12 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return TextModel(names, table)
 
 
-def _with_scores(rows: DataFrame, model: TextModel, text: str, html: str | None, ll: str, letters: str) -> DataFrame:
-    """All columns, with the text's log-likelihoods and its letters. ``html``: a boolean column, true for markup."""
+#: Columns that scoring adds: log-likelihoods and posteriors by class, and letters.
+_SCORES = {"__ll": "array<double>", "__own": "array<double>", "__letters": "long"}
+
+
+def _scored(rows: DataFrame, model: TextModel, text: str, html: str | None) -> DataFrame:
+    """The rows without their text, with ``_SCORES``, kept in the shared folder. ``html``: a boolean column, true for markup."""
     at = rows.columns.index(text)
     mark = rows.columns.index(html) if html else None
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -133,96 +153,93 @@ def _with_scores(rows: DataFrame, model: TextModel, text: str, html: str | None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rest = [x for x in range(batch.num_columns) if x != at]
             for i, j, data, offsets in T.text_steps(batch.column(at)):
                 if mark is not None:
                     data, offsets = _visible(data, offsets, np.asarray(batch.column(mark).slice(i, j - i).fill_null(False)))
-                s, n = shared.value.scores(data, offsets)
-                own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * classes), pa.array(s.reshape(-1))), pa.array(n)], [*own.schema.names, ll, letters])
+                ll, own, letters = shared.value.scores(data, offsets)
+                ends = np.arange(j - i + 1) * classes
+                kept = [batch.column(x).slice(i, j - i) for x in rest]
+                yield pa.RecordBatch.from_arrays([*kept, T.list_array(pa.array(ll.reshape(-1)), ends), T.list_array(pa.array(own.reshape(-1)), ends), pa.array(letters)], [*(batch.schema.names[x] for x in rest), *_SCORES])
 
-    return T.mapped(rows, run, T.wider(rows.schema, **{ll: "array<double>", letters: "long"}))
+    return cut(T.mapped(rows, run, T.wider(rows.drop(text).schema, **_SCORES)))
 
 
 def _visible(data: np.ndarray, offsets: np.ndarray, html: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of markup without their tags."""
-    n = len(data)
-    place = np.arange(1, n + 1)
-    opened, closed = np.maximum.accumulate(np.where(data == 60, place, 0)), np.maximum.accumulate(np.where(data == 62, place, 0))
-    start = np.repeat(offsets[:-1], np.diff(offsets))
-    tag = ((opened > closed) & (opened > start)) | (data == 62)
-    keep = ~(tag & np.repeat(html, np.diff(offsets)))
+    keep = np.ones(len(data), bool)
+    inside = False  # a row of many blocks: whether a tag is open where the block begins
+    for at in range(0, len(data), T.STEP):
+        part = data[at : at + T.STEP]
+        own = np.clip(offsets - at, 0, len(part)).astype(np.int32)
+        place = np.arange(1, len(part) + 1, dtype=np.int32)
+        opened, closed = np.maximum.accumulate(np.where(part == 60, place, 0)), np.maximum.accumulate(np.where(part == 62, place, 0))
+        start = np.repeat(own[:-1], np.diff(own))
+        tag = (opened > closed) & (opened > start)
+        if inside:
+            tag |= (opened == 0) & (closed == 0)
+        inside = bool(tag[-1])
+        keep[at : at + len(part)] = ~((tag | (part == 62)) & np.repeat(html, np.diff(own)))
     return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
-def fuse(scored: DataFrame, model: TextModel, ll: str, letters: str, declared: str, suffix: str, domain: str, host: str, tables_from: DataFrame | None = None) -> DataFrame:
-    """Adds ``__post`` (posterior by class), ``__lang`` and ``__rejected``.
+def fuse(scored: DataFrame, model: TextModel, declared: str, suffix: str, domain: str, host: str, ids: list[str]) -> DataFrame:
+    """(ids, lang, confidence, rejected, letters) of scored rows.
 
-    ``tables_from`` is where priors are summed from, ``scored`` itself by default; it needs the same columns.
+    Priors are grouped sums of the rows' own posteriors. Their tables are joined to the rows by key; a row without a
+    key meets nothing and goes where its number sends it, so rows without one are no hot key. What is joined is narrow.
     """
     names = [*model.languages, UND]
     k = len(names)
     c = F.col
-
-    def soft(x: Column) -> Column:
-        e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-        return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
-
-    def own(frame: DataFrame) -> DataFrame:
-        """With the text's own posterior; nothing for texts without letters."""
-        return frame.withColumn("__own", F.when(c(letters) > 0, soft(c(ll))).otherwise(F.array(*[F.lit(0.0)] * k)))
-
-    base = own(tables_from if tables_from is not None else scored).select(c(declared).alias("d"), c(suffix).alias("x"), c(domain).alias("m"), c(host).alias("h"), "__own")
+    base = scored.select(c(declared).alias("d"), c(suffix).alias("x"), c(domain).alias("m"), c(host).alias("h"), "__own")
     sums = [F.sum(F.element_at("__own", i + 1)).alias(f"n{i}") for i in range(k)]
-    by_all = cut(base.groupBy("d", "x", "m", "h").agg(*sums))  # light from here on
+    *total, groups = base.agg(*sums, F.approx_count_distinct(F.struct("d", "x", "m", "h"))).first()
+    # few groups need few tasks, each of which writes a file
+    by_all = cut(base.groupBy("d", "x", "m", "h").agg(*sums).coalesce(groups // GROUPS_A_TASK + 1))
     again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]
-
-    def vector(frame: DataFrame, name: str) -> DataFrame:
-        return frame.withColumn(name, F.array(*[f"n{i}" for i in range(k)])).drop(*[f"n{i}" for i in range(k)])
-
-    total = by_all.agg(*again).first()
     whole = np.array([float(x or 0) for x in total])
     share = (whole + 0.5) / (whole + 0.5).sum()
     share[-1] = UND_PRIOR
     share /= share.sum()
-    flat = F.array(*[F.lit(float(x)) for x in share])
-    hosts = vector(by_all.where("h is not null").groupBy(c("h").alias("__h")).agg(*again), "__host")
-    domains = vector(by_all.where("m is not null").groupBy(c("m").alias("__m")).agg(*again), "__domain")
-    suffixes = vector(by_all.where("x is not null").groupBy(c("x").alias("__x")).agg(*again), "__suffix")
-    declareds = vector(by_all.where("d is not null").groupBy(c("d").alias("__d")).agg(*again), "__declared")
-    out = own(scored)
-    for frame, key, col in ((hosts, "__h", host), (domains, "__m", domain), (suffixes, "__x", suffix), (declareds, "__d", declared)):
-        out = out.join(small(frame), c(col) == c(key), "left").drop(key)
-    zero = F.array(*[F.lit(0.0)] * k)
-
-    def fields(a: Column, b: Column, f) -> Column:
-        return F.zip_with(a, b, f)
-
-    def added(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-
-    def smooth(counts: Column, prior: Column, weight: float) -> Column:
-        n = added(counts)
-        return fields(counts, prior, lambda a, p: (a + weight * p) / (n + weight))
-
-    def left(name: str) -> Column:
-        return F.when(c(name).isNull(), zero).otherwise(fields(c(name), c("__own"), lambda a, b: F.greatest(a - b, F.lit(0.0))))
-
-    out = out.withColumn("__domain", smooth(left("__domain"), flat, 20.0)).withColumn("__host", smooth(left("__host"), c("__domain"), 10.0))
-    totals = F.array(*[F.lit(float(x)) for x in whole])
-
-    def evidence(name: str) -> Column:
-        """P(value | l) up to a factor: rows of l with the value, over all rows of l."""
-        return F.when(c(name).isNull(), F.array(*[F.lit(0.0)] * k)).otherwise(fields(left(name), totals, lambda a, t: F.log((a + 1.0) / (t + 20.0))))
-
-    parts = [F.transform("__host", lambda p: F.log(F.greatest(p, F.lit(1e-9)))), evidence("__suffix"), evidence("__declared"), F.when(c(letters) > 0, c(ll)).otherwise(zero)]
-    fused = parts[0]
-    for p in parts[1:]:
-        fused = fields(fused, p, lambda a, b: a + b)
-    out = out.withColumn("__post", soft(fused))
-    best = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("__post", F.array_max("__post")).cast("int"))
-    silent = (c(letters) == 0) & c(declared).isNull() & c(host).isNull()
-    out = out.withColumn("__lang", F.when(silent, UND).otherwise(best)).withColumn("__rejected", (c("__lang") == UND) | (c(letters) == 0))
-    return out.drop("__own", "__host", "__domain", "__suffix", "__declared")
+
+    out = scored.withColumn("__number", F.monotonically_increasing_id())
+    tables = [("__host", "h", host), ("__domain", "m", domain), ("__suffix", "x", suffix), ("__declared", "d", declared)]
+    for name, key, col in tables:
+        sums = by_all.where(c(key).isNotNull()).groupBy(c(key).alias("__key")).agg(*again)
+        sums = sums.select("__key", F.array(*[f"n{i}" for i in range(k)]).alias(name))
+        meets = F.coalesce(c(col), F.concat(F.lit("\0"), F.pmod("__number", F.lit(1 << 16)).cast("string")))
+        out = out.join(small(sums), (meets == c("__key")) & c(col).isNotNull(), "left").drop("__key")
+    slim = out.select(*ids, "__ll", "__own", "__letters", *[name for name, _, _ in tables], F.col(declared).isNull().alias("__undeclared"), F.col(host).isNull().alias("__homeless"))
+    at = len(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """(row, class) and whether the row has any; 0 where not."""
+            there = np.asarray(column.is_valid())
+            dense = np.zeros((len(column), k))
+            dense[there] = np.asarray(column.drop_null().flatten()).reshape(-1, k)
+            return dense, there
+
+        for batch in batches:
+            ll, own = vectors(batch.column(at))[0], vectors(batch.column(at + 1))[0]
+            letters = np.asarray(batch.column(at + 2))
+            others, there = zip(*[vectors(batch.column(at + 3 + i)) for i in range(4)], strict=True)
+            # a row's own text is no evidence for it
+            host_n, domain_n, suffix_n, declared_n = (np.where(t[:, None], np.maximum(x - own, 0), 0.0) for x, t in zip(others, there, strict=True))
+            near = (domain_n + 20.0 * share) / (domain_n.sum(axis=1, keepdims=True) + 20.0)
+            prior = (host_n + 10.0 * near) / (host_n.sum(axis=1, keepdims=True) + 10.0)
+            total = np.log(np.maximum(prior, 1e-9)) + np.where(letters[:, None] > 0, ll, 0.0)
+            # P(value | l) up to a factor: rows of l with the value, over all rows of l
+            for n, t in ((suffix_n, there[2]), (declared_n, there[3])):
+                total += np.where(t[:, None], np.log((n + 1.0) / (whole + 20.0)), 0.0)
+            post = _soft(total) if len(total) else total
+            best = post.argmax(axis=1) if len(total) else np.zeros(0, np.int64)
+            silent = (letters == 0) & np.asarray(batch.column(at + 7)) & np.asarray(batch.column(at + 8))
+            best[silent] = k - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([names[x] for x in best], pa.string()), pa.array(post.max(axis=1) if len(total) else np.zeros(0)), pa.array((best == k - 1) | (letters == 0)), pa.array(letters)], [*ids, "lang", "confidence", "rejected", "letters"])
+
+    return T.mapped(slim, run, T.wider(slim.select(*ids).schema, lang="string", confidence="double", rejected="boolean", letters="long"))
 
 
 def address(url: Column) -> tuple[Column, Column, Column]:
@@ -242,18 +259,25 @@ def declared_in(html: Column) -> Column:
 
 def identify(rows: DataFrame, model: TextModel, ids: list[str], text: str, html: str | None, declared: str, host: str, domain: str, suffix: str) -> DataFrame:
     """ids, lang, confidence, rejected, letters: a row for each row."""
-    slim = rows.select(*ids, text, declared, host, domain, suffix, *([html] if html else []))
-    scored = cut(_with_scores(slim, model, text, html, "__ll", "__letters").drop(text))
-    out = fuse(scored, model, "__ll", "__letters", declared, suffix, domain, host)
-    return out.select(*ids, F.col("__lang").alias("lang"), F.array_max("__post").alias("confidence"), F.col("__rejected").alias("rejected"), F.col("__letters").alias("letters"))
+    slim = rows.select(*[F.col(f"`{c}`") for c in ids], F.col(text).alias("__text"), F.col(declared).alias("__declared_in"), F.col(host).alias("__host_in"), F.col(domain).alias("__domain_in"), F.col(suffix).alias("__suffix_in"), *([F.col(html).alias("__html")] if html else []))
+    return fuse(_scored(slim, model, "__text", "__html" if html else None), model, "__declared_in", "__suffix_in", "__domain_in", "__host_in", ids)
 
 
 def known_language(docs: DataFrame, model: TextModel, text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
-    """The documents that are not rejected, with their columns as they are; ``host``: a column that acts as one."""
+    """The documents that are not rejected, with their columns as they are; ``host``: a column that acts as one.
+
+    Equal texts with the same declaration and host get the same answer, so what is rejected is known by these (the text by its MD5):
+    texts are scored once and stay where they are.
+    """
+    none = F.lit(None).cast("string")
+
+    def key(prefix: str) -> list[Column]:
+        return [F.md5(F.encode(F.col(f"`{text}`"), "utf-8")).alias(f"{prefix}t"), F.col(f"`{declared}`").cast("string").alias(f"{prefix}d"), F.col(f"`{host}`").cast("string").alias(f"{prefix}h")]
+
+    light = docs.select(F.col(f"`{text}`").alias("__text"), *key("__"), none.alias("__none"))
+    said = fuse(_scored(light, model, "__text", None), model, "__d", "__none", "__none", "__h", ["__t", "__d", "__h"])
+    gone = cut(said.where("rejected").select("__t", "__d", "__h").distinct())
     columns = docs.columns
-    wide = docs.withColumn("__none", F.lit(None).cast("string")).withColumn("__declared_in", F.col(f"`{declared}`").cast("string")).withColumn("__host_in", F.col(f"`{host}`").cast("string"))
-    light = wide.select(F.col(f"`{text}`").alias("__text"), "__none", "__declared_in", "__host_in")
-    tables = _with_scores(light, model, "__text", None, "__ll", "__letters").drop("__text")
-    scored = _with_scores(wide, model, text, None, "__ll", "__letters")
-    out = fuse(scored, model, "__ll", "__letters", "__declared_in", "__none", "__none", "__host_in", tables)
-    return out.where(~F.col("__rejected")).select(*[F.col(f"`{c}`") for c in columns])
+    wide = docs.select(*[F.col(f"`{c}`") for c in columns], *key("__own_"))
+    same = F.col("__own_t").eqNullSafe(F.col("__t")) & F.col("__own_d").eqNullSafe(F.col("__d")) & F.col("__own_h").eqNullSafe(F.col("__h"))
+    return wide.join(small(gone), same, "left_anti").select(*[F.col(f"`{c}`") for c in columns])

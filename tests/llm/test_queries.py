@@ -14,8 +14,9 @@ import corpus_pipeline
 from foliogrid.llm import _text as T
 from foliogrid.llm import jaccard, langid, mixing, oracle, queries
 from tests.llm.conftest import alnum, spaced
-from tests.llm.test_jaccard import brute as brute_components
+from tests.llm.test_langid import brute as brute_languages
 from tests.llm.test_mixing import brute_targets
+from tests.llm.test_near_duplicates import survivors
 
 PATH = "/root/testdata/sf0.01"
 
@@ -46,46 +47,9 @@ def test_every_query_runs_on_whole_tables(spark):
 
 def language(rows, model):
     """Kept rows of (id, text, lang, source), by the formulas of ``langid`` in plain Python."""
-    k = len(model.languages) + 1
-    table = model.table.astype(np.float64)
-
-    def likelihood(text):
-        data = (text or "").encode()
-        low = [langid._BYTES[b] for b in data]
-        total, n = np.zeros(k), 0
-        for i in range(len(data) - 2):
-            if any(langid._LETTER[b] for b in data[i : i + 3]):
-                h = ((int(low[i]) * 0x9E3779B1 + int(low[i + 1])) * 0x85EBCA6B + int(low[i + 2])) % (1 << 32)
-                h ^= h >> 15
-                h = h * 0x2C1B3C6D % (1 << 32)
-                total += table[h >> 16]
-                n += 1
-        return total / max(n, 1) * (n / (1 + n / langid.EVIDENCE)), sum(bool(langid._LETTER[b]) for b in data)
-
-    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
-    scored = [(r, *likelihood(r[1])) for r in rows]
-    own = [soft(ll) if letters else np.zeros(k) for _, ll, letters in scored]
-    whole = sum(own)
-    share = (whole + 0.5) / (whole + 0.5).sum()
-    share[-1] = langid.UND_PRIOR
-    share /= share.sum()
-    hosts, declared = defaultdict(lambda: np.zeros(k)), defaultdict(lambda: np.zeros(k))
-    for (r, _, _), o in zip(scored, own):
-        hosts[r[3]] += o
-        declared[r[2]] += o
-    kept = []
-    for (r, ll, letters), o in zip(scored, own):
-        domain = share
-        counts = np.maximum(hosts[r[3]] - o, 0) if r[3] is not None else np.zeros(k)
-        host = (counts + 10 * domain) / (counts.sum() + 10)
-        post = np.log(np.maximum(host, 1e-9))
-        if r[2] is not None:
-            post = post + np.log((np.maximum(declared[r[2]] - o, 0) + 1) / (whole + 20))
-        if letters:
-            post = post + ll
-        if letters and int(np.argmax(post)) < k - 1:
-            kept.append(r)
-    return kept
+    asked = [(i, r[1], False, r[2], r[3], None, None) for i, r in enumerate(rows)]
+    gone = {i for i, _, _, rejected, _ in brute_languages(asked, model) if rejected}
+    return [r for i, r in enumerate(rows) if i not in gone]
 
 
 def test_pipeline_equals_plain_python(spark):
@@ -93,8 +57,8 @@ def test_pipeline_equals_plain_python(spark):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
     rows = language(rows, langid.train(docs))
-    group = {d: c for d, _, c in brute_components([r[:2] for r in rows])}
-    rows = [r for r in rows if group[r[0]] == r[0]]
+    least = set(survivors([r[:2] for r in rows]))
+    rows = [r for r in rows if r[0] in least]
     wins = {}
     for item in spark.read.parquet(f"{path}/benchmark.parquet").collect():
         w = alnum(item.text)
