@@ -35,7 +35,7 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-def test_equals_brute_force_in_one_and_in_many_blocks(spark, odd):
+def test_equals_brute_force_by_an_index_and_by_a_join(spark, odd):
     extra = spark.createDataFrame([(20, "x y a b c d e f g z"), (21, "a b c d e f"), (22, "g a b c d e f g a b c d e f g")], "doc_id long, text string")
     docs = odd.select("doc_id", "text").unionByName(extra)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -43,14 +43,13 @@ def test_equals_brute_force_in_one_and_in_many_blocks(spark, odd):
     for block in (D.BLOCK_WINDOWS, 3):
         got = sorted((tuple(r)[:6] for r in D.contamination(docs, bench, block_windows=block).collect()), key=str)
         assert got == want
-    kept = {r[0] for r in D.clean_documents(odd, bench).collect()}
-    assert kept == {3, 4, 5, 9, 10}
-    assert D.clean_documents(odd, bench).columns == odd.columns
+        kept = D.clean_documents(odd, bench, block_windows=block)
+        assert {r[0] for r in kept.collect()} == {3, 4, 5, 9, 10} and kept.columns == odd.columns
 
 
 def test_empty_tables(spark, odd, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert D.contamination(empty, bench).count() == 0
+    assert D.contamination(empty, bench).count() == D.contamination(empty, bench, block_windows=1).count() == 0
     assert {r.n_hit for r in D.contamination(odd, bench.where("false")).collect()} == {0}
 
 
@@ -58,4 +57,7 @@ def test_real_documents(spark):
     path = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
-    assert sorted((tuple(r)[:6] for r in D.contamination(docs, bench).collect()), key=str) == want
+    for block in (D.BLOCK_WINDOWS, 1):
+        assert sorted((tuple(r)[:6] for r in D.contamination(docs, bench, block_windows=block).collect()), key=str) == want
+        clean = sorted(r[0] for r in D.clean_documents(docs, bench, block_windows=block).collect())
+        assert clean == sorted(r[0] for r in want if not r[5])
