@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from foliogrid.llm import ann as A
 
@@ -17,8 +19,7 @@ def brute(rows, queries, k=5):
     return out
 
 
-def recall(spark, path):
-    df = spark.read.parquet(path)
+def recall(spark, df):
     m = [(r.vec_id, r.embedding) for r in df.collect()]
     ids, v = np.array([r[0] for r in m]), np.array([r[1] for r in m], np.float64)
     u = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
@@ -41,9 +42,20 @@ def recall(spark, path):
     return hit / total
 
 
-def test_recall(spark):
-    assert recall(spark, "/root/testdata/check_s/embeddings.parquet") >= 0.95
-    assert recall(spark, "/root/testdata/sf0.01/embeddings.parquet") >= 0.95
+def test_recall(spark, tmp_path):
+    assert recall(spark, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")) >= 0.95
+    # clusters of uneven size, a hot one, copies, and vectors without a cluster
+    rng = np.random.default_rng(5)
+    n, d = 50_000, 32
+    centres = rng.standard_normal((300, d))
+    own = np.minimum(rng.geometric(0.02, n), 300) - 1
+    own[: n // 3] = 7
+    v = (centres[own] + 0.35 * rng.standard_normal((n, d))).astype(np.float32)
+    v[-5000:] = rng.standard_normal((5000, d))
+    v[100:300] = v[100]
+    order = rng.permutation(n)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v[order].reshape(-1)), d).cast(pa.list_(pa.float32()))}), f"{tmp_path}/v.parquet")
+    assert recall(spark, spark.read.parquet(f"{tmp_path}/v.parquet")) >= 0.9
 
 
 def test_defined_results(spark):
