@@ -29,8 +29,16 @@ MACROS = {
 }
 #: Greek letters by what they count as in comparisons, in order.
 GREEK = {"alpha": "a", "beta": "b", "gamma": "g", "delta": "d", "epsilon": "e", "theta": "theta", "lambda": "lambda", "mu": "mu", "pi": "pi", "sigma": "sigma", "phi": "phi", "omega": "omega", "xi": "xi", "tau": "tau"}
-#: What marks a text as mathematical.
+#: What marks a text as mathematical, its ranges of characters, and its fonts by a part of their name.
 MATH_MARKERS = "=+-*/^_()[]{}∈≤≥×·√∑∫→"
+MATH_RANGES = ((0x2200, 0x22FF), (0x27C0, 0x27EF), (0x2980, 0x29FF), (0x2A00, 0x2AFF), (0x1D400, 0x1D7FF))
+MATH_FONTS = ("cm", "math", "symbol", "cambria", "stix", "xits", "tex")
+#: What shows that a title was decoded wrongly, and words of formulas that stand alone in titles.
+MOJIBAKE = ("\ufffd", "Ã", "Â", "â€", "鈥", "锛", "鍙", "鐨", "绗", "鏂", "瀹", "瑙", "鐩")  # longer ones begin with "â€"
+FRAGMENTS = "arccos arccot arcsin arctan cos cot csc curl det div grad lim ln log max min sec sin tan".split()
+#: Warnings that ask for the precise round.
+IMPRECISE = ("low_confidence", "empty_latex", "review", "review_only", "needs_review", "unknown_glyph", "missing_tounicode", "table_or_text_like_region", "tabular_alignment")
+LEAST_SCORE = 0.65
 
 
 def literal(text: str) -> str:
@@ -82,7 +90,7 @@ def cleaned(x: str) -> str:
 
 
 def formula_normal(x: str) -> str:
-    """A formula in the spelling in which formulas are compared."""
+    """A formula in the spelling in which formulas are compared. The patterns below and their order."""
     x = f"replace({x}, '−', '-')"
     for sign, macro in (("·", r"\cdot"), ("∈", r"\in"), ("×", r"\times")):
         x = f"replace({x}, '{sign}', {literal(macro)})"
@@ -100,11 +108,12 @@ def formula_normal(x: str) -> str:
     return regex_replace(x, r"[^a-z0-9=+\-*/^_(){}\[\].,|<>:]+")
 
 
-def match_tokens(normal: str) -> str:
-    """Words, numbers and leading 4, 6 and 8 characters of a normal formula, distinct and sorted."""
+def match_tokens(normal: str, parts: bool = False) -> str:
+    """Words, numbers and leading 4, 6 and 8 characters of a normal formula, distinct and sorted; ``parts``: also what stands between blanks."""
     compact = regex_replace(normal, r"[_{}]")
     heads = ", ".join(f"case when length({compact}) >= {n} then left({compact}, {n}) end" for n in (4, 6, 8))
-    return f"array_sort(array_distinct(concat(regexp_extract_all({normal}, '[a-z]{{2,}}|[0-9]+', 0), array_compact(array({heads})))))"
+    more = f", filter(split(replace({compact}, {literal(chr(92))}, ''), '\\\\s+'), w -> w <> '')" if parts else ""
+    return f"array_sort(array_distinct(concat(regexp_extract_all({normal}, '[a-z]{{2,}}|[0-9]+', 0), array_compact(array({heads})){more})))"
 
 
 def count_of(x: str, characters: str) -> str:
@@ -171,6 +180,39 @@ def font_name(x: str) -> str:
     return regex_replace(f"trim({x})", r"^[A-Z]{6}\+")
 
 
+def font_family(x: str) -> str:
+    """A font's name without a prefix of eight characters at most, and without blanks: the data sets' variant."""
+    return f"replace({regex_replace(x, r'^[^+]{0,8}\+')}, ' ', '')"
+
+
+def unknown_glyph(x: str) -> str:
+    """Glyphs whose character isn't known: nothing, the replacement character, or a bare code."""
+    return f"({x} in ('', '\ufffd') or left({x}, 4) = 'cid:')"
+
+
+def needs_precision(warnings: str, score: str) -> str:
+    """Results that the precise round looks at again; ``warnings``: an array."""
+    listed = ", ".join(f"'{w}'" for w in IMPRECISE)
+    return f"(arrays_overlap(transform({warnings}, w -> lower(w)), array({listed})) or coalesce({score}, 1.0D) < {LEAST_SCORE}D)"
+
+
+def pending_formula(kind: str, needs_ocr: str, recognised: str) -> str:
+    """Formula blocks that wait for recognition."""
+    return f"({kind} = 'formula' and coalesce({needs_ocr}, false) and not coalesce({recognised}, false))"
+
+
+def backend_skip(model: str, available: str) -> str:
+    """Why a review's backend is passed over; nothing if it isn't."""
+    name = f"trim(coalesce({model}, ''))"
+    reason = f"case when {name} = '' then 'empty_model' when lower({name}) = 'mock' then concat('mock_model=', {name}) when not coalesce({available}, false) then concat('model=', {name}) end"
+    return f"coalesce(concat('semantic_review_backend_unavailable:', {reason}), '')"
+
+
+def evidence_block(source: str, label: str, page: str, kind: str, section: str, content: str) -> str:
+    """A source as it stands in a question's context."""
+    return f"concat('[', {source}, '] ', {label}, ' · 第', {page} + 1, '页 · ', {kind}, if(coalesce({section}, '') = '', '', concat(' · ', {section})), '\\n', {content})"
+
+
 #: Coverage tags of a formula's LaTeX by what it contains.
 COVERAGE = {
     "subscript": ["_"],
@@ -187,11 +229,16 @@ COVERAGE = {
 }
 
 
-def coverage_tags(x: str) -> str:
-    """Sorted tags of what a formula's LaTeX exercises."""
-    tags = [f"case when {' or '.join(f'contains({x}, {literal(p)})' for p in parts)} then '{tag}' end" for tag, parts in COVERAGE.items()]
+def coverage_tags(x: str, kind: str | None = None, rule: str | None = None, script: str | None = None, math: str | None = None, inked: str | None = None) -> str:
+    """Sorted tags of what a formula's LaTeX exercises, and of what is known of its glyphs and marks.
+
+    ``kind``: the formula's; ``rule``, ``script``, ``math``: whether it has a horizontal rule, glyphs of script size, of mathematical fonts; ``inked``: its glyphs with ink.
+    """
+    known = [(rule, "horizontal_rule"), (script, "script_size_pdf_evidence"), (math, "math_font_pdf_evidence"), (inked and f"{inked} <= 1", "single_glyph_or_empty_text")]
+    tags = [f"case when {test} then '{tag}' end" for test, tag in known if test] + ([f"nullif({kind}, '')"] if kind else [])
+    tags += [f"case when {' or '.join(f'contains({x}, {literal(p)})' for p in parts)} then '{tag}' end" for tag, parts in COVERAGE.items()]
     tags.append(f"case when contains({x}, '_') and contains({x}, '^') then 'subsup' end")
-    return f"array_sort(array_compact(array({', '.join(tags)})))"
+    return f"array_sort(array_distinct(array_compact(array({', '.join(tags)}))))"
 
 
 def looks_like_latex(x: str) -> str:

@@ -8,9 +8,15 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Relations that chain nodes one to one, those that give a child one parent, and one that may run in circles.
-CHAINS = {"NEXT", "TEXT_RUN_NEXT"}
-CHILDREN = {"SUPERSCRIPT", "SUBSCRIPT", "NUMERATOR", "DENOMINATOR", "RADICAL_BODY", "ACCENT_BODY", "ABOVE", "BELOW"}
+#: Relations between nodes, in the order of a parser's classes.
+RELATIONS = (
+    "NONE NEXT SUB SUP PRE_SUB PRE_SUP NUMERATOR DENOMINATOR RADICAL_BODY RADICAL_INDEX BASE UNDER OVER ACCENT_BASE CHILD FENCE_BODY FENCE_OPEN FENCE_CLOSE "
+    "MATRIX_ROW MATRIX_CELL CELL_CONTENT TEXT_RUN_NEXT ENCLOSURE_BODY EQUATION_TAG FRACTION_BAR OVERLINE UNDERLINE ABOVE BELOW"
+).split()
+#: Relations that a parser is never taught, that chain nodes one to one, that give a child one parent, and one that may run in circles.
+UNTAUGHT = {"BASE", "CHILD"}
+CHAINS = {"NEXT", "TEXT_RUN_NEXT", "MATRIX_ROW", "MATRIX_CELL"}
+CHILDREN = set("SUB SUP PRE_SUB PRE_SUP UNDER OVER ACCENT_BASE RADICAL_BODY RADICAL_INDEX FENCE_BODY FENCE_OPEN FENCE_CLOSE CELL_CONTENT EQUATION_TAG".split())
 CIRCULAR = {"FENCE_BODY"}
 BEAM, PAIRS, OPTIONS, BEST = 24, 32, 2, 8
 

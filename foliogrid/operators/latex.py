@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Environments whose body is display mathematics, and those that hold none.
-DISPLAY = "equation equation* align align* gather gather* multline multline* eqnarray eqnarray* displaymath flalign flalign* alignat alignat* dmath dmath*".split()
+#: Environments whose body is display mathematics, inline mathematics, and none.
+DISPLAY = "equation equation* align align* alignat alignat* gather gather* multline multline* flalign flalign* eqnarray eqnarray* split cases displaymath IEEEeqnarray".split()
 INLINE = ["math"]
-SKIPPED = "verbatim verbatim* lstlisting minted comment filecontents filecontents*".split()
+SKIPPED = "asy asydef verbatim Verbatim lstlisting minted comment filecontents filecontents*".split()
 
 #: What a scanner meets: any escaped character is one token, so a delimiter is never seen behind a backslash.
-_TOKEN = re.compile(r"\\begin\{([A-Za-z]+\*?)\}|\\endinput(?![A-Za-z])|\\.|\$\$|[$%{}]|\n", re.DOTALL)
+_TOKEN = re.compile(r"\\begin\s*\{([^{}]+)\}|\\endinput(?![^\W\d_])|\\.|\$\$|[$%{}]|\n", re.DOTALL)
 
 
 def math_spans(text: str) -> list[tuple[str, str, int, int, int, int, str]]:
@@ -27,6 +27,12 @@ def math_spans(text: str) -> list[tuple[str, str, int, int, int, int, str]]:
     """
     tokens = list(_TOKEN.finditer(text))
     out, i, skip_to = [], 0, 0
+    commented, limit = False, len(text)
+    for t in tokens:
+        commented = t[0] != "\n" and (commented or t[0] == "%")
+        if t[0] == "\\endinput" and not commented:
+            limit = t.start()
+            break
 
     def close_at(k: int, wanted: str) -> re.Match | None:
         return next((t for t in tokens[k:] if t[0] == wanted), None)
@@ -39,38 +45,41 @@ def math_spans(text: str) -> list[tuple[str, str, int, int, int, int, str]]:
                 return at, at + len(t[0])
         return None
 
-    def dollar(k: int) -> re.Match | None:
+    def dollar(k: int) -> int:
+        """Where a single dollar closes; the second one of two does, if no third follows."""
         depth = 0
         for t in tokens[k:]:
             if t[0] == "{":
                 depth += 1
             elif t[0] == "}":
                 depth = max(0, depth - 1)
-            elif t[0] == "$" and not depth:
-                return t
-        return None
+            elif t[0][0] == "$" and not depth and text[t.end() : t.end() + 1] != "$":
+                return t.end() - 1
+        return -1
 
     while i < len(tokens):
         t = tokens[i]
         i += 1
+        if t.start() >= limit:
+            break
         if t.start() < skip_to:
             continue
         if t[0] == "%":
             end = text.find("\n", t.end())
             skip_to = len(text) if end < 0 else end
-        elif t[0] == "\\endinput":
-            break
         elif t[1]:
             found = close_env(i - 1, t[1]) if t[1] in DISPLAY or t[1] in INLINE or t[1] in SKIPPED else None
             if found:
                 skip_to = found[1]
                 if t[1] not in SKIPPED:
                     out.append(("display" if t[1] in DISPLAY else "inline", text[t.end() : found[0]], t.end(), found[0], t.start(), found[1], t[1]))
-        elif t[0] in ("\\[", "\\(", "$$", "$"):
-            shut = dollar(i) if t[0] == "$" else close_at(i, {"\\[": "\\]", "\\(": "\\)", "$$": "$$"}[t[0]])
-            if shut:
-                skip_to = shut.end()
-                out.append(("inline" if t[0] in ("\\(", "$") else "display", text[t.end() : shut.start()], t.end(), shut.start(), t.start(), shut.end(), t[0]))
+        elif t[0] in ("\\[", "\\(", "$$") and (shut := close_at(i, {"\\[": "\\]", "\\(": "\\)", "$$": "$$"}[t[0]])):
+            skip_to = shut.end()
+            out.append(("inline" if t[0] == "\\(" else "display", text[t.end() : shut.start()], t.end(), shut.start(), t.start(), shut.end(), t[0]))
+        elif t[0] in ("$$", "$") and (end := dollar(i)) >= 0 and text[t.end() : t.end() + 1] != "$":
+            # two dollars that never close leave the second one to open
+            skip_to = end + 1
+            out.append(("inline", text[t.end() : end], t.end(), end, t.end() - 1, end + 1, "$"))
     return out
 
 
@@ -88,6 +97,7 @@ def with_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("span", F.explode(run(text)))
 
 
+#: Formulas that translations leave alone, in order, and the delimiters that they come back in.
 _SHELTERED = [
     (re.compile(r"\\\[(.+?)\\\]", re.DOTALL), "$$", "$$"),
     (re.compile(r"\$\$(.+?)\$\$", re.DOTALL), "$$", "$$"),

@@ -82,7 +82,7 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(8 + l_suppkey % 4 as double) as size",
         "concat(case when l_partkey % 3 = 0 then 'ABCDEF+' else '' end, element_at(array('CMR10', 'CMMI10', 'Times', 'Symbol'), cast(l_partkey % 4 + 1 as int))) as font",
         "cast(l_partkey % 50 as int) as cid",
-        "case when l_partkey % 11 = 0 then '' when l_partkey % 13 = 0 then concat('cid:', l_partkey % 50) else substring('abcxyz=+-123', cast(l_partkey % 12 + 1 as int), 1) end as text",
+        "case when l_partkey % 11 = 0 then '' when l_partkey % 13 = 0 then concat('cid:', l_partkey % 50) when l_partkey % 29 = 0 then '\ufffd' else substring('abcxyz=+-123', cast(l_partkey % 12 + 1 as int), 1) end as text",
     )
 
 
@@ -94,7 +94,7 @@ glyphs as (
          (8 + l_suppkey % 4)::double as size,
          case when l_partkey % 3 = 0 then 'ABCDEF+' else '' end || ['CMR10', 'CMMI10', 'Times', 'Symbol'][(l_partkey % 4 + 1)::int] as font,
          (l_partkey % 50)::int as cid,
-         case when l_partkey % 11 = 0 then '' when l_partkey % 13 = 0 then 'cid:' || (l_partkey % 50) else substr('abcxyz=+-123', (l_partkey % 12 + 1)::int, 1) end as text
+         case when l_partkey % 11 = 0 then '' when l_partkey % 13 = 0 then 'cid:' || (l_partkey % 50) when l_partkey % 29 = 0 then '\ufffd' else substr('abcxyz=+-123', (l_partkey % 12 + 1)::int, 1) end as text
   from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i from lineitem))
 """
 

@@ -85,15 +85,15 @@ def a29(spark, sf_dir):
     return g.agg(F.round(F.avg("x0"), 6).alias("mean_x0"), F.expr("round(greatest(stddev_pop(x0), 1e-6D), 6)").alias("scale_x0"), F.round(F.avg("size"), 6).alias("mean_size"), F.expr("round(greatest(stddev_pop(size), 1e-6D), 6)").alias("scale_size"))
 
 
-@query("a36_keep_best", f"with {FORMULAS} select candidate_id, stage, max(score) as confidence, arg_max(result_id, score * 1000000 - result_id) as result_id from formulas group by all")
+@query("a36_keep_best", f"with {FORMULAS} select candidate_id, stage, max(score) as confidence, first(result_id order by score desc, result_id) as result_id from formulas group by all")
 def a36(spark, sf_dir):
-    return formulas(spark, sf_dir).groupBy("candidate_id", "stage").agg(F.max("score").alias("confidence"), F.expr("max_by(result_id, score * 1000000 - result_id)").alias("result_id"))
+    return formulas(spark, sf_dir).groupBy("candidate_id", "stage").agg(F.max("score").alias("confidence"), F.expr("max_by(result_id, struct(score, -result_id))").alias("result_id"))
 
 
-@query("a37_keep_first", f"with {BLOCKS} select {D.collapsed('content')} as content, min(doc_id * 1000000 + n) as first_place from blocks where trim(content) <> '' group by 1")
+@query("a37_keep_first", f"with {BLOCKS} select {D.collapsed('content')} as content, min(doc_id) as first_doc, (first(n order by doc_id, n))::int as first_n from blocks where trim(content) <> '' group by 1")
 def a37(spark, sf_dir):
     """Texts that differ in more than white space, each at its first place."""
-    return blocks(spark, sf_dir).where("trim(content) <> ''").groupBy(F.expr(X.collapsed("content")).alias("content")).agg(F.min(F.expr("doc_id * 1000000 + n")).alias("first_place"))
+    return blocks(spark, sf_dir).where("trim(content) <> ''").groupBy(F.expr(X.collapsed("content")).alias("content")).agg(F.min(F.struct("doc_id", "n")).alias("first")).select("content", F.col("first.doc_id").alias("first_doc"), F.col("first.n").alias("first_n"))
 
 
 @query("a09_priority_wins", "with e as (select 'glyph' || (p_partkey % 40) as name, p_size as priority, p_brand as unicode, p_partkey as place from part), w as (select *, row_number() over (partition by name order by priority desc, place desc) as k from e) select name, unicode, priority, (select count(distinct unicode) from e x where x.name = w.name) > 1 as conflict from w where k = 1")

@@ -30,9 +30,9 @@ def w06(spark, sf_dir):
     return ranked(formulas(spark, sf_dir)).select("candidate_id", "result_id", "place")
 
 
-@query("a16_stage_quality", f"with {FORMULAS} select candidate_id, stage, round_even(max(similarity), 3) as best_similarity, arg_max(result_id, similarity * 1000000 - result_id) as best_result_id, count(*) as n from formulas group by all")
+@query("a16_stage_quality", f"with {FORMULAS} select candidate_id, stage, round_even(max(similarity), 3) as best_similarity, first(result_id order by similarity desc, result_id) as best_result_id, count(*) as n from formulas group by all")
 def a16(spark, sf_dir):
-    return formulas(spark, sf_dir).groupBy("candidate_id", "stage").agg(F.expr("bround(max(similarity), 3)").alias("best_similarity"), F.expr("max_by(result_id, similarity * 1000000 - result_id)").alias("best_result_id"), F.count("*").alias("n"))
+    return formulas(spark, sf_dir).groupBy("candidate_id", "stage").agg(F.expr("bround(max(similarity), 3)").alias("best_similarity"), F.expr("max_by(result_id, struct(similarity, -result_id))").alias("best_result_id"), F.count("*").alias("n"))
 
 
 def fusion_rows(f: DataFrame) -> DataFrame:
@@ -118,9 +118,14 @@ def p17(spark, sf_dir):
     return fusion_rows(formulas(spark, sf_dir)).where("decision = 'needs_more_evidence' and not array_contains(stages, 'local_precise') and size(array_except(stages, array('inline_spans'))) > 0").select("candidate_id")
 
 
-@query("p14_needs_precision", f"with {FORMULAS} select result_id from formulas where list_has_any([warning], ['low_confidence', 'table_like', 'empty_result']) or score < 0.65")
+_WARNED = f"['', 'Low_Confidence', 'tabular_alignment', 'empty_latex', 'minor', {', '.join(f"'{w}'" for w in X.IMPRECISE)}]"
+
+
+@query("p14_needs_precision", f"with {FORMULAS}, w as (select result_id, case when result_id % 23 = 0 then null else score end as score, [warning, {_WARNED}[(result_id % {5 + len(X.IMPRECISE)} + 1)::int]] as warnings from formulas) select result_id from w where list_has_any(list_transform(warnings, lambda w: lower(w)), [{', '.join(f"'{w}'" for w in X.IMPRECISE)}]) or coalesce(score, 1.0) < {X.LEAST_SCORE}")
 def p14(spark, sf_dir):
-    return formulas(spark, sf_dir).where("arrays_overlap(array(warning), array('low_confidence', 'table_like', 'empty_result')) or score < 0.65").select("result_id")
+    """Results whose warnings or score ask for the precise round."""
+    w = formulas(spark, sf_dir).selectExpr("result_id", "if(result_id % 23 = 0, null, score) as score", f"array(warning, element_at(array{_WARNED.replace('[', '(').replace(']', ')')}, cast(result_id % {5 + len(X.IMPRECISE)} + 1 as int))) as warnings")
+    return w.where(X.needs_precision("warnings", "score")).select("result_id")
 
 
 @query("a30_command_counts", rf"with {FORMULAS}, c as (select unnest(regexp_extract_all(latex, '\\[A-Za-z]+')) as command from formulas) select case when command in ('\text', '\operatorname') then '\mathrm' else command end as command, count(*) as n from c group by 1")
@@ -145,8 +150,11 @@ def blocked(left: DataFrame, right: DataFrame, limit: int = BLOCK_LIMIT) -> Data
 def first_rows(left: DataFrame, right: DataFrame, met: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
     """As ``blocked``, the first ``limit`` of ``right`` by id for each of ``left`` that isn't in ``met``; a null partner if there are none."""
     alone = left.join(met.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti").selectExpr("id as left_id", "normal as left_normal")
-    first = right.orderBy("id").limit(limit).selectExpr("id as right_id", "normal as right_normal", "cast(row_number() over (order by id) as int) as place")
-    return alone.join(F.broadcast(first), F.lit(True), "left").selectExpr("left_id", "right_id", "left_normal", "right_normal", "0L as shared", "place")
+    first = right.select("id", "normal").orderBy("id").limit(limit).collect()
+    kind = right.schema["id"].dataType
+    listed = [F.struct(F.lit(r[0]).cast(kind).alias("right_id"), F.lit(r[1]).alias("right_normal"), F.lit(i).alias("place")) for i, r in enumerate(first, 1)]
+    none = F.array().cast(f"array<struct<right_id:{kind.simpleString()},right_normal:string,place:int>>")
+    return alone.withColumn("r", F.explode_outer(F.array(*listed) if listed else none)).select("left_id", "r.right_id", "left_normal", "r.right_normal", F.lit(0).cast("long").alias("shared"), "r.place")
 
 
 def formula_similarity(left: str, right: str) -> float:

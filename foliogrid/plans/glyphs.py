@@ -115,10 +115,10 @@ def w04(spark, sf_dir):
     return p.selectExpr("source", "target", "rank() over (partition by source order by d) as place", "percent_rank() over (partition by source order by d) as share")
 
 
-@query("a11_page_health", f"with {GLYPHS} select page_num, count(*) as glyphs, count(*) filter (where text = '' or starts_with(text, 'cid:')) as unknown, round(count(*) filter (where text = '' or starts_with(text, 'cid:')) / count(*), 6) as unknown_rate, count(distinct regexp_replace(font, '^[A-Z]{{6}}\\+', '')) as fonts, bool_or(text = '' or starts_with(text, 'cid:')) as needs_repair from glyphs group by page_num")
+@query("a11_page_health", f"with {GLYPHS} select page_num, count(*) as glyphs, count(*) filter (where text in ('', '\ufffd') or left(text, 4) = 'cid:') as unknown, round(count(*) filter (where text in ('', '\ufffd') or left(text, 4) = 'cid:') / count(*), 6) as unknown_rate, count(distinct regexp_replace(font, '^[A-Z]{{6}}\\+', '')) as fonts, bool_or(text in ('', '\ufffd') or left(text, 4) = 'cid:') as needs_repair from glyphs group by page_num")
 def a11(spark, sf_dir):
     """Counts and flags of a page's glyphs."""
-    g = glyphs(spark, sf_dir).withColumn("unknown_glyph", F.expr("text = '' or startswith(text, 'cid:')")).withColumn("plain", F.expr(X.font_name("font")))
+    g = glyphs(spark, sf_dir).withColumn("unknown_glyph", F.expr("text in ('', '\ufffd') or left(text, 4) = 'cid:'")).withColumn("plain", F.expr(X.font_name("font")))
     return g.groupBy("page_num").agg(F.count("*").alias("glyphs"), F.expr("count_if(unknown_glyph)").alias("unknown"), F.expr("round(count_if(unknown_glyph) / count(*), 6)").alias("unknown_rate"), F.countDistinct("plain").alias("fonts"), F.expr("bool_or(unknown_glyph)").alias("needs_repair"))
 
 
@@ -127,19 +127,19 @@ _ANCHORS = "a as (select f, cid, min(text) as text, count(distinct text) as kind
 
 @query(
     "j19_symbol_repair",
-    f"""with {GLYPHS}, k as (select *, regexp_replace(font, '^[A-Z]{{6}}\\+', '') as f, not (text = '' or starts_with(text, 'cid:')) as known from glyphs), {_ANCHORS}
+    f"""with {GLYPHS}, k as (select *, regexp_replace(font, '^[A-Z]{{6}}\\+', '') as f, not (text in ('', '\ufffd') or left(text, 4) = 'cid:') as known from glyphs), {_ANCHORS}
     select k.node_id, case when k.known then k.text when a.kinds = 1 then a.text else '' end as resolved, case when k.known then 'pdf_text' when a.kinds = 1 then 'font_cid_anchor' when a.kinds > 1 then 'conflict' else 'unresolved' end as source from k left join a on k.f = a.f and k.cid = a.cid""",
 )
 def j19(spark, sf_dir):
     """Unknown glyphs take the text that their font and code have elsewhere, if it is always the same one (A10)."""
-    k = glyphs(spark, sf_dir).withColumn("f", F.expr(X.font_name("font"))).withColumn("known", F.expr("not (text = '' or startswith(text, 'cid:'))"))
+    k = glyphs(spark, sf_dir).withColumn("f", F.expr(X.font_name("font"))).withColumn("known", F.expr("not (text in ('', '\ufffd') or left(text, 4) = 'cid:')"))
     a = k.where("known").groupBy("f", "cid").agg(F.min("text").alias("anchor"), F.countDistinct("text").alias("kinds"))
     return k.join(a, ["f", "cid"], "left").selectExpr("node_id", "case when known then text when kinds = 1 then anchor else '' end as resolved", "case when known then 'pdf_text' when kinds = 1 then 'font_cid_anchor' when kinds > 1 then 'conflict' else 'unresolved' end as source")
 
 
 @query(
     "a12_repair_summary",
-    f"""with {GLYPHS}, k as (select *, regexp_replace(font, '^[A-Z]{{6}}\\+', '') as f, not (text = '' or starts_with(text, 'cid:')) as known from glyphs), {_ANCHORS}
+    f"""with {GLYPHS}, k as (select *, regexp_replace(font, '^[A-Z]{{6}}\\+', '') as f, not (text in ('', '\ufffd') or left(text, 4) = 'cid:') as known from glyphs), {_ANCHORS}
     select count(*) filter (where not known) as unknown_before, count(*) filter (where not known and coalesce(kinds, 0) <> 1) as unknown_after, count(*) filter (where not known and kinds = 1) as repaired, count(*) filter (where not known and kinds > 1) as conflicts from k left join a on k.f = a.f and k.cid = a.cid""",
 )
 def a12(spark, sf_dir):

@@ -45,13 +45,13 @@ _OPS = "=+-*/^_()[]{}|<>√∈∑∫"
 
 @query(
     "a14_region_diagnostics",
-    rf"""with {GLYPHS}, g as (select *, regexp_matches(font, 'CM|Symbol') as math_font, regexp_full_match(text, '\p{{L}}') as letter, regexp_full_match(text, '[0-9]') as digit, text <> '' and contains('{_OPS}', text) as operator, (text = '' or starts_with(text, 'cid:')) as unknown from glyphs),
+    rf"""with {GLYPHS}, g as (select *, regexp_matches(font, 'CM|Symbol') as math_font, regexp_full_match(text, '\p{{L}}') as letter, regexp_full_match(text, '[0-9]') as digit, text <> '' and contains('{_OPS}', text) as operator, (text in ('', chr(65533)) or left(text, 4) = 'cid:') as unknown from glyphs),
     c as (select page_num, count(*) as n, count(*) filter (where math_font or operator) as math, count(*) filter (where letter and font like '%Times%') as roman, count(*) filter (where operator) as operators, count(*) filter (where digit) as digits, bool_or(unknown) as unknown from g group by page_num)
     select page_num, n as glyphs, math as math_glyphs, round(math / n, 3) as density, roman, operators, digits, unknown, case when roman >= 18 and math / n < 0.45 then 'review' when math / n >= 0.55 or operators >= 2 then 'formula_candidate' else 'review' end as class from c""",
 )
 def a14(spark, sf_dir):
     """Counts of a region's glyphs and what they make it."""
-    g = glyphs(spark, sf_dir).selectExpr("page_num", "font rlike 'CM|Symbol' as math_font", "text rlike '^\\\\p{L}$' as letter", "text rlike '^[0-9]$' as digit", f"text <> '' and contains({X.literal(_OPS)}, text) as operator", "text = '' or startswith(text, 'cid:') as unknown", "contains(font, 'Times') as times")
+    g = glyphs(spark, sf_dir).selectExpr("page_num", "font rlike 'CM|Symbol' as math_font", "text rlike '^\\\\p{L}$' as letter", "text rlike '^[0-9]$' as digit", f"text <> '' and contains({X.literal(_OPS)}, text) as operator", "text in ('', '\ufffd') or left(text, 4) = 'cid:' as unknown", "contains(font, 'Times') as times")
     c = g.groupBy("page_num").agg(F.count("*").alias("n"), F.expr("count_if(math_font or operator)").alias("math"), F.expr("count_if(letter and times)").alias("roman"), F.expr("count_if(operator)").alias("operators"), F.expr("count_if(digit)").alias("digits"), F.expr("bool_or(unknown)").alias("unknown"))
     return c.selectExpr("page_num", "n as glyphs", "math as math_glyphs", "round(math / n, 3) as density", "roman", "operators", "digits", "unknown", "case when roman >= 18 and math / n < 0.45 then 'review' when math / n >= 0.55 or operators >= 2 then 'formula_candidate' else 'review' end as class")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliogrid.functions import text as X
+from foliogrid.functions import tokens as K
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, blocks, query
 from foliogrid.session import cut, small, table
@@ -38,13 +39,16 @@ def indexed(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").selectExpr("doc_id", "text as document", "split(text, '\\n')[0] as section", "lang as keywords")
 
 
+FIELDS = {"document": DOCUMENT, "section": SECTION, "keywords": KEYWORDS}
+#: Questions that are scored at once against a batch of rows: a matrix of these by ``ROWS`` doubles.
+ASKED, ROWS = 256, 4_096
+#: Distinct terms of questions that prune postings as they are made; more are pruned by a join.
+WANTED = 500_000
+
+
 def postings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf) with tf weighted by field; one pass, summed before and after the shuffle."""
-    terms = []
-    for field, weight in (("document", DOCUMENT), ("section", SECTION), ("keywords", KEYWORDS)):
-        terms.append(f"transform({X.base_tokens(f"coalesce({field}, '')")}, t -> struct(t as term, {weight}D as w))")
-    exploded = rows.select(key, F.explode(F.expr(f"concat({', '.join(terms)})")).alias("t"))
-    return exploded.groupBy(key, F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
+    """(key, term, tf) with tf weighted by field; one pass, a row for each term of each row."""
+    return K.field_postings(rows, key, FIELDS).select(key, F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select(key, F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
 
 
 def row_lengths(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -58,26 +62,108 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.selectExpr("question", f"explode(array_distinct(slice({X.base_tokens('asked')}, 1, 32))) as term")
 
 
-def bm25(rows: DataFrame, questions: DataFrame, top: int) -> DataFrame:
+def bm25(rows: DataFrame, questions: DataFrame, top: int, block: int = 20_000) -> DataFrame:
     """(question, doc_id, rank, score): the ``top`` rows of each question by BM25 with weighted fields.
 
-    Terms of questions prune the postings before anything is joined or counted.
+    Rows are tokenised once, to postings pruned by the questions' terms. Questions are broadcast in blocks of ``block`` with their terms'
+    weights; each task scores its rows and hands on only its own ``top`` of each question, so no product of questions and rows is ever shuffled.
     """
-    asked = question_terms(questions)
-    wanted = small(asked.select("term").distinct())
-    found = postings(rows).join(wanted, "term", "left_semi")
-    lengths = cut(row_lengths(rows))  # two numbers a row, read twice
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("tokens").alias("mean")).first()
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    spark = rows.sparkSession
+    asked = cut(question_terms(questions))
+    wanted = asked.select("term").distinct()
+    few = wanted.limit(WANTED + 1).count() <= WANTED
+    held = K.field_postings(rows, "doc_id", FIELDS, frozenset(r[0] for r in wanted.collect()) if few else None)
+    held = cut(held)
+    whole = held.agg(F.count("*").alias("n"), F.avg("tokens").alias("mean")).first()
+    found = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(whole.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weights = df.select("term", idf.alias("idf"), F.lit(whole["mean"]).cast("double").alias("mean"))
-    scored = found.join(small(weights), "term").join(lengths, "doc_id")
-    part = F.expr(f"idf * tf * {K1 + 1}D / (tf + {K1}D * ({1 - B}D + {B}D * tokens / mean))")
-    hits = small(asked).join(scored.select("term", "doc_id", part.alias("part")), "term").groupBy("question", "doc_id").agg(F.sum("part").alias("score"))
-    ranked = hits.withColumn("rank", F.expr("row_number() over (partition by question order by round(score, 9) desc, doc_id)"))
+    weights = cut(found.join(wanted, "term", "left_semi").select("term", idf.alias("idf")))
+    ids = cut(asked.select("question").distinct())
+    parts = max(1, -(-ids.count() // block))
+    kind, of = questions.schema["question"].dataType.simpleString(), rows.schema["doc_id"].dataType.simpleString()
+    out = None
+    for p in range(parts):
+        mine = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("question"), F.lit(parts)) == p)
+        got = mine.join(weights, "term").toArrow()  # 32 rows of each question of a block at most
+        index = spark.sparkContext.broadcast(_Questions(got, float(whole["mean"] or 0)))
+
+        def meet(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            yield from index.value.best(batches, top)
+
+        scored = held.select("doc_id", "tokens", "terms", "tfs").mapInArrow(meet, f"question {kind}, doc_id {of}, score double")
+        out = scored if out is None else out.unionByName(scored)
+    ranked = out.withColumn("rank", F.expr("row_number() over (partition by question order by round(score, 9) desc, doc_id)"))
     return ranked.where(F.col("rank") <= top)
 
 
+class _Questions:
+    """Terms of questions with their weights, by term."""
+
+    def __init__(self, rows: pa.Table, mean: float):
+        self.mean = mean
+        self.ids, number = np.unique(np.array(rows.column("question").to_pylist(), object), return_inverse=True)
+        self.terms = sorted(set(rows.column("term").to_pylist()))
+        self.place = {t: i for i, t in enumerate(self.terms)}
+        term = np.array([self.place[t] for t in rows.column("term").to_pylist()], np.int64)
+        self.idf = np.zeros(len(self.terms))
+        self.idf[term] = np.asarray(rows.column("idf"))
+        order = np.lexsort((number, term))
+        self.asked, self.first = number[order], np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+
+    def best(self, batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+        """The ``top`` rows of each question among a task's, ties by id."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, ROWS):
+                held.append(self.scored(batch.slice(at, ROWS), top))
+                if sum(len(x[0]) for x in held) > 4 * top * max(len(self.ids), 1):
+                    held = [self.kept(held, top)]
+        if held:
+            q, d, s = self.kept(held, top)
+            for at in range(0, len(q), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(self.ids[q[at : at + 65_536]].tolist()), pa.array(d[at : at + 65_536].tolist(), kinds), pa.array(s[at : at + 65_536])], ["question", "doc_id", "score"])
+
+    def kept(self, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, d, s = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((d, -np.round(s, 9), q))
+        q, d, s = q[order], d[order], s[order]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        return q[place < top], d[place < top], s[place < top]
+
+    def scored(self, rows: pa.RecordBatch, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.array(rows.column(0).to_pylist(), object)
+        lists = rows.column(2)
+        size = np.diff(np.asarray(lists.offsets))
+        place = np.array([self.place.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(ids)), size)
+        tf = np.asarray(rows.column(3).flatten())
+        known = place >= 0
+        place, row, tf = place[known], row[known], tf[known]
+        length = np.asarray(rows.column(1)).astype(float)
+        part = self.idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / self.mean)) if len(place) else np.zeros(0)
+        order = np.argsort(place, kind="stable")
+        place, row, part = place[order], row[order], part[order]
+        cuts = np.flatnonzero(np.diff(place, prepend=-1))
+        found = []
+        for a in range(0, len(self.ids), ASKED):
+            score = np.zeros((min(ASKED, len(self.ids) - a), len(ids)))
+            met = np.zeros(score.shape, bool)
+            for i, j in zip(cuts, [*cuts[1:], len(place)], strict=True):
+                q = self.asked[self.first[place[i]] : self.first[place[i] + 1]]
+                q = q[(q >= a) & (q < a + ASKED)] - a
+                if len(q):
+                    score[np.ix_(q, row[i:j])] += part[i:j]
+                    met[np.ix_(q, row[i:j])] = True
+            # a row's place among ties is settled later: all that tie with the last one stay
+            least = np.partition(np.where(met, score, -np.inf), -top, axis=1)[:, -top] if len(ids) > top else np.full(len(score), -np.inf)
+            q, r = np.nonzero(met & (score >= least[:, None] - 1e-9))
+            found.append((q + a, ids[r], score[q, r]))
+        return self.kept(found, top)
+
+
 def questions_of(bench: DataFrame) -> DataFrame:
     return bench.where("text is not null").selectExpr("item_id as question", "text as asked")
 
@@ -132,8 +218,7 @@ def rerank(pool: DataFrame, texts: DataFrame, questions: DataFrame, top: int) ->
     tokens = questions.selectExpr("question", f"{X.retrieval_tokens('asked')} as qt")
     q = tokens.selectExpr("question", "size(qt) as asked_n", "size(array_distinct(qt)) as kinds", f"array_distinct({X.bigrams('qt')}) as pairs")
     asked = tokens.select("question", F.explode("qt").alias("term")).groupBy("question", "term").agg(F.count("*").alias("qn"))
-    held = texts.join(small(pool.select("doc_id").distinct()), "doc_id", "left_semi").selectExpr("doc_id", f"{X.retrieval_tokens('body')} as ct")
-    held = cut(held)
+    held = cut(K.with_retrieval_tokens(texts.join(small(pool.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id", "body"))
     terms = held.select("doc_id", F.explode("ct").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("cn"))
     met = pool.select("question", "doc_id").join(asked, "question").join(terms, ["doc_id", "term"]).groupBy("question", "doc_id").agg(F.sum(F.least("qn", "cn")).alias("matched"), F.count("*").alias("same"))
     docs = held.selectExpr("doc_id", "size(ct) as own_n", f"array_distinct({X.bigrams('ct')}) as own_pairs")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliogrid.functions import text as X
+from foliogrid.operators import matching
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, FORMULAS, blocks, formulas, query
-from foliogrid.plans.fusion import fusion_rows, similarity
+from foliogrid.plans.fusion import fusion_rows
 from foliogrid.plans.queue import _EVENTS, job_state, jobs
 from foliogrid.session import table
 
@@ -182,10 +183,10 @@ def q12(spark, sf_dir):
     return old.join(new, ["doc_id", "block_id"], "full_outer").groupBy("doc_id").agg(F.expr("count_if(old is null)").alias("inserted"), F.expr("count_if(old <> new)").alias("replaced"), F.expr("count_if(old = new)").alias("skipped"), F.expr("count_if(new is null)").alias("kept"))
 
 
-@query("q07_accept_fusion", f"with {FORMULAS}, {_EVENTS}, r as (select candidate_id, arg_max(result_id, similarity * 1000000 - result_id) as best, max(similarity) as s from formulas group by candidate_id) select candidate_id, case when s >= 0.9 then best::varchar else 'manual:' || candidate_id end as result, case when s >= 0.9 then 'existing' else 'manual_revision' end as stage, case when s >= 0.9 then s else 1.0 end as score from r")
+@query("q07_accept_fusion", f"with {FORMULAS}, {_EVENTS}, r as (select candidate_id, first(result_id order by similarity desc, result_id) as best, max(similarity) as s from formulas group by candidate_id) select candidate_id, case when s >= 0.9 then best::varchar else 'manual:' || candidate_id end as result, case when s >= 0.9 then 'existing' else 'manual_revision' end as stage, case when s >= 0.9 then s else 1.0 end as score from r")
 def q07(spark, sf_dir):
     """An accepted fusion reuses its result, or makes a manual revision of score 1 (Q8)."""
-    r = formulas(spark, sf_dir).groupBy("candidate_id").agg(F.expr("max_by(result_id, similarity * 1000000 - result_id)").alias("best"), F.max("similarity").alias("s"))
+    r = formulas(spark, sf_dir).groupBy("candidate_id").agg(F.expr("max_by(result_id, struct(similarity, -result_id))").alias("best"), F.max("similarity").alias("s"))
     return r.selectExpr("candidate_id", "if(s >= 0.9, cast(best as string), concat('manual:', candidate_id)) as result", "if(s >= 0.9, 'existing', 'manual_revision') as stage", "if(s >= 0.9, s, 1.0D) as score")
 
 
@@ -218,8 +219,8 @@ def d02(spark, sf_dir):
 
 @query("j23_title_matches")
 def j23(spark, sf_dir):
-    """Source titles to outline titles: equal when bare, else the most alike of 0.88 at least, among those that share a four-letter head."""
-    b = blocks(spark, sf_dir).where("block_type = 'heading' and length(trim(content)) > 3").selectExpr("doc_id", "page_num", f"{X.regex_replace('lower(content)', '[^a-z0-9]+')} as title").where("length(title) >= 4").dropDuplicates(["doc_id", "title"])
-    asked = b.selectExpr("doc_id", "title as asked", "page_num as own_page")
-    pairs = asked.join(b, "doc_id").where("asked = title or left(asked, 4) = left(title, 4)").withColumn("score", F.when(F.col("asked") == F.col("title"), 1.0).otherwise(similarity("asked", "title")))
-    return pairs.where("score >= 0.88").groupBy("doc_id", "asked").agg(F.expr("max_by(struct(title, page_num), struct(score, -page_num))").alias("m"), F.max("score").alias("score")).selectExpr("doc_id", "asked", "m.title as title", "m.page_num as page_num", "score")
+    """Titles of sources to a document's outline: the outline has every other heading, a source's title lacks a letter now and then."""
+    b = blocks(spark, sf_dir).where("block_type = 'heading'").selectExpr("doc_id", "n", "page_num", f"{X.regex_replace('lower(content)', '[^a-z0-9]+')} as title").where("title <> ''")
+    outline = b.where("n % 2 = 0").groupBy("doc_id", "title").agg(F.min_by("page_num", "n").alias("page_num"))
+    asked = b.selectExpr("doc_id", "if(n % 3 = 1, concat(left(title, 3), substring(title, 5)), title) as asked").where("asked <> ''").distinct()
+    return matching.titles_to_outline(asked, outline)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from foliogrid.functions import geometry as G
 from foliogrid.functions import text as X
+from foliogrid.operators import decode, matching
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, FORMULAS, GLYPHS, blocks, formulas, glyphs, query
-from foliogrid.plans.fusion import similarity
 from foliogrid.session import table
 
 #: Densities and shares of width that make a line a display seed.
@@ -23,12 +23,12 @@ _SEED = f"""case when n = 0 or width > {PAGE * FULL_WIDTH} or not (math_font or
   when {_CENTRED} and width <= {BODY_WIDTH * SEED} and density >= {LEAST_DENSITY} then {_POSITION} and width >= {BODY_WIDTH * 0.10} else false end"""
 _CONFIDENCE = f"round(least(1.0, case when math_font then 0.24 else 0.0 end + case when symbol then 0.16 else 0.0 end + case when script then 0.12 else 0.0 end + case when density >= {LEAST_DENSITY} then 0.16 else 0.0 end + case when {_CENTRED} then 0.08 else 0.0 end + case when width <= {BODY_WIDTH * SEED} then 0.05 else 0.0 end + case when n > 4 then 0.06 else 0.0 end), 3)"
 
-_LINES = """l0 as (select page_num, count(*) as n, min(x0) as x0, max(x1) as x1, count(*) filter (where regexp_matches(font, 'CM|Symbol')) as math, bool_or(regexp_matches(font, 'CM|Symbol')) as math_font, bool_or(regexp_matches(text, '[=+-]')) as symbol, min(size) < 0.84 * max(size) as script, bool_or(text = '' or starts_with(text, 'cid:')) as unknown from glyphs group by page_num), l as (select *, """ + _LINE_COLUMNS + """ from l0)"""
+_LINES = """l0 as (select page_num, count(*) as n, min(x0) as x0, max(x1) as x1, count(*) filter (where regexp_matches(font, 'CM|Symbol')) as math, bool_or(regexp_matches(font, 'CM|Symbol')) as math_font, bool_or(regexp_matches(text, '[=+-]')) as symbol, min(size) < 0.84 * max(size) as script, bool_or(text in ('', '\ufffd') or left(text, 4) = 'cid:') as unknown from glyphs group by page_num), l as (select *, """ + _LINE_COLUMNS + """ from l0)"""
 
 
 def lines(spark, sf_dir):
     """A page's glyphs as one line, with its evidence."""
-    out = glyphs(spark, sf_dir).groupBy("page_num").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.expr("count_if(font rlike 'CM|Symbol')").alias("math"), F.expr("bool_or(font rlike 'CM|Symbol')").alias("math_font"), F.expr("bool_or(text rlike '[=+-]')").alias("symbol"), F.expr("min(size) < 0.84 * max(size)").alias("script"), F.expr("bool_or(text = '' or startswith(text, 'cid:'))").alias("unknown"))
+    out = glyphs(spark, sf_dir).groupBy("page_num").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.expr("count_if(font rlike 'CM|Symbol')").alias("math"), F.expr("bool_or(font rlike 'CM|Symbol')").alias("math_font"), F.expr("bool_or(text rlike '[=+-]')").alias("symbol"), F.expr("min(size) < 0.84 * max(size)").alias("script"), F.expr("bool_or(text in ('', '\ufffd') or left(text, 4) = 'cid:')").alias("unknown"))
     return out.selectExpr("*", "math / n as density", "x1 - x0 as width")
 
 
@@ -80,14 +80,16 @@ def j22(spark, sf_dir):
 
 @query("j26_markdown_paragraphs")
 def j26(spark, sf_dir):
-    """Paragraphs of a document's clean text to its blocks: the most alike of 0.6 at least on 200-character heads, among those that begin with the same letters."""
-    b = blocks(spark, sf_dir).where("block_type <> 'image' and length(content) >= 10").selectExpr("doc_id", "block_id", "left(content, 200) as head", "left(lower(trim(content)), 3) as start")
-    p = table(spark, sf_dir, "documents").where("text is not null").selectExpr("doc_id", "posexplode(split(text, '\\n')) as (place, paragraph)").where("length(paragraph) >= 10").selectExpr("doc_id", "place", "left(paragraph, 200) as paragraph", "left(lower(trim(paragraph)), 3) as start")
-    s = p.join(b, ["doc_id", "start"]).withColumn("score", F.when(F.col("paragraph") == F.col("head"), 1.0).otherwise(similarity("paragraph", "head")))
-    return s.where("score > 0.6").groupBy("doc_id", "place").agg(F.expr("max_by(block_id, struct(score, block_id))").alias("block_id"), F.max("score").alias("score"))
+    """The paragraph of a document's clean text that is most like each block, where one is like it by more than 0.6.
 
+    Pages' last lines are followed by a blank one in the clean text here, and hyphens at line ends are closed up, so that paragraphs differ from blocks.
+    """
+    b = blocks(spark, sf_dir).where("block_type <> 'image'").selectExpr("doc_id", "block_id", "content")
+    marked = table(spark, sf_dir, "documents").where("text is not null").selectExpr("doc_id", "array_join(transform(split(text, '\\n'), (x, i) -> if(i % 10 = 9, concat(replace(x, '-', ''), '\\n'), concat(x, '\\n'))), '\\n') as text")
+    return matching.paragraphs_of_blocks(b, marked)
 
-@query("p34_candidate_evidence", f"with {GLYPHS}, p as (select s.page_num, {G.relation_hint('s.', 't.')} as hint from glyphs s join glyphs t on s.page_num = t.page_num and s.node_id <> t.node_id), h as (select page_num, count(*) as edges, count(*) filter (where hint in ('superscript_zone', 'subscript_zone', 'above_zone', 'below_zone')) as structural from p where hint is not null group by page_num), g as (select page_num, count(*) as n, count(*) filter (where text = '' or starts_with(text, 'cid:')) as unknown from glyphs group by page_num) select g.page_num, coalesce(edges, 0) as edges, round(coalesce(edges, 0) / n, 6) as density, coalesce(structural, 0) > 0 as structural_signal, round(unknown / n, 6) as unknown_rate from g left join h using (page_num)")
+
+@query("p34_candidate_evidence", f"with {GLYPHS}, p as (select s.page_num, {G.relation_hint('s.', 't.')} as hint from glyphs s join glyphs t on s.page_num = t.page_num and s.node_id <> t.node_id), h as (select page_num, count(*) as edges, count(*) filter (where hint in ('superscript_zone', 'subscript_zone', 'above_zone', 'below_zone')) as structural from p where hint is not null group by page_num), g as (select page_num, count(*) as n, count(*) filter (where text in ('', '\ufffd') or left(text, 4) = 'cid:') as unknown from glyphs group by page_num) select g.page_num, coalesce(edges, 0) as edges, round(coalesce(edges, 0) / n, 6) as density, coalesce(structural, 0) > 0 as structural_signal, round(unknown / n, 6) as unknown_rate from g left join h using (page_num)")
 def p34(spark, sf_dir):
     """Evidence of a candidate: edges, their density, structural hints and unknown glyphs."""
     from foliogrid.plans.glyphs import twin
@@ -95,20 +97,22 @@ def p34(spark, sf_dir):
     g = glyphs(spark, sf_dir)
     h = twin(g).where("s_node_id <> t_node_id").selectExpr("s_page_num as page_num", f"{G.relation_hint('s_', 't_')} as hint").where("hint is not null")
     h = h.groupBy("page_num").agg(F.count("*").alias("edges"), F.expr("count_if(hint in ('superscript_zone', 'subscript_zone', 'above_zone', 'below_zone'))").alias("structural"))
-    n = g.groupBy("page_num").agg(F.count("*").alias("n"), F.expr("count_if(text = '' or startswith(text, 'cid:'))").alias("unknown"))
+    n = g.groupBy("page_num").agg(F.count("*").alias("n"), F.expr("count_if(text in ('', '\ufffd') or left(text, 4) = 'cid:')").alias("unknown"))
     return n.join(h, "page_num", "left").selectExpr("page_num", "coalesce(edges, 0) as edges", "round(coalesce(edges, 0) / n, 6) as density", "coalesce(structural, 0) > 0 as structural_signal", "round(unknown / n, 6) as unknown_rate")
 
 
-#: Relations in training, and which of them a decoder is never taught.
-RELATIONS = ("NEXT", "SUPERSCRIPT", "SUBSCRIPT", "ABOVE", "BELOW", "BASE", "CHILD", "NONE")
-_TAUGHT = "'" + "', '".join(r for r in RELATIONS if r not in ("NONE", "BASE", "CHILD")) + "'"
-_NAMES = "['" + "', '".join(RELATIONS) + "']"
+def taught(relation: str) -> str:
+    """Whether a parser is taught a relation; both dialects read it."""
+    return f"({relation} in ({', '.join(repr(r) for r in decode.RELATIONS if r != 'NONE' and r not in decode.UNTAUGHT)}))"
+
+
+_NAMES = "['" + "', '".join([*decode.RELATIONS, "HORIZONTAL"]) + "']"
 
 
-@query("p27_training_relations", f"with r as (select l_returnflag as split, {_NAMES}[(l_partkey % 8 + 1)::int] as relation from lineitem) select split, relation, count(*) as n from r where relation in ({_TAUGHT}) group by all")
+@query("p27_training_relations", f"with r as (select l_returnflag as split, {_NAMES}[(l_partkey % {len(decode.RELATIONS) + 1} + 1)::int] as relation from lineitem) select split, relation, count(*) as n from r where {taught('relation')} group by all")
 def p27(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag as split", f"element_at(array{_NAMES.replace('[', '(').replace(']', ')')}, cast(l_partkey % 8 + 1 as int)) as relation")
-    return r.where(f"relation in ({_TAUGHT})").groupBy("split", "relation").agg(F.count("*").alias("n"))
+    r = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag as split", f"element_at(array{_NAMES.replace('[', '(').replace(']', ')')}, cast(l_partkey % {len(decode.RELATIONS) + 1} + 1 as int)) as relation")
+    return r.where(taught("relation")).groupBy("split", "relation").agg(F.count("*").alias("n"))
 
 
 @query("t11_batch_budgets", f"with {BLOCKS}, d as (select doc_id, max(page_num) + 1 as pages from blocks group by doc_id), t as (select * from (values ('viewport', 2), ('evidence', 4), ('user_action', 6), ('background', 8)) v(trigger, budget)) select doc_id, trigger, (case when trigger = 'background' and pages >= 3 then greatest(1, budget // 2) else budget end)::int as budget from d, t")
@@ -162,10 +166,11 @@ def d06(spark, sf_dir):
     return b.selectExpr("user_id", "event_id", "row_number() over (partition by user_id order by if(place = 1, 2.5, place), event_id) as place")
 
 
-@query("p23_backend_skips", "select c_custkey, case when trim(c_mktsegment) = '' then 'empty_model' when lower(c_mktsegment) = 'building' then 'mock_model=' || c_mktsegment when c_acctbal < 0 then 'model=' || c_mktsegment else '' end as reason from customer")
+@query("p23_backend_skips", "with c as (select c_custkey, case c_custkey % 4 when 0 then '' when 1 then ' Mock ' else c_mktsegment end as model, c_acctbal >= 0 as available from customer), t as (select *, trim(model) as m from c) select c_custkey, case when m = '' then 'semantic_review_backend_unavailable:empty_model' when lower(m) = 'mock' then 'semantic_review_backend_unavailable:mock_model=' || m when not available then 'semantic_review_backend_unavailable:model=' || m else '' end as reason from t")
 def p23(spark, sf_dir):
-    """Why a backend is passed over: no model, a stand-in, or not there."""
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey", "case when trim(c_mktsegment) = '' then 'empty_model' when lower(c_mktsegment) = 'building' then concat('mock_model=', c_mktsegment) when c_acctbal < 0 then concat('model=', c_mktsegment) else '' end as reason")
+    """Why a backend is passed over: no model, a stand-in, or not there; a customer stands for one."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "case c_custkey % 4 when 0 then '' when 1 then ' Mock ' else c_mktsegment end as model", "c_acctbal >= 0 as available")
+    return c.selectExpr("c_custkey", f"{X.backend_skip('model', 'available')} as reason")
 
 
 @query("g06_radical_bodies", f"with {GLYPHS}, r as (select s.node_id as source, t.node_id as target, t.x0 - s.x1 as gap, greatest(s.y1 - s.y0, t.y1 - t.y0, 1) as h, {G.span_overlap('s.', 't.', 'y')} as rise, abs((t.y0 + t.y1) / 2 - (s.y0 + s.y1) / 2) as dy from glyphs s join glyphs t on s.page_num = t.page_num where s.text = '+' and (t.x0 + t.x1) / 2 > (s.x0 + s.x1) / 2) select source, target from r where gap <= 4 * h and (rise >= 0.05 or dy <= 1.6 * h)")

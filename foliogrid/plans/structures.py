@@ -9,6 +9,9 @@ from foliogrid.plans.base import formulas, glyphs, query
 from foliogrid.plans.glyphs import relation_edges
 from foliogrid.session import table
 
+#: A pair's hint as the relation that it suggests.
+RELATION_OF_HINT = "case hint when 'right_neighbor' then 'NEXT' when 'superscript_zone' then 'SUP' when 'subscript_zone' then 'SUB' when 'above_zone' then 'OVER' when 'below_zone' then 'UNDER' else 'NONE' end"
+
 
 def tex(spark, sf_dir):
     """Pages of TeX: the candidates of a page, each in delimiters that follow from its key."""
@@ -51,15 +54,13 @@ def a15(spark, sf_dir):
 @query("x11_decoded_structures")
 def x11(spark, sf_dir):
     """Relation edges of each page decoded: selection, acyclic projection and beams, at most eight structures."""
-    names = "case hint when 'right_neighbor' then 'NEXT' when 'superscript_zone' then 'SUPERSCRIPT' when 'subscript_zone' then 'SUBSCRIPT' when 'above_zone' then 'ABOVE' when 'below_zone' then 'BELOW' else 'NONE' end"
-    e = relation_edges(glyphs(spark, sf_dir)).selectExpr("s_page_num as row_id", "s_node_id as source", "t_node_id as target", f"{names} as relation", "round(1 / (1 + abs(dx_over_height) + abs(dy_over_height)), 6) as confidence")
+    e = relation_edges(glyphs(spark, sf_dir)).selectExpr("s_page_num as row_id", "s_node_id as source", "t_node_id as target", f"{RELATION_OF_HINT} as relation", "round(1 / (1 + abs(dx_over_height) + abs(dy_over_height)), 6) as confidence")
     return decode.decode(e.where("relation <> 'NONE'"))
 
 
 def _pairs(spark, sf_dir):
     """Candidate pairs with features; the hint that rules give plays the label."""
-    names = "case hint when 'right_neighbor' then 'NEXT' when 'superscript_zone' then 'SUPERSCRIPT' when 'subscript_zone' then 'SUBSCRIPT' when 'above_zone' then 'ABOVE' when 'below_zone' then 'BELOW' else 'NONE' end"
-    return relation_edges(glyphs(spark, sf_dir)).selectExpr("edge_id as pair_id", "s_page_num as row_id", "s_node_id as source", "t_node_id as target", f"{names} as relation", "1.0D as weight", *parser.FEATURES)
+    return relation_edges(glyphs(spark, sf_dir)).selectExpr("edge_id as pair_id", "s_page_num as row_id", "s_node_id as source", "t_node_id as target", f"{RELATION_OF_HINT} as relation", "1.0D as weight", *parser.FEATURES)
 
 
 @query("x08_parsed_relations")

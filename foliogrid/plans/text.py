@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliogrid.functions import text as X
+from foliogrid.functions import tokens as K
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, FORMULAS, blocks, formulas, query
 from foliogrid.session import table
@@ -12,8 +13,8 @@ from foliogrid.session import table
 
 @query("f01_retrieval_tokens", f"with d as (select doc_id, {D.tokens('text')} as t from documents where text is not null) select doc_id, len(t)::int as n_tokens, md5(array_to_string(t, ' ')) as tokens_md5, md5(array_to_string({D.bigrams('t')}, ' ')) as bigrams_md5 from d")
 def f01(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").selectExpr("doc_id", f"{X.retrieval_tokens('text')} as t")
-    return d.selectExpr("doc_id", "size(t) as n_tokens", "md5(array_join(t, ' ')) as tokens_md5", f"md5(array_join({X.bigrams('t')}, ' ')) as bigrams_md5")
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", K.token_digests("text").alias("t"))
+    return d.select("doc_id", F.col("t.n").alias("n_tokens"), F.col("t.tokens").alias("tokens_md5"), F.col("t.bigrams").alias("bigrams_md5"))
 
 
 @query("f11_clean_text", f"select doc_id, md5({D.cleaned('text')}) as cleaned_md5, length({D.cleaned('text')})::int as n from documents where text is not null")
@@ -78,6 +79,7 @@ def p13(spark, sf_dir):
     return t.where(rule).select("result_id")
 
 
+#: What tells prose from formulas, and commands of LaTeX.
 _PROSE = r"(?i)^\s*(?:proof|we\s+have|if|for|the|where|therefore|thus|hence|this|let)\b"
 _FIGURE = r"(?i)\b(?:called|figure|points?|neighborhood|unit\s+circle)\b"
 _COMMON = r"(?i)\b(?:the|and|or|if|only|with|for|any|maps?|continuous|metric|proof|called|figure|set|points?|neighborhood)\b"
@@ -85,14 +87,14 @@ _COMMANDS = r"\\(?:frac|sum|int|prod|lim|partial|sqrt|alpha|beta|gamma|delta|eps
 
 
 def _formula_rule(dialect: str, font: str) -> str:
-    """The cascade that tells a formula line from prose, for either dialect."""
+    """The cascade that tells a formula line from prose, for either dialect; ``font``: its fonts' names in one text."""
+    spans = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in X.MATH_RANGES)
     if dialect == "spark":
         match, count, has, flat, chars = (lambda x, p: f"({x} rlike {X.literal(p)})"), (lambda x, p: f"regexp_count({x}, {X.literal(p)})"), (lambda x, c: f"contains({x}, '{c}')"), X.collapsed("t"), X.count_of("t", X.MATH_MARKERS)
-        symbols = count("t", r"[\u2200-\u22FF\u27C0-\u27EF\u2980-\u29FF\u2A00-\u2AFF]")
     else:
         match, count, has, flat, chars = (lambda x, p: f"regexp_matches({x}, {D.q(p)})"), (lambda x, p: f"len(regexp_extract_all({x}, {D.q(p)}))"), (lambda x, c: f"contains({x}, '{c}')"), D.collapsed("t"), D.count_of("t", X.MATH_MARKERS)
-        symbols = count("t", r"[\x{2200}-\x{22FF}\x{27C0}-\x{27EF}\x{2980}-\x{29FF}\x{2A00}-\x{2AFF}]")
-    ratio = f"({symbols} > 0.15 * length(t) and length(t) < 300)"
+    symbols = count("t", f"[{spans}]")
+    math_font = match(f"lower({font})", "|".join(X.MATH_FONTS))
     return f"""case when length(t) < 8 then false
       when {has('t', '@')} and length(t) < 60 then false
       when length({flat}) > 180 and {has(flat, '.')} then false
@@ -101,33 +103,36 @@ def _formula_rule(dialect: str, font: str) -> str:
       when english >= 6 and {match(flat, _COMMON)} then false
       when english > 14 and {chars} < 8 then false
       when english > 24 then false
-      when {font} and length(t) > 10 and ({chars} >= 2 or english <= 8) then true
+      when {math_font} and length(t) > 10 and ({chars} >= 2 or english <= 8) then true
       when {count('t', _COMMANDS)} >= 2 then true
-      else {ratio} end"""
+      else {symbols} > 0.15 * length(t) and length(t) < 300 end"""
 
 
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+_FONTS = "['Helvetica', 'CMR10', 'Times', 'STIXGeneral', 'TeXGyreTermes', 'Cambria']"
+#: Words of three letters or more, with punctuation round them at most: one pass instead of a split with a test for each word.
+_WORD = r"(?<!\S)[!-/:-@\[-`{-~]*\p{L}{3,}[!-/:-@\[-`{-~]*(?!\S)"
 
 
 @query(
     "p08_is_formula",
-    rf"""with {BLOCKS}, {FORMULAS}, t as (select 'b' || doc_id || block_id as id, content as t, (n % 5 = 0) as math_font from blocks union all select 'f' || result_id, latex, false from formulas),
+    rf"""with {BLOCKS}, {FORMULAS}, t as (select 'b' || doc_id || block_id as id, content || case when n % 11 = 0 then ' 𝒜𝓑𝟙𝛼' else '' end as t, {_FONTS}[(n % 6 + 1)::int] as font from blocks union all select 'f' || result_id, latex, '' from formulas),
     e as (select *, len(list_filter(string_split_regex(t, '\s+'), lambda w: length(trim(w, '{_PUNCT}')) > 2 and regexp_full_match(trim(w, '{_PUNCT}'), '\p{{L}}+')))::int as english from t)
-    select id, english, {_formula_rule('duck', 'math_font')} as is_formula from e""",
+    select id, english, {_formula_rule('duck', 'font')} as is_formula from e""",
 )
 def p08(spark, sf_dir):
-    b = blocks(spark, sf_dir).selectExpr("concat('b', doc_id, block_id) as id", "content as t", "n % 5 = 0 as math_font")
-    t = b.unionAll(formulas(spark, sf_dir).selectExpr("concat('f', result_id) as id", "latex as t", "false as math_font"))
-    bare = f"trim(both {X.literal(_PUNCT.replace(chr(39) * 2, chr(39)))} from w)"
-    e = t.withColumn("english", F.expr(f"size(filter(split(t, '\\\\s+'), w -> length({bare}) > 2 and {bare} rlike '^\\\\p{{L}}+$'))"))
-    return e.selectExpr("id", "english", f"{_formula_rule('spark', 'math_font')} as is_formula")
+    """Formula lines by their text and fonts; every eleventh block has letters of the mathematical alphabets put to it."""
+    b = blocks(spark, sf_dir).selectExpr("concat('b', doc_id, block_id) as id", "concat(content, if(n % 11 = 0, ' 𝒜𝓑𝟙𝛼', '')) as t", f"element_at(array{_FONTS.replace('[', '(').replace(']', ')')}, cast(n % 6 + 1 as int)) as font")
+    t = b.unionAll(formulas(spark, sf_dir).selectExpr("concat('f', result_id) as id", "latex as t", "'' as font"))
+    e = t.withColumn("english", F.expr(f"regexp_count(t, {X.literal(_WORD)})"))
+    return e.selectExpr("id", "english", f"{_formula_rule('spark', 'font')} as is_formula")
 
 
 @query(
     "f25_toc",
     rf"""with {BLOCKS}, h as (select doc_id, page_num, n, trim(trim({D.collapsed('content')}, ' -:–—：|•·')) as title from blocks where block_type = 'heading'),
-    ok as (select * from h where title <> '' and length(title) <= 160 and not regexp_matches(title, '[\p{{Cc}}\x{{FFFD}}ÃÂ]') and len(regexp_extract_all(title, '[\p{{L}}\p{{N}}]')) >= 2 and len(regexp_extract_all(title, '[\p{{L}}\p{{N}}]')) >= 0.35 * length({D.sub('title', r'\s')})
-           and not (not regexp_matches(title, '[\x{{4e00}}-\x{{9fff}}]') and len(regexp_extract_all(title, '[A-Za-z]+|\d+')) > 0 and len(list_filter(regexp_extract_all(title, '[A-Za-z]+|\d+'), lambda t: length(t) = 1 or regexp_full_match(t, '\d+'))) >= 0.75 * len(regexp_extract_all(title, '[A-Za-z]+|\d+')))),
+    ok as (select * from h where title <> '' and length(title) <= 160 and not regexp_matches(title, '[\p{{Cc}}\p{{Cs}}\p{{Co}}]') and not regexp_matches(title, '{"|".join(X.MOJIBAKE)}') and len(regexp_extract_all(title, '[\p{{L}}\p{{N}}]')) >= 2 and len(regexp_extract_all(title, '[\p{{L}}\p{{N}}]')) >= 0.35 * length({D.sub('title', r'\s')})
+           and not (not regexp_matches(title, '[\x{{4e00}}-\x{{9fff}}]') and len(regexp_extract_all(title, '[A-Za-z]+|\d+')) > 0 and len(list_filter(regexp_extract_all(title, '[A-Za-z]+|\d+'), lambda t: length(t) = 1 or regexp_full_match(lower(t), '\d+|{"|".join(X.FRAGMENTS)}'))) >= 0.75 * len(regexp_extract_all(title, '[A-Za-z]+|\d+')))),
     one as (select *, row_number() over (partition by doc_id, lower(title) order by n) as k from ok), kept as (select * from one where k = 1)
     select doc_id, page_num, title, row_number() over (partition by doc_id order by n)::int as place from kept qualify count(*) over (partition by doc_id) >= 2""",
 )
@@ -137,8 +142,8 @@ def f25(spark, sf_dir):
     h = blocks(spark, sf_dir).where("block_type = 'heading'").withColumn("title", F.expr(title))
     readable = "regexp_count(title, '[\\\\p{L}\\\\p{N}]')"
     words = "regexp_extract_all(title, '[A-Za-z]+|[0-9]+', 0)"
-    ok = h.where(f"title <> '' and length(title) <= 160 and not title rlike '[\\\\p{{Cc}}\\\\uFFFDÃÂ]' and {readable} >= 2 and {readable} >= 0.35 * length({X.regex_replace('title', r'\s')})")
-    ok = ok.where(f"not (not title rlike '[\\\\u4e00-\\\\u9fff]' and size({words}) > 0 and size(filter({words}, t -> length(t) = 1 or t rlike '^[0-9]+$')) >= 0.75 * size({words}))")
+    ok = h.where(f"title <> '' and length(title) <= 160 and not title rlike '[\\\\p{{Cc}}\\\\p{{Cs}}\\\\p{{Co}}\\\\p{{Cn}}]' and not title rlike '{"|".join(X.MOJIBAKE)}' and {readable} >= 2 and {readable} >= 0.35 * length({X.regex_replace('title', r'\s')})")
+    ok = ok.where(f"not (not title rlike '[\\\\u4e00-\\\\u9fff]' and size({words}) > 0 and size(filter({words}, t -> length(t) = 1 or lower(t) rlike '^([0-9]+|{"|".join(X.FRAGMENTS)})$')) >= 0.75 * size({words}))")
     one = ok.withColumn("k", F.expr("row_number() over (partition by doc_id, lower(title) order by n)")).where("k = 1")
     out = one.withColumn("all", F.expr("count(*) over (partition by doc_id)")).where("all >= 2")
     return out.selectExpr("doc_id", "page_num", "title", "row_number() over (partition by doc_id order by n) as place")

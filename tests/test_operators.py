@@ -76,12 +76,12 @@ def test_suppression_and_clusters(spark):
 
 
 def test_selection_cycles_and_beams():
-    rs = [("a", "b", "NEXT", 0.9), ("a", "c", "NEXT", 0.8), ("b", "a", "NEXT", 0.7), ("a", "d", "SUPERSCRIPT", 0.6), ("b", "d", "SUBSCRIPT", 0.5), ("", "x", "NEXT", 1.0)]
+    rs = [("a", "b", "NEXT", 0.9), ("a", "c", "NEXT", 0.8), ("b", "a", "NEXT", 0.7), ("a", "d", "SUP", 0.6), ("b", "d", "SUB", 0.5), ("", "x", "NEXT", 1.0)]
     got = D.selected(rs)
-    assert [r[:3] for r in got] == [("a", "b", "NEXT"), ("a", "d", "SUPERSCRIPT"), ("b", "a", "NEXT")]
+    assert [r[:3] for r in got] == [("a", "b", "NEXT"), ("a", "d", "SUP"), ("b", "a", "NEXT")]
     assert D.has_cycle(got) and not D.has_cycle([("a", "a", "NEXT", 1), ("a", "b", "FENCE_BODY", 1), ("b", "a", "NEXT", 1)])
-    assert [r[:3] for r in D.acyclic(got)] == [("a", "b", "NEXT"), ("a", "d", "SUPERSCRIPT")]
-    made = D.beams([("a", "b", "NEXT", 0.9)], {("a", "b"): [("SUPERSCRIPT", 0.4), ("NEXT", 0.9)], ("b", "c"): [("NEXT", 0.8)]}, {"a", "b", "c"})
+    assert [r[:3] for r in D.acyclic(got)] == [("a", "b", "NEXT"), ("a", "d", "SUP")]
+    made = D.beams([("a", "b", "NEXT", 0.9)], {("a", "b"): [("SUP", 0.4), ("NEXT", 0.9)], ("b", "c"): [("NEXT", 0.8)]}, {"a", "b", "c"})
     assert [tuple(r[:3] for r in rs) for rs in made][0] == (("a", "b", "NEXT"), ("b", "c", "NEXT")) and len(made) == 3
 
 
@@ -162,3 +162,12 @@ def test_formulas_without_shared_tokens_meet_the_first_rows(spark):
     none = fusion.best_matches(left, right.where("id = 9")).collect()
     assert sorted((r.left_id, r.right_id, r.similarity) for r in none) == [(1, None, 0.0), (2, None, 0.0)]
     assert fusion.best_matches(left, right.where("false")).count() == 2
+
+
+def test_spans_of_odd_sources():
+    spans = lambda t: [(s[0], s[1], s[6]) for s in L.math_spans(t)]
+    assert spans("$a$$b$") == [("inline", "a$", "$")] and spans("$$x$") == [("inline", "x", "$")] and spans("$$x$$") == [("display", "x", "$$")]
+    assert spans("\\begin{asy}label(\"$x$\");\\end{asy} $y$ \\begin{asydef}$z$\\end{asydef}") == [("inline", "y", "$")]
+    assert spans("\\begin{cases}a\\end{cases}\\begin {split}b\\end{split}\\begin{IEEEeqnarray}c\\end{IEEEeqnarray}\\begin{dmath}d\\end{dmath}") == [("display", "a", "cases"), ("display", "b", "split"), ("display", "c", "IEEEeqnarray")]
+    assert spans("$a$ % \\endinput\n$b$ \\endinput $c$") == [("inline", "a", "$"), ("inline", "b", "$")]
+    assert spans("\\begin{Verbatim}$x$\\end{Verbatim}\\\\[2pt] \\$5 $q_{$}$") == [("inline", "q_{$}", "$")] and spans("\\endinputs $a$") == [("inline", "a", "$")]
