@@ -180,15 +180,15 @@ def _links(pairs: DataFrame, prefix: DataFrame, classes: DataFrame, docs: DataFr
     prefixes bound the intersection by c + the longer rest. Only pairs that pass fetch whole sets.
     """
     asked = small(pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct())
-    own = prefix.join(asked, "node", "left_semi").select("node", "size", "p", F.slice("grams", F.lit(1), F.col("p")).alias("grams"))
     parts = pairs.count() // PAIRS_A_TASK + 1
-    own = own.coalesce(parts)
+    # all tasks look for what few pairs ask for; only what they find goes to few tasks
+    own = prefix.join(asked, "node", "left_semi").select("node", "size", "p", F.slice("grams", F.lit(1), F.col("p")).alias("grams")).repartition(parts)
     other = own.select(*[F.col(c).alias(f"pivot_{c}" if c != "node" else "pivot") for c in own.columns])
     near = pairs.join(own, "node").join(other, "pivot").withColumn("both", F.size(F.array_intersect("grams", "pivot_grams")))
     near = near.where(F.expr(f"(both + greatest(size - p, pivot_size - pivot_p)) * {100 + percent} >= {percent} * (size + pivot_size)"))
     near = cut(near.select("node", "pivot").coalesce(parts))
-    involved = near.select(F.explode(F.array("node", "pivot")).alias("node")).distinct().join(classes.select("node", "h1", "h2", "least"), "node")
-    involved = cut(involved.coalesce(parts))
+    involved = small(near.select(F.explode(F.array("node", "pivot")).alias("node")).distinct())
+    involved = cut(classes.join(involved, "node", "left_semi").select("node", "h1", "h2", "least").repartition(parts))
     wanted = small(involved.select(F.col("least").alias("wanted")).distinct())
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     known = _whole_sets(texts.select("text"), n)
