@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 
 from foliogrid.functions import geometry as G
 from foliogrid.functions import text as X
+from foliogrid.operators import pairs
+from foliogrid.operators.pairs import local_pairs
 from foliogrid.plans.base import BLOCKS, FORMULAS, GLYPHS, blocks, formulas, glyphs, query
 
-NEIGHBOURS, EDGES = 16, 12
+NEIGHBOURS, EDGES = pairs.NEIGHBOURS, 12
 
 
-def twin(df: DataFrame, left: str = "s", right: str = "t", key: str = "page_num") -> DataFrame:
-    """Pairs of rows on a page: columns of either side with its prefix; pages have the key in common, so no pair crosses one."""
-    a = df.select(*[F.col(c).alias(f"{left}_{c}") for c in df.columns])
-    b = df.select(*[F.col(c).alias(f"{right}_{c}") for c in df.columns])
-    return a.join(b, F.col(f"{left}_{key}") == F.col(f"{right}_{key}"))
+SCRIPT = 0.84
+
+
+def marked(g: DataFrame) -> DataFrame:
+    """Glyphs with ``unknown``, and ``script``: no larger than ``SCRIPT`` of their page's upper median size."""
+    m = g.where("size > 0").groupBy("page_num").agg(F.expr("sort_array(collect_list(size))[cast(floor(count(*) / 2) as int)]").alias("middle"))
+    return g.join(m, "page_num", "left").selectExpr(*g.columns, f"{X.unknown_glyph('text')} as unknown", f"coalesce(size <= middle * {SCRIPT}D, false) as script")
+
+
+_MARKED = f"mid as (select page_num, (list_sort(list(size)))[count(*) // 2 + 1] as middle from glyphs where size > 0 group by page_num), mg as (select g.*, {X.unknown_glyph('text')} as unknown, coalesce(size <= middle * {SCRIPT}::double, false) as script from glyphs g left join mid using (page_num))"
 
 
 @query("w01_reading_edges", f"with {GLYPHS}, e as (select page_num, node_id as source, lead(node_id) over (partition by page_num order by idx) as target from glyphs) select * from e where target is not null")
@@ -50,38 +57,45 @@ _PAIR = "from glyphs s join glyphs t on s.page_num = t.page_num and s.node_id <>
 _DIST = f"sqrt(power({G.centre('t.', 'x')} - {G.centre('s.', 'x')}, 2) + power({G.centre('t.', 'y')} - {G.centre('s.', 'y')}, 2))"
 
 
-@query(
-    "j17_nearest_glyphs",
-    f"""with {GLYPHS}, o as (select *, row_number() over (partition by page_num order by x0, y0, node_id) as ord from glyphs),
-    p as (select s.node_id as source, t.node_id as target, {_DIST} + abs(t.ord - s.ord) * 0.25::double as score from o s join o t on s.page_num = t.page_num and s.node_id <> t.node_id),
-    r as (select *, row_number() over (partition by source order by round(score, 9), target) as place from p) select source, target, place::int as place, round(score, 6) as score from r where place <= {NEIGHBOURS}""",
-)
+_NODES = f"""nodes as (select page_num, node_id, 'glyph' as node_type, text, font, size, regexp_matches(regexp_replace(font, '^[A-Z]{{6}}\\+', ''), 'CMEX|CMMI|CMSY|MSAM|MSBM|LMMath|Math|STIX|XITS|CambriaMath') as math, x0, y0, x1, y1 from glyphs
+  union all select page_num, 'v' || page_num, 'vector', '', '', 0.0::double, false, (min(x0) + page_num % 9)::double, (101 + page_num % 13)::double, (min(x0) + page_num % 9 + 14 + page_num % 30)::double, (102 + page_num % 13)::double from glyphs group by page_num)"""
+_NEAREST = f"""{_NODES}, o as (select *, row_number() over (partition by page_num order by x0, y0, node_id) as ord from nodes),
+    p as (select s.page_num, s.node_id as source, t.node_id as target, {_DIST} + abs(t.ord - s.ord) * 0.25::double as score from o s join o t on s.page_num = t.page_num and s.node_id <> t.node_id),
+    r as (select *, row_number() over (partition by page_num, source order by round(score, 9), target) as place from p),
+    near as (select page_num, source, target, place::int as place, score from r where place <= {NEIGHBOURS} union all select page_num, node_id, node_id, 0, 0.0 from nodes where node_type = 'vector')"""
+
+
+def page_nodes(spark, sf_dir) -> DataFrame:
+    """Nodes of a page's graph: its glyphs and one drawn mark, whose place follows from the page's number."""
+    g = glyphs(spark, sf_dir)
+    math = f"{X.font_family('font')} rlike 'CMEX|CMMI|CMSY|MSAM|MSBM|LMMath|Math|STIX|XITS|CambriaMath' as math"
+    own = g.selectExpr("page_num", "node_id", "'glyph' as node_type", "text", "font", "size", math, "x0", "y0", "x1", "y1")
+    mark = g.groupBy("page_num").agg(F.min("x0").alias("x")).selectExpr("page_num", "concat('v', page_num) as node_id", "'vector' as node_type", "'' as text", "'' as font", "0D as size", "false as math", "x + page_num % 9 as x0", "cast(101 + page_num % 13 as double) as y0", "x + page_num % 9 + 14 + page_num % 30 as x1", "cast(102 + page_num % 13 as double) as y1")
+    return own.unionByName(mark)
+
+
+@query("j17_nearest_glyphs", f"with {GLYPHS}, {_NEAREST} select source, target, place, round(score, 6) as score from near")
 def j17(spark, sf_dir):
-    """The 16 nearest glyphs of each on its page, by distance and by how far apart they are in reading order."""
-    o = glyphs(spark, sf_dir).withColumn("ord", F.expr("row_number() over (partition by page_num order by x0, y0, node_id)"))
-    p = twin(o).where("s_node_id <> t_node_id")
-    dist = f"sqrt(power({G.centre('t_', 'x')} - {G.centre('s_', 'x')}, 2) + power({G.centre('t_', 'y')} - {G.centre('s_', 'y')}, 2))"
-    p = p.selectExpr("s_node_id as source", "t_node_id as target", f"{dist} + abs(t_ord - s_ord) * 0.25D as score")
-    r = p.withColumn("place", F.expr("row_number() over (partition by source order by round(score, 9), target)"))
-    return r.where(F.col("place") <= NEIGHBOURS).select("source", "target", "place", F.round("score", 6).alias("score"))
+    """The 16 nearest nodes of each on its page, by distance and by how far apart they are in reading order; a mark also pairs with itself."""
+    return pairs.nearest_pairs(page_nodes(spark, sf_dir)).select("source", "target", "place", F.round("score", 6).alias("score"))
 
 
 def relation_edges(g: DataFrame) -> DataFrame:
     """Candidate relations: pairs with a hint, the best ``EDGES`` of each source (T8), with their features."""
-    p = twin(g).where("s_node_id <> t_node_id").withColumn("hint", F.expr(G.relation_hint("s_", "t_"))).where("hint is not null")
+    p = local_pairs(marked(g)).withColumn("hint", F.expr(G.relation_hint("s_", "t_"))).where("hint is not null")
     for name, sql in G.edge_features("s_", "t_").items():
-        p = p.withColumn(name, F.round(F.expr(sql), 6))
+        p = p.withColumn(name, F.expr(sql) if sql.startswith("case") else F.round(F.expr(sql), 6))
     p = p.withColumn("edge_id", F.concat_ws(":", F.concat_ws("->", "s_node_id", "t_node_id"), "hint"))
     p = p.withColumn("place", F.expr(f"row_number() over (partition by s_node_id order by {G.hint_order('hint')}, round(abs(dx_over_height) + abs(dy_over_height), 6), edge_id)"))
     return p.where(F.col("place") <= EDGES)
 
 
-_FEATURES = ", ".join(f"round({sql}, 6) as {name}" for name, sql in G.edge_features("s.", "t.").items())
+_FEATURES = ", ".join(f"{sql if sql.startswith('case') else f'round({sql}, 6)'} as {name}" for name, sql in G.edge_features("s.", "t.").items())
 
 
 @query(
     "t08_relation_edges",
-    f"""with {GLYPHS}, p as (select s.node_id as source, t.node_id as target, {G.relation_hint('s.', 't.')} as hint, {_FEATURES} {_PAIR}),
+    f"""with {GLYPHS}, {_MARKED}, p as (select s.node_id as source, t.node_id as target, {G.relation_hint('s.', 't.')} as hint, {_FEATURES} from mg s join mg t on s.page_num = t.page_num and s.node_id <> t.node_id),
     e as (select *, source || '->' || target || ':' || hint as edge_id from p where hint is not null),
     r as (select *, row_number() over (partition by source order by {G.hint_order('hint')}, round(abs(dx_over_height) + abs(dy_over_height), 6), edge_id) as place from e)
     select edge_id, source, target, hint, place::int as place, {', '.join(G.edge_features('s.', 't.'))} from r where place <= {EDGES}""",
@@ -90,29 +104,63 @@ def t08(spark, sf_dir):
     return relation_edges(glyphs(spark, sf_dir)).selectExpr("edge_id", "s_node_id as source", "t_node_id as target", "hint", "place", *G.edge_features("s_", "t_"))
 
 
+_EDGES = f"{_MARKED}, p as (select s.page_num, s.node_id as source, t.node_id as target, {G.relation_hint('s.', 't.')} as hint, {_FEATURES} from mg s join mg t on s.page_num = t.page_num and s.node_id <> t.node_id), rk as (select *, row_number() over (partition by source order by {G.hint_order('hint')}, round(abs(dx_over_height) + abs(dy_over_height), 6), source || '->' || target || ':' || hint) as place from p where hint is not null), e as (select * from rk where place <= {EDGES})"
+
+
 @query(
     "a26_graph_stats",
-    f"""with {GLYPHS}, p as (select s.page_num, {G.relation_hint('s.', 't.')} as hint {_PAIR}) select page_num, hint, count(*) as n from p where hint is not null group by all""",
+    rf"""with {GLYPHS}, {_EDGES}, h as (select page_num, string_agg(hint || ':' || n, ',' order by hint) as hints, sum(n)::bigint as edges from (select page_num, hint, count(*) as n from e group by all) group by page_num),
+    f as (select page_num, regexp_replace(font, '^[A-Z]{{6}}\+', '') as font, count(*) as n from glyphs group by all), t as (select *, row_number() over (partition by page_num order by n desc, font) as k from f),
+    fs as (select page_num, count(*) as fonts, string_agg(font || ':' || n, ',' order by k) filter (where k <= 12) as top_fonts from t group by page_num),
+    g as (select page_num, count(*) as glyphs, count(*) filter (where regexp_matches(font, 'CMEX|CMMI|CMSY|Math')) as math_glyphs, count(*) filter (where script) as script_glyphs, count(*) filter (where unknown) as unknown_glyphs from mg group by page_num)
+    select g.page_num, glyphs, coalesce(edges, 0) as edges, coalesce(hints, '') as hints, fonts, top_fonts, math_glyphs, script_glyphs, unknown_glyphs from g join fs using (page_num) left join h using (page_num)""",
 )
 def a26(spark, sf_dir):
-    """Relation hints of each page by kind."""
-    p = twin(glyphs(spark, sf_dir)).where("s_node_id <> t_node_id").selectExpr("s_page_num as page_num", f"{G.relation_hint('s_', 't_')} as hint")
-    return p.where("hint is not null").groupBy("page_num", "hint").agg(F.count("*").alias("n"))
+    """A page's graph in numbers: edges by hint, its twelve commonest fonts, and glyphs of mathematical fonts, script size and unknown ones."""
+    g = glyphs(spark, sf_dir)
+    listed = lambda x, k: f"array_join(transform(array_sort(collect_list(struct({k}))), s -> concat({x})), ',')"
+    h = relation_edges(g).groupBy(F.col("s_page_num").alias("page_num"), "hint").agg(F.count("*").alias("n")).groupBy("page_num").agg(F.expr(listed("s.hint, ':', s.n", "hint, n")).alias("hints"), F.sum("n").alias("edges"))
+    f = g.groupBy("page_num", F.expr(X.font_name("font")).alias("font")).agg(F.count("*").alias("n"))
+    top = f.groupBy("page_num").agg(F.count("*").alias("fonts"), F.expr("array_join(transform(slice(array_sort(collect_list(struct(-n as k, font, n))), 1, 12), s -> concat(s.font, ':', s.n)), ',')").alias("top_fonts"))
+    own = marked(g).groupBy("page_num").agg(F.count("*").alias("glyphs"), F.expr("count_if(font rlike 'CMEX|CMMI|CMSY|Math')").alias("math_glyphs"), F.expr("count_if(script)").alias("script_glyphs"), F.expr("count_if(unknown)").alias("unknown_glyphs"))
+    return own.join(top, "page_num").join(h, "page_num", "left").selectExpr("page_num", "glyphs", "coalesce(edges, 0) as edges", "coalesce(hints, '') as hints", "fonts", "top_fonts", "math_glyphs", "script_glyphs", "unknown_glyphs")
+
+
+def _page_distance(a: str, b: str) -> str:
+    return f"sqrt(power({G.centre(b, 'x')} - {G.centre(a, 'x')}, 2) + power({G.centre(b, 'y')} - {G.centre(a, 'y')}, 2))"
+
 
+_GRAPH = f"""{_NEAREST}, gb as (select page_num, count(*) as nodes, count(*) filter (where node_type = 'glyph') as glyph_count, count(*) filter (where node_type = 'vector') as vector_count, greatest(max(x1) - min(x0), 0.000001) as gw, greatest(max(y1) - min(y0), 0.000001) as gh from nodes group by page_num),
+  d as (select near.page_num, source, target, a.node_type as s_type, b.node_type as t_type, gb.*exclude (page_num), {_page_distance('a.', 'b.')} / greatest(gw, gh, 1.0) as distance from near join nodes a on a.page_num = near.page_num and a.node_id = source join nodes b on b.page_num = near.page_num and b.node_id = target join gb on gb.page_num = near.page_num)"""
 
-@query("a35_node_degrees", f"with {GLYPHS}, p as (select s.node_id as source, t.node_id as target, {_DIST} as d, {G.relation_hint('s.', 't.')} as hint {_PAIR}), e as (select * from p where hint is not null), o as (select source as node_id, count(*) as out_degree, min(d) as nearest, avg(d) as mean from e group by source), i as (select target as node_id, count(*) as in_degree from e group by target) select node_id, coalesce(out_degree, 0) as out_degree, coalesce(in_degree, 0) as in_degree, round(nearest, 6) as nearest, round(mean, 6) as mean from o full join i using (node_id)")
+
+def graph_distances(nodes: DataFrame) -> DataFrame:
+    """The nearest pairs with their pages' counts and spans, and their distance as a share of the larger span."""
+    near = pairs.nearest_pairs(nodes).select("page_num", "source", "target")
+    box = nodes.groupBy("page_num").agg(F.count("*").alias("nodes"), F.expr("count_if(node_type = 'glyph')").alias("glyph_count"), F.expr("count_if(node_type = 'vector')").alias("vector_count"), F.expr("greatest(max(x1) - min(x0), 0.000001D)").alias("gw"), F.expr("greatest(max(y1) - min(y0), 0.000001D)").alias("gh"))
+    side = lambda p, k: nodes.select("page_num", F.col("node_id").alias(k), F.col("node_type").alias(f"{p}_type"), *[F.col(c).alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")])
+    d = near.join(side("s", "source"), ["page_num", "source"]).join(side("t", "target"), ["page_num", "target"]).join(box, "page_num")
+    return d.selectExpr("page_num", "source", "target", "s_type", "t_type", "nodes", "glyph_count", "vector_count", "gw", "gh", f"{_page_distance('s_', 't_')} / greatest(gw, gh, 1.0D) as distance")
+
+
+@query(
+    "a35_node_degrees",
+    f"""with {GLYPHS}, {_GRAPH}, outs as (select page_num, source as node_id, count(*) as out_degree, min(distance) as nearest, avg(distance) as mean, count(*) filter (where t_type = 'vector') as rules from d group by all),
+    ins as (select page_num, target as node_id, count(*) as in_degree, min(distance) as in_nearest, avg(distance) as in_mean, count(*) filter (where s_type = 'vector') as in_rules from d group by all)
+    select page_num, node_id, coalesce(out_degree, 0) as out_degree, coalesce(in_degree, 0) as in_degree, round(nearest, 6) as nearest, round(mean, 6) as mean, round(in_nearest, 6) as in_nearest, round(in_mean, 6) as in_mean, coalesce(rules, 0) as rules, coalesce(in_rules, 0) as in_rules from outs full join ins using (page_num, node_id)""",
+)
 def a35(spark, sf_dir):
-    dist = f"sqrt(power({G.centre('t_', 'x')} - {G.centre('s_', 'x')}, 2) + power({G.centre('t_', 'y')} - {G.centre('s_', 'y')}, 2))"
-    e = twin(glyphs(spark, sf_dir)).where("s_node_id <> t_node_id").selectExpr("s_node_id as source", "t_node_id as target", f"{dist} as d", f"{G.relation_hint('s_', 't_')} as hint").where("hint is not null")
-    ends = e.selectExpr("inline(array(struct(source as node_id, 1 as o, 0 as i, d as d), struct(target as node_id, 0 as o, 1 as i, cast(null as double) as d)))")
-    return ends.groupBy("node_id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.round(F.min("d"), 6).alias("nearest"), F.round(F.avg("d"), 6).alias("mean"))
+    """Degrees, distances and neighbouring marks of each node among the nearest pairs, as a source and as a target."""
+    d = graph_distances(page_nodes(spark, sf_dir))
+    ends = d.selectExpr("page_num", "inline(array(struct(source as node_id, distance as o, cast(null as double) as i, t_type = 'vector' as r, false as q), struct(target as node_id, cast(null as double) as o, distance as i, false as r, s_type = 'vector' as q)))")
+    return ends.groupBy("page_num", "node_id").agg(F.count("o").alias("out_degree"), F.count("i").alias("in_degree"), F.round(F.min("o"), 6).alias("nearest"), F.round(F.avg("o"), 6).alias("mean"), F.round(F.min("i"), 6).alias("in_nearest"), F.round(F.avg("i"), 6).alias("in_mean"), F.expr("count_if(r)").alias("rules"), F.expr("count_if(q)").alias("in_rules"))
 
 
-@query("w04_distance_ranks", f"with {GLYPHS}, p as (select s.node_id as source, t.node_id as target, round({_DIST}, 6) as d {_PAIR}) select source, target, rank() over (partition by source order by d)::int as place, percent_rank() over (partition by source order by d) as share from p")
+@query("w04_distance_ranks", f"with {GLYPHS}, {_GRAPH} select source, target, rank() over w::int as place, (rank() over w - 1) / greatest(count(*) over (partition by page_num, source) - 1, 1) as share from d window w as (partition by page_num, source order by round(distance, 9))")
 def w04(spark, sf_dir):
-    dist = f"round(sqrt(power({G.centre('t_', 'x')} - {G.centre('s_', 'x')}, 2) + power({G.centre('t_', 'y')} - {G.centre('s_', 'y')}, 2)), 6)"
-    p = twin(glyphs(spark, sf_dir)).where("s_node_id <> t_node_id").selectExpr("s_node_id as source", "t_node_id as target", f"{dist} as d")
-    return p.selectExpr("source", "target", "rank() over (partition by source order by d) as place", "percent_rank() over (partition by source order by d) as share")
+    """Each source's nearest pairs by distance: rank and percentile."""
+    w = "over (partition by page_num, source order by round(distance, 9))"
+    return graph_distances(page_nodes(spark, sf_dir)).selectExpr("source", "target", f"rank() {w} as place", f"(rank() {w} - 1) / greatest(count(*) over (partition by page_num, source) - 1, 1) as share")
 
 
 @query("a11_page_health", f"with {GLYPHS} select page_num, count(*) as glyphs, count(*) filter (where text in ('', '\ufffd') or left(text, 4) = 'cid:') as unknown, round(count(*) filter (where text in ('', '\ufffd') or left(text, 4) = 'cid:') / count(*), 6) as unknown_rate, count(distinct regexp_replace(font, '^[A-Z]{{6}}\\+', '')) as fonts, bool_or(text in ('', '\ufffd') or left(text, 4) = 'cid:') as needs_repair from glyphs group by page_num")

@@ -10,7 +10,7 @@ from foliogrid.functions import text as X
 from foliogrid.operators.components import connected_components
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, FORMULAS, blocks, formulas, query
-from foliogrid.plans.glyphs import twin
+from foliogrid.operators.pairs import twin
 
 _FACTS = "(block_type in ('heading', 'paragraph', 'formula', 'table') and trim(content) <> '')"
 

@@ -9,6 +9,8 @@ from foliogrid.functions import text as X
 from foliogrid.operators import decode, matching
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, FORMULAS, GLYPHS, blocks, formulas, glyphs, query
+from foliogrid.operators.pairs import local_pairs
+from foliogrid.plans.glyphs import _EDGES, relation_edges
 from foliogrid.session import table
 
 #: Densities and shares of width that make a line a display seed.
@@ -42,23 +44,24 @@ def g11(spark, sf_dir):
     return lines(spark, sf_dir).selectExpr("page_num", f"cast({_CONFIDENCE} as double) as confidence")
 
 
-_SHAPE = "least(1.0, (v_x1 - v_x0) / greatest(v_y1 - v_y0, 0.000001) / 12)"
-_ACROSS = "greatest(0.0, least(v_x1, b_x1) - greatest(v_x0, b_x0)) / greatest(b_x1 - b_x0, 0.000001)"
-_TOP = "greatest(0.0, 1.0 - abs((v_y0 + v_y1) / 2 - b_y0) / greatest(1.0, b_y1 - b_y0))"
-_ROLE = f"round(0.45 * {_SHAPE} + 0.35 * {_ACROSS} + 0.20 * {_TOP}, 6)"
+LEAST_ROLE, LEAST_ENCLOSURE = 0.45, 0.35
+_ROLES = G.role_scores("v_", "b_", "c_")
+_LEASTS = {role: LEAST_ENCLOSURE if role == "enclosure" else LEAST_ROLE for role in _ROLES}
+_V = "b_x0 + i * 3 as v_x0, b_y0 - 2 + i * 4 as v_y0, case when i = 2 then b_x0 + 7 else b_x1 - i end as v_x1, case when i = 2 then b_y1 + 9 else b_y0 - 1 + i * 4 end as v_y1, b_x0 + 2 as c_x0, b_y1 + 3 as c_y0, b_x1 - 1 as c_x1, b_y1 + 11 as c_y1"
 
 
 @query(
     "j32_rule_roles",
     f"""with {GLYPHS}, b as (select page_num, min(x0) as b_x0, min(y0) as b_y0, max(x1) as b_x1, max(y1) as b_y1 from glyphs group by page_num),
-    v as (select page_num, i, b_x0 + i * 3 as v_x0, b_y0 - 2 + i * 4 as v_y0, b_x1 - i as v_x1, b_y0 - 1 + i * 4 as v_y1, b_x0, b_y0, b_x1, b_y1 from b, (values (0), (1), (2)) t(i)),
-    s as (select page_num, i, ({_ROLE})::double as score from v), k as (select *, row_number() over (partition by page_num order by score desc, i) as place from s) select page_num, i as rule, score from k where place = 1 and score >= 0.45""",
+    v as (select *, {_V} from b, (values (0), (1), (2)) t(i)), s as ({' union all '.join(f"select page_num, '{r}' as role, i, round(({e})::double, 6) as score from v" for r, e in _ROLES.items())}),
+    k as (select *, row_number() over (partition by page_num, role order by score desc, i) as place from s) select page_num, role, i as rule, score from k where place = 1 and score >= case role when 'enclosure' then {LEAST_ENCLOSURE} else {LEAST_ROLE} end""",
 )
 def j32(spark, sf_dir):
-    """The rule that serves a body best as its bar: shape, overlap and distance of its top."""
+    """The mark that serves a body best in each role (G10): as a fraction's bar, over or under it, as a root's, a frame, a fence, a border."""
     b = glyphs(spark, sf_dir).groupBy("page_num").agg(F.min("x0").alias("b_x0"), F.min("y0").alias("b_y0"), F.max("x1").alias("b_x1"), F.max("y1").alias("b_y1"))
-    v = b.selectExpr("*", "explode(array(0, 1, 2)) as i").selectExpr("*", "b_x0 + i * 3 as v_x0", "b_y0 - 2 + i * 4 as v_y0", "b_x1 - i as v_x1", "b_y0 - 1 + i * 4 as v_y1").selectExpr("page_num", "i", f"cast({_ROLE} as double) as score")
-    return v.groupBy("page_num").agg(F.expr("max_by(i, struct(score, -i))").alias("rule"), F.max("score").alias("score")).where("score >= 0.45")
+    v = b.selectExpr("*", "explode(array(0, 1, 2)) as i").selectExpr("*", *_V.split(", "))
+    roles = ", ".join(f"struct('{r}' as role, round(cast({e} as double), 6) as score, {_LEASTS[r]}D as least)" for r, e in _ROLES.items())
+    return v.selectExpr("page_num", "i", f"inline(array({roles}))").groupBy("page_num", "role").agg(F.expr("max_by(i, struct(score, -i))").alias("rule"), F.max("score").alias("score"), F.max("least").alias("least")).where("score >= least").drop("least")
 
 
 @query(
@@ -89,15 +92,12 @@ def j26(spark, sf_dir):
     return matching.paragraphs_of_blocks(b, marked)
 
 
-@query("p34_candidate_evidence", f"with {GLYPHS}, p as (select s.page_num, {G.relation_hint('s.', 't.')} as hint from glyphs s join glyphs t on s.page_num = t.page_num and s.node_id <> t.node_id), h as (select page_num, count(*) as edges, count(*) filter (where hint in ('superscript_zone', 'subscript_zone', 'above_zone', 'below_zone')) as structural from p where hint is not null group by page_num), g as (select page_num, count(*) as n, count(*) filter (where text in ('', '\ufffd') or left(text, 4) = 'cid:') as unknown from glyphs group by page_num) select g.page_num, coalesce(edges, 0) as edges, round(coalesce(edges, 0) / n, 6) as density, coalesce(structural, 0) > 0 as structural_signal, round(unknown / n, 6) as unknown_rate from g left join h using (page_num)")
+@query("p34_candidate_evidence", f"with {GLYPHS}, {_EDGES}, h as (select page_num, count(*) as edges, count(*) filter (where hint in ('superscript_zone', 'subscript_zone', 'above_zone', 'below_zone')) as structural from e group by page_num), g as (select page_num, count(*) as n, count(*) filter (where {X.unknown_glyph('text')}) as unknown from glyphs group by page_num) select g.page_num, coalesce(edges, 0) as edges, round(coalesce(edges, 0) / n, 6) as density, coalesce(structural, 0) > 0 as structural_signal, round(unknown / n, 6) as unknown_rate from g left join h using (page_num)")
 def p34(spark, sf_dir):
     """Evidence of a candidate: edges, their density, structural hints and unknown glyphs."""
-    from foliogrid.plans.glyphs import twin
-
     g = glyphs(spark, sf_dir)
-    h = twin(g).where("s_node_id <> t_node_id").selectExpr("s_page_num as page_num", f"{G.relation_hint('s_', 't_')} as hint").where("hint is not null")
-    h = h.groupBy("page_num").agg(F.count("*").alias("edges"), F.expr("count_if(hint in ('superscript_zone', 'subscript_zone', 'above_zone', 'below_zone'))").alias("structural"))
-    n = g.groupBy("page_num").agg(F.count("*").alias("n"), F.expr("count_if(text in ('', '\ufffd') or left(text, 4) = 'cid:')").alias("unknown"))
+    h = relation_edges(g).groupBy(F.col("s_page_num").alias("page_num")).agg(F.count("*").alias("edges"), F.expr("count_if(hint in ('superscript_zone', 'subscript_zone', 'above_zone', 'below_zone'))").alias("structural"))
+    n = g.groupBy("page_num").agg(F.count("*").alias("n"), F.expr(f"count_if({X.unknown_glyph('text')})").alias("unknown"))
     return n.join(h, "page_num", "left").selectExpr("page_num", "coalesce(edges, 0) as edges", "round(coalesce(edges, 0) / n, 6) as density", "coalesce(structural, 0) > 0 as structural_signal", "round(unknown / n, 6) as unknown_rate")
 
 
@@ -173,11 +173,9 @@ def p23(spark, sf_dir):
     return c.selectExpr("c_custkey", f"{X.backend_skip('model', 'available')} as reason")
 
 
-@query("g06_radical_bodies", f"with {GLYPHS}, r as (select s.node_id as source, t.node_id as target, t.x0 - s.x1 as gap, greatest(s.y1 - s.y0, t.y1 - t.y0, 1) as h, {G.span_overlap('s.', 't.', 'y')} as rise, abs((t.y0 + t.y1) / 2 - (s.y0 + s.y1) / 2) as dy from glyphs s join glyphs t on s.page_num = t.page_num where s.text = '+' and (t.x0 + t.x1) / 2 > (s.x0 + s.x1) / 2) select source, target from r where gap <= 4 * h and (rise >= 0.05 or dy <= 1.6 * h)")
+@query("g06_radical_bodies", f"with {GLYPHS}, r as (select s.node_id as source, t.node_id as target, t.x0 - s.x1 as gap, greatest(s.y1 - s.y0, t.y1 - t.y0, 1) as h, {G.span_overlap('s.', 't.', 'y')} as rise, abs((t.y0 + t.y1) / 2 - (s.y0 + s.y1) / 2) as dy from glyphs s join glyphs t on s.page_num = t.page_num where s.text = '+' and s.node_id <> t.node_id and (t.x0 + t.x1) / 2 > (s.x0 + s.x1) / 2) select source, target from r where gap <= 4 * h and (rise >= 0.05 or dy <= 1.6 * h)")
 def g06(spark, sf_dir):
     """What may stand under a radical (a plus stands for one here): to its right, near and about level."""
-    from foliogrid.plans.glyphs import twin
-
-    p = twin(glyphs(spark, sf_dir)).where("s_text = '+' and (t_x0 + t_x1) / 2 > (s_x0 + s_x1) / 2")
+    p = local_pairs(glyphs(spark, sf_dir)).where("s_text = '+' and (t_x0 + t_x1) / 2 > (s_x0 + s_x1) / 2")
     p = p.selectExpr("s_node_id as source", "t_node_id as target", "t_x0 - s_x1 as gap", "greatest(s_y1 - s_y0, t_y1 - t_y0, 1) as h", f"{G.span_overlap('s_', 't_', 'y')} as rise", "abs((t_y0 + t_y1) / 2 - (s_y0 + s_y1) / 2) as dy")
     return p.where("gap <= 4 * h and (rise >= 0.05 or dy <= 1.6 * h)").select("source", "target")
