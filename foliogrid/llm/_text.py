@@ -7,6 +7,7 @@ for each byte, times a power of an odd base, then mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -174,8 +175,21 @@ def wider(schema: StructType, **fields: str) -> StructType:
     return StructType([*schema.fields, *(StructField(name, DataType.fromDDL(kind)) for name, kind in fields.items())])
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers live on from task to task, and what one step needed most would stay theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` over texts, in batches of bounded size: rows may be long."""
     importable(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    return df.mapInArrow(run, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(released, schema)

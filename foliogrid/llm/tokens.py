@@ -38,7 +38,7 @@ from foliogrid.session import cut, small
 
 SEGMENT = 1 << 20
 HINT = 64
-#: Words whose ids a worker remembers (some 150 bytes each); past it, it starts anew.
+#: Words whose ids a worker remembers (some 40 bytes each); past it, it starts anew.
 REMEMBERED = 500_000
 _STEP = 1 << 20
 
@@ -147,7 +147,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}  # of a word's hash in what follows
+        # words' hashes, ascending, and their places in what follows
+        self.keys, self.place = np.zeros(0, T.U), np.zeros(0, np.int64)
         self.counts, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint16 if self.size <= 1 << 16 else np.uint32)
 
@@ -202,21 +203,24 @@ class Encoder:
         return np.concatenate(out), counts
 
     def _places(self, own: np.ndarray, word) -> np.ndarray:
-        """Where the ids of words with these hashes are kept; new ones are asked for, ``word(i)`` being the i-th."""
-        get = self.place.get
-        at = np.array([get(h, -1) for h in own.tolist()], np.int64)
-        new = np.flatnonzero(at < 0)
+        """Where the ids of words with these hashes, ascending, are kept; new ones are asked for, ``word(i)`` being the i-th."""
+        at = np.searchsorted(self.keys, own)
+        known = np.zeros(len(own), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == own[at < len(self.keys)]
+        new = np.flatnonzero(~known)
+        if len(new) and len(self.keys) and len(self.keys) + len(new) > REMEMBERED:
+            self.forget()
+            return self._places(own, word)
+        out = np.zeros(len(own), np.int64)
+        out[known] = self.place[at[known]]
         if len(new):
-            if len(self.place) + len(new) > REMEMBERED and len(self.place):
-                self.forget()
-                return self._places(own, word)
             ids, counts = self._ask([word(i) for i in new])
-            at[new] = len(self.counts) + np.arange(len(new))
-            self.place.update(zip(own[new].tolist(), at[new].tolist(), strict=True))
+            out[new] = len(self.counts) + np.arange(len(new))
+            self.keys, self.place = np.insert(self.keys, at[new], own[new]), np.insert(self.place, at[new], out[new])
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
             self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
-        return at
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with the end id behind it; the rows' bounds in them."""

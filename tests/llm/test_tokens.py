@@ -81,7 +81,7 @@ def test_memory_of_words_is_bounded(monkeypatch):
         raw = [x.encode() for x in texts]
         ids, bounds = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 1)
         assert [list(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
-        assert len(coder.place) <= 82 and len(coder.counts) == len(coder.place)
+        assert len(coder.place) <= 82 and len(coder.counts) == len(coder.place) == len(coder.keys) and (np.diff(coder.keys.astype(object)) > 0).all()
 
 
 def test_empty_table(spark, empty, tmp_path):
