@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliogrid.functions import audit as A
 from foliogrid.functions import text as X
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, FORMULAS, GLYPHS, blocks, formulas, glyphs, query
@@ -30,31 +31,109 @@ def g18(spark, sf_dir):
     return h.selectExpr("doc_id", "group_key", f"{split_name('h', '{0}', 'cast(conv({0}, 16, 10) as double)')} as split")
 
 
-@query(
-    "p28_row_blockers",
-    f"with {FORMULAS}, b as (select result_id, list_filter([case when result_id % 13 = 0 then 'not_verified_exact_box' end, case when trim(latex) = '' then 'empty_label' end, case when warning = 'empty_result' then 'empty_result' end, case when x1 <= x0 or y1 <= y0 then 'bad_box' end, case when length(latex) > 40 then 'label_too_long' end], lambda x: x is not null) as blockers from formulas) select blocker, count(*) as n from (select case when len(blockers) = 0 then 'admitted' else unnest(blockers) end as blocker from (select case when len(blockers) = 0 then [null] else blockers end as blockers from b)) group by blocker".replace("select case when len(blockers) = 0 then 'admitted' else unnest(blockers) end as blocker", "select coalesce(unnest(blockers), 'admitted') as blocker"),
-)
+_ROWS = """result_id % 13 <> 0 as exact_box, case when result_id % 17 = 0 then 'v1' else 'v2' end as quality_version, 'v2' as wanted_version, {upstream} as upstream, case when result_id % 11 = 0 then ' ' else latex end as label, x1 > x0 and y1 > y0 and result_id % 29 <> 0 as has_box, result_id % 5 as nodes"""
+
+
+def _captured(dialect: A.Spark) -> str:
+    return _ROWS.format(upstream=dialect.kept("case when warning = 'empty_result' then 'empty_marker_capture' end", "case when result_id % 7 = 0 then '' end", "case when result_id % 19 = 0 then 'source_offset_not_verified' end"))
+
+
+@query("p28_row_blockers", f"with {FORMULAS}, r as (select result_id, {_captured(A.Duck())} from formulas), b as (select {A.row_blockers(A.Duck())} as blockers from r) select blocker, count(*) as n from (select unnest(case when len(blockers) = 0 then ['admitted'] else blockers end) as blocker from b) group by blocker")
 def p28(spark, sf_dir):
-    """Why rows are kept out of a dataset, counted; rows without a reason are admitted."""
-    b = formulas(spark, sf_dir).selectExpr("array_compact(array(if(result_id % 13 = 0, 'not_verified_exact_box', null), if(trim(latex) = '', 'empty_label', null), if(warning = 'empty_result', 'empty_result', null), if(x1 <= x0 or y1 <= y0, 'bad_box', null), if(length(latex) > 40, 'label_too_long', null))) as blockers")
+    """Why captured rows are kept out of a data set, counted; rows without a reason are admitted."""
+    r = formulas(spark, sf_dir).selectExpr("result_id", *_split(_captured(A.Spark())))
+    b = r.selectExpr(f"{A.row_blockers(A.Spark())} as blockers")
     return b.select(F.explode(F.expr("if(size(blockers) = 0, array('admitted'), blockers)")).alias("blocker")).groupBy("blocker").agg(F.count("*").alias("n"))
 
 
-@query("a25_manifest", f"with {FORMULAS}, s as (select stage, length(latex) as n from formulas) select stage, count(*) as row_count, min(n)::int as least, max(n)::int as most, round(avg(n), 3) as mean, (list_sort(list(n)))[least(count(*) - 1, round_even((count(*) - 1) * 0.95::double, 0)::bigint) + 1]::int as p95 from s group by stage")
+def _split(columns: str) -> list[str]:
+    """Columns of a select list, cut at commas outside brackets."""
+    out, depth, last = [], 0, 0
+    for i, c in enumerate(columns):
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and not depth:
+            out.append(columns[last:i])
+            last = i + 1
+    return [*out, columns[last:]]
+
+
+@query(
+    "a25_manifest",
+    f"""with {FORMULAS}, r as (select result_id, stage, latex, length(latex) as n, {_captured(A.Duck())} from formulas), b as (select *, {A.row_blockers(A.Duck())} as blockers, sha256(stage || ':' || latex) as input_hash from r),
+    ok as (select * from b where len(blockers) = 0), t as (select stage, unnest({D.coverage_tags('latex')}) as tag from ok),
+    h as (select stage, sha256(string_agg(input_hash, ',' order by result_id)) as dataset_hash, count(*) as row_count, min(n)::int as least, max(n)::int as most, round(avg(n), 3) as mean, (list_sort(list(n)))[least(count(*) - 1, round_even((count(*) - 1) * 0.95::double, 0)::bigint) + 1]::int as p95 from ok group by stage),
+    tg as (select stage, string_agg(tag || ':' || k, ',' order by tag) as tags from (select stage, tag, count(*) as k from t group by all) group by stage),
+    bl as (select stage, string_agg(blocker || ':' || k, ',' order by blocker) as blocked from (select stage, blocker, count(*) as k from (select stage, unnest(blockers) as blocker from b) group by all) group by stage)
+    select h.*, coalesce(tags, '') as tags, coalesce(blocked, '') as blocked from h left join tg using (stage) left join bl using (stage)""",
+)
 def a25(spark, sf_dir):
-    """A manifest's summary: counts and lengths by stage, p95 by nearest rank."""
-    s = formulas(spark, sf_dir).selectExpr("stage", "length(latex) as n")
+    """A manifest by stage: admitted rows and their hash, lengths with p95 by nearest rank (G17), tags, and what blocked the others."""
+    r = formulas(spark, sf_dir).selectExpr("result_id", "stage", "latex", "length(latex) as n", *_split(_captured(A.Spark())))
+    b = r.selectExpr("result_id", "stage", "latex", "n", f"{A.row_blockers(A.Spark())} as blockers", "sha2(concat(stage, ':', latex), 256) as input_hash")
+    ok = b.where("size(blockers) = 0")
     nearest = "sort_array(collect_list(n))[cast(least(count(*) - 1, bround((count(*) - 1) * 0.95D, 0)) as int)]"
-    return s.groupBy("stage").agg(F.count("*").alias("row_count"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 3).alias("mean"), F.expr(nearest).alias("p95"))
+    whole = "sha2(array_join(transform(array_sort(collect_list(struct(result_id, input_hash))), s -> s.input_hash), ','), 256)"
+    h = ok.groupBy("stage").agg(F.expr(whole).alias("dataset_hash"), F.count("*").alias("row_count"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 3).alias("mean"), F.expr(nearest).alias("p95"))
+
+    def listed(rows, item: str, name: str):
+        one = rows.groupBy("stage", item).agg(F.count("*").alias("k"))
+        return one.groupBy("stage").agg(F.expr(f"array_join(transform(array_sort(collect_list(struct({item}, k))), s -> concat(s.{item}, ':', s.k)), ',')").alias(name))
+
+    tags = listed(ok.selectExpr("stage", f"explode({X.coverage_tags('latex')}) as tag"), "tag", "tags")
+    blocked = listed(b.selectExpr("stage", "explode(blockers) as blocker"), "blocker", "blocked")
+    return h.join(tags, "stage", "left").join(blocked, "stage", "left").na.fill("", ["tags", "blocked"])
+
+
+_AUDITED = """result_id, case result_id % 16 when 3 then 'algorithm_block' when 5 then 'diagram' when 7 then 'image_formula' else 'display' end as candidate_kind, case when result_id % 31 = 1 then 'possible_chemistry' else 'math_ai' end as domain,
+  case when result_id % 37 = 2 then 'scanned' else 'born_digital' end as document_kind, case when result_id % 41 = 3 then 'unsupported' else '' end as recommended_route, result_id % 43 = 4 as needs_ocr, case when result_id % 47 = 5 then ' ' else latex end as latex, result_id % 9 <> 8 as has_tree,
+  {warnings} as target_warnings, {artifacts} as artifacts, result_id % 53 <> 6 as aligned, similarity as hard_rate, (result_id % 3)::int as unmatched, {found} as alignment_warnings, result_id % 59 <> 7 as has_glyphs,
+  contains(latex, 'sqrt') as has_sqrt, contains(latex, 'frac') as has_fraction, contains(latex, 'text') as has_text, contains(latex, '=') as has_atom, {tags} as tags"""
+
 
+def _audited(d: A.Spark, tags: str) -> str:
+    texts = {
+        "warnings": d.kept("case when result_id % 10 = 8 then 'target_tree_unsupported_katex_type:cr' end", "case when result_id % 10 = 6 then 'target_tree_radical_missing_body' end", "case when result_id % 10 = 4 then 'katex_parse_error:x' end"),
+        "artifacts": d.kept("'spacing'", "case when result_id % 14 = 2 then 'unsupported_katex_node' end", "case when result_id % 14 = 9 then 'katex_error_color' end"),
+        "found": d.kept("case when similarity < 0.7 then 'alignment_low_hard_coverage' end", "case when result_id % 3 > 0 then 'alignment_unmatched_target_nodes' end", "'other'"),
+        "tags": tags,
+    }
+    out = _AUDITED.format(**texts)
+    return out if isinstance(d, A.Duck) else out.replace("(result_id % 3)::int", "cast(result_id % 3 as int)")
 
-@query("a24_coverage_audit", f"with {FORMULAS}, t as (select unnest({D.coverage_tags('latex')}) as tag from formulas) select tag, count(*) as n from t group by tag union all select 'missing:' || w, 0 from (select unnest({list(X.COVERAGE)!r}) as w) where w not in (select tag from t)")
+
+def _audit_steps(d: A.Spark) -> list[list[str]]:
+    """Columns step by step: reasons, bucket, and what follows from them."""
+    return [[f"{sql} as {name}" for name, sql in A.reasons(d).items()], [f"{A.bucket(d)} as bucket", f"{A.bucket_reasons(d)} as why", f"{A.secondary(d)} as also"], [f"{A.blocker_tags(d)} as blockers", f"{A.quality()} as quality", f"{A.recommended()} as route"]]
+
+
+_AUDIT = f"{FORMULAS}, q0 as (select {_audited(A.Duck(), D.coverage_tags('latex'))} from formulas), " + ", ".join(f"q{i} as (select *, {', '.join(cols)} from q{i - 1})" for i, cols in enumerate(_audit_steps(A.Duck()), 1))
+
+
+def audited(spark, sf_dir):
+    q = formulas(spark, sf_dir).selectExpr(*_split(_audited(A.Spark(), X.coverage_tags("latex"))))
+    for cols in _audit_steps(A.Spark()):
+        q = q.selectExpr("*", *cols)
+    return q
+
+
+@query("f40_bucket_cascade", f"with {_AUDIT} select result_id, bucket, array_to_string(why, ',') as reasons, array_to_string(also, ',') as secondary_buckets, array_to_string(blockers, ',') as blocker_tags, quality, route from q3")
+def f40(spark, sf_dir):
+    """Each row's bucket with its reasons, the buckets it could be in besides, what blocks it, and the route that it takes."""
+    return audited(spark, sf_dir).selectExpr("result_id", "bucket", "array_join(why, ',') as reasons", "array_join(also, ',') as secondary_buckets", "array_join(blockers, ',') as blocker_tags", "quality", "route")
+
+
+_AUDIT_COUNTS = {"bucket": "array(bucket)", "coverage": "tags", "ready_coverage": "if(bucket = 'ready_for_model', tags, array())", "reason": "why", "blocker": "blockers"}
+_DUCK_COUNTS = {"bucket": "[bucket]", "coverage": "tags", "ready_coverage": "case when bucket = 'ready_for_model' then tags else [] end", "reason": "why", "blocker": "blockers"}
+
+
+@query("a24_coverage_audit", f"with {_AUDIT}, c as (" + " union all ".join(f"select '{k}' as kind, unnest({v}) as item from q3" for k, v in _DUCK_COUNTS.items()) + f") select kind, item, count(*) as n from c group by all union all select 'missing_' || k, w, 0 from (select unnest({list(X.COVERAGE)!r}) as w), (select unnest(['coverage', 'ready_coverage']) as k) where not exists (select 1 from c where c.kind = k and c.item = w)")
 def a24(spark, sf_dir):
-    """Tags that formulas exercise, and those that none does."""
-    t = formulas(spark, sf_dir).selectExpr(f"explode({X.coverage_tags('latex')}) as tag").groupBy("tag").agg(F.count("*").alias("n"))
-    wanted = spark.createDataFrame([(k,) for k in X.COVERAGE], "tag string")
-    missing = wanted.join(t, "tag", "left_anti").selectExpr("concat('missing:', tag) as tag", "0L as n")
-    return t.unionByName(missing)
+    """Rows by bucket, coverage, coverage of ready rows, reason and blocker, and the tags that are missing (U4)."""
+    listed = ", ".join(f"named_struct('kind', '{k}', 'items', {v})" for k, v in _AUDIT_COUNTS.items())
+    c = audited(spark, sf_dir).selectExpr(f"inline(array({listed}))").selectExpr("kind", "explode(items) as item").groupBy("kind", "item").agg(F.count("*").alias("n"))
+    wanted = spark.createDataFrame([(k, t) for k in ("coverage", "ready_coverage") for t in X.COVERAGE], "kind string, item string")
+    missing = wanted.join(c, ["kind", "item"], "left_anti").selectExpr("concat('missing_', kind) as kind", "item", "0L as n")
+    return c.unionByName(missing)
 
 
 @query("a23_alignment_audit", f"with {FORMULAS}, w as (select candidate_id, count(*) as n, count(*) filter (where similarity >= 0.9) as hard, count(*) filter (where warning <> '') as warned from formulas group by candidate_id) select count(*) as rows_n, sum(n)::bigint as labels, sum(hard)::bigint as hard, round(sum(hard) / sum(n), 6) as hard_rate, count(*) filter (where hard = n) as fully_hard, sum(warned)::bigint as warned, sum(hard) / sum(n) >= 0.70 as passed from w")
@@ -119,11 +198,6 @@ def a40(spark, sf_dir):
     return blocks(spark, sf_dir).where("page_num >= 0").groupBy("doc_id").agg(F.expr("array_join(array_sort(collect_set(page_num)), ',')").alias("pages"))
 
 
-@query("f40_bucket_cascade", f"with {FORMULAS} select case when stage = 'inline_spans' then 'route_unsupported' when warning = 'empty_result' then 'needs_image_mfr' when score < 0.2 then 'abstain' when contains(latex, 'pmatrix') then 'needs_schema_extension' when warning = 'low_confidence' then 'needs_identity_repair' else 'ready_for_model' end as bucket, count(*) as n from formulas group by 1")
-def f40(spark, sf_dir):
-    return formulas(spark, sf_dir).groupBy(F.expr("case when stage = 'inline_spans' then 'route_unsupported' when warning = 'empty_result' then 'needs_image_mfr' when score < 0.2 then 'abstain' when contains(latex, 'pmatrix') then 'needs_schema_extension' when warning = 'low_confidence' then 'needs_identity_repair' else 'ready_for_model' end").alias("bucket")).agg(F.count("*").alias("n"))
-
-
 @query(
     "j09_row_joins",
     f"with {FORMULAS}, g as (select * from formulas where result_id % 5 <> 3), t as (select * from formulas where result_id % 4 <> 1) select coalesce(g.result_id, t.result_id) as row_id, case when t.result_id is null then 'target_row_missing' when g.result_id is null then 'graph_row_missing' else 'joined' end as status from g full join t on g.result_id = t.result_id",

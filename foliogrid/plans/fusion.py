@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliogrid.functions import text as X
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import FORMULAS, formulas, query
+from foliogrid.session import cut
 
 #: Stages that full coverage has, and marks of warnings that stop an acceptance.
 EXPECTED = ("parsed_blocks", "pdf_structure", "local_precise", "cloud_semantic")
@@ -18,7 +19,11 @@ RISKS = "failed|empty|low_confidence|prose_like|table"
 BLOCK_LIMIT = 60
 _QUOTED = ", ".join(f"'{s}'" for s in EXPECTED)
 
-_RANKED = f"""{FORMULAS}, ranked as (select *, row_number() over (partition by candidate_id order by similarity desc, (stage <> 'parsed_blocks')::int desc, score desc, result_id) as place from formulas)"""
+def ranked_sql(source: str, name: str) -> str:
+    return f"{name} as (select *, row_number() over (partition by candidate_id order by similarity desc, (stage <> 'parsed_blocks')::int desc, score desc, result_id) as place from {source})"
+
+
+_RANKED = f"{FORMULAS}, {ranked_sql('formulas', 'ranked')}"
 
 
 def ranked(f: DataFrame) -> DataFrame:
@@ -53,12 +58,17 @@ def fusion_rows(f: DataFrame) -> DataFrame:
     return g.withColumn("decision", F.expr("if(size(reasons) = 0, 'ready_for_manual_accept', 'needs_more_evidence')"))
 
 
-_FUSION = f"""{_RANKED}, g0 as (select candidate_id, count(*) as candidate_count, arg_min(result_id, place) as best_id, arg_min(latex, place) as best_latex, arg_min(similarity, place) as best_similarity,
+def fusion_sql(source: str, g: str = "g", name: str = "ranked") -> str:
+    """CTEs of fused groups, ``g``, from candidates."""
+    return f"""{ranked_sql(source, name)}, {g}0 as (select candidate_id, count(*) as candidate_count, arg_min(result_id, place) as best_id, arg_min(latex, place) as best_latex, arg_min(similarity, place) as best_similarity,
   list_sort(list(distinct stage)) as stages, coalesce(list_sort(list(distinct warning) filter (where regexp_matches(lower(warning), '{RISKS}'))), []) as risk_flags,
-  max(similarity) filter (where stage = 'local_precise') as precise, max(similarity) filter (where stage in ('pdf_structure', 'parsed_blocks', 'inline_spans')) as born from ranked group by candidate_id),
-g1 as (select *, round_even(len(list_intersect(stages, [{_QUOTED}])) / 4.0::double, 3) as coverage,
-  list_filter([case when best_similarity < 0.9::double then 'similarity' end, case when precise is null then 'no_precise' end, case when len(risk_flags) > 0 then 'risk' end, case when precise + 0.02::double < born then 'degraded' end], lambda r: r is not null) as reasons from g0),
-g as (select *, case when len(reasons) = 0 then 'ready_for_manual_accept' else 'needs_more_evidence' end as decision from g1)"""
+  max(similarity) filter (where stage = 'local_precise') as precise, max(similarity) filter (where stage in ('pdf_structure', 'parsed_blocks', 'inline_spans')) as born from {name} group by candidate_id),
+{g}1 as (select *, round_even(len(list_intersect(stages, [{_QUOTED}])) / 4.0::double, 3) as coverage,
+  list_filter([case when best_similarity < 0.9::double then 'similarity' end, case when precise is null then 'no_precise' end, case when len(risk_flags) > 0 then 'risk' end, case when precise + 0.02::double < born then 'degraded' end], lambda r: r is not null) as reasons from {g}0),
+{g} as (select *, case when len(reasons) = 0 then 'ready_for_manual_accept' else 'needs_more_evidence' end as decision from {g}1)"""
+
+
+_FUSION = f"{FORMULAS}, {fusion_sql('formulas')}"
 
 
 @query("a18_fusion_rows", f"with {_FUSION} select candidate_id, candidate_count, best_id as best_result, array_to_string(stages, ',') as stages, array_to_string(risk_flags, ',') as risks, coverage, array_to_string(reasons, ',') as reasons, decision from g")
@@ -135,26 +145,36 @@ def a30(spark, sf_dir):
     return c.selectExpr(f"if(command in ({X.literal(chr(92) + 'text')}, {X.literal(chr(92) + 'operatorname')}), {same}, command) as command").groupBy("command").agg(F.count("*").alias("n"))
 
 
-def blocked(left: DataFrame, right: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
-    """(left_id, right_id, shared, place): the ``limit`` likeliest partners by shared tokens, then by length.
+def blocked_normals(left: DataFrame, right: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
+    """(left_normal, right_id, right_normal, shared, place): the ``limit`` likeliest partners of each different normal form by shared tokens, then by length.
 
-    Both have (id, normal). Pairs meet on a token; nothing is compared that shares none.
+    Both have (id, normal). Equal formulas have equal partners, so different forms meet on their tokens, as numbers; of a form's ids the first ``limit`` can count.
     """
-    a = left.selectExpr("id as left_id", "normal as left_normal", f"explode({X.match_tokens('normal')}) as token")
-    b = right.selectExpr("id as right_id", "normal as right_normal", f"explode({X.match_tokens('normal')}) as token")
-    pairs = a.join(b, "token").groupBy("left_id", "right_id", "left_normal", "right_normal").agg(F.count("*").alias("shared"))
-    place = "row_number() over (partition by left_id order by shared desc, abs(length(right_normal) - length(left_normal)), right_id)"
-    return pairs.withColumn("place", F.expr(place)).where(F.col("place") <= limit)
+    forms = lambda df, k: cut(df.select("normal").distinct().withColumn(k, F.monotonically_increasing_id()))
+    ln, rn = forms(left, "l"), forms(right, "r")
+    tokens = lambda df, k: df.selectExpr(k, f"length(normal) as {k}n", f"explode({X.match_tokens('normal')}) as token")
+    pairs = tokens(ln, "l").join(tokens(rn, "r"), "token").groupBy("l", "r", "ln", "rn").agg(F.count("*").alias("shared"))
+    # a form counts if fewer than `limit` are better
+    near = pairs.withColumn("better", F.expr("rank() over (partition by l order by shared desc, abs(rn - ln))")).where(F.col("better") <= limit)
+    ids = right.join(rn, "normal").selectExpr("r", "id as right_id", "normal as right_normal").withColumn("k", F.expr("row_number() over (partition by r order by right_id)")).where(F.col("k") <= limit).drop("k")
+    place = "row_number() over (partition by l order by shared desc, abs(rn - ln), right_id)"
+    best = near.join(ids, "r").withColumn("place", F.expr(place)).where(F.col("place") <= limit)
+    return best.join(ln, "l").select(F.col("normal").alias("left_normal"), "right_id", "right_normal", "shared", "place")
+
+
+def blocked(left: DataFrame, right: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
+    """(left_id, right_id, left_normal, right_normal, shared, place): the partners of each formula; nothing is compared that shares no token."""
+    return left.selectExpr("id as left_id", "normal as left_normal").join(blocked_normals(left, right, limit), "left_normal").select("left_id", "right_id", "left_normal", "right_normal", "shared", "place")
 
 
 def first_rows(left: DataFrame, right: DataFrame, met: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
-    """As ``blocked``, the first ``limit`` of ``right`` by id for each of ``left`` that isn't in ``met``; a null partner if there are none."""
-    alone = left.join(met.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti").selectExpr("id as left_id", "normal as left_normal")
+    """As ``blocked_normals``, the first ``limit`` of ``right`` by id for each form of ``left`` that isn't in ``met``; a null partner if there are none."""
+    alone = left.selectExpr("normal as left_normal").distinct().join(met.select("left_normal").distinct(), "left_normal", "left_anti")
     first = right.select("id", "normal").orderBy("id").limit(limit).collect()
     kind = right.schema["id"].dataType
     listed = [F.struct(F.lit(r[0]).cast(kind).alias("right_id"), F.lit(r[1]).alias("right_normal"), F.lit(i).alias("place")) for i, r in enumerate(first, 1)]
     none = F.array().cast(f"array<struct<right_id:{kind.simpleString()},right_normal:string,place:int>>")
-    return alone.withColumn("r", F.explode_outer(F.array(*listed) if listed else none)).select("left_id", "r.right_id", "left_normal", "r.right_normal", F.lit(0).cast("long").alias("shared"), "r.place")
+    return alone.withColumn("r", F.explode_outer(F.array(*listed) if listed else none)).select("left_normal", "r.right_id", "r.right_normal", F.lit(0).cast("long").alias("shared"), "r.place")
 
 
 def formula_similarity(left: str, right: str) -> float:
@@ -196,11 +216,12 @@ def f17(spark, sf_dir):
 
 
 def best_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, similarity), a row for each of ``left``; no partner where nothing is similar."""
-    met = blocked(left, right)
+    """(left_id, right_id, similarity), a row for each of ``left``; no partner where nothing is similar. Different forms are compared once."""
+    met = cut(blocked_normals(left, right))
     pairs = met.unionByName(first_rows(left, right, met))
     scored = pairs.withColumn("similarity", F.round(similarity("left_normal", F.coalesce("right_normal", F.lit(""))), 3))
-    return scored.groupBy("left_id").agg(F.expr("max_by(if(similarity > 0, right_id, null), struct(similarity, -place))").alias("right_id"), F.max("similarity").alias("similarity"))
+    best = scored.groupBy("left_normal").agg(F.expr("max_by(if(similarity > 0, right_id, null), struct(similarity, -place))").alias("right_id"), F.max("similarity").alias("similarity"))
+    return left.selectExpr("id as left_id", "normal as left_normal").join(best, "left_normal").select("left_id", "right_id", "similarity")
 
 
 @query("a17_agreement")

@@ -187,12 +187,12 @@ def q14(spark, sf_dir):
 
 @query(
     "j27_cache_lookup",
-    f"with {BLOCKS}, c as (select user_id as doc_id, 'p0_b' || (event_id % 10) as block_id, case when event_id % 4 = 0 then '' else 'h' || (event_id % 4) end as content_hash, max(value) as v from events group by all), b as (select doc_id, block_id, 'h' || (n % 4) as content_hash from blocks where page_num = 0) select b.doc_id, b.block_id, e.v as exact, coalesce(e.v, l.v) as found from b left join c e on e.doc_id = b.doc_id and e.block_id = b.block_id and e.content_hash = b.content_hash left join c l on l.doc_id = b.doc_id and l.block_id = b.block_id and l.content_hash = ''",
+    f"with {BLOCKS}, c as (select user_id as doc_id, 'p0_b' || (event_id % 10) as block_id, case when event_id % 4 = 0 then '' else 'h' || (event_id % 4) end as content_hash, max(value) as v from events group by all), b as (select doc_id, block_id, 'h' || (n % 4) as content_hash from blocks) select b.doc_id, b.block_id, e.v as exact, coalesce(e.v, l.v) as found from b left join c e on e.doc_id = b.doc_id and e.block_id = b.block_id and e.content_hash = b.content_hash left join c l on l.doc_id = b.doc_id and l.block_id = b.block_id and l.content_hash = ''",
 )
 def j27(spark, sf_dir):
     """Exact cache hit by content, else the entry without a hash."""
     c = table(spark, sf_dir, "events").selectExpr("user_id as doc_id", "concat('p0_b', event_id % 10) as block_id", "if(event_id % 4 = 0, '', concat('h', event_id % 4)) as content_hash", "value").groupBy("doc_id", "block_id", "content_hash").agg(F.max("value").alias("v"))
-    b = blocks(spark, sf_dir).where("page_num = 0").selectExpr("doc_id", "block_id", "concat('h', n % 4) as content_hash")
+    b = blocks(spark, sf_dir).selectExpr("doc_id", "block_id", "concat('h', n % 4) as content_hash")
     exact = b.join(c.withColumnRenamed("v", "exact"), ["doc_id", "block_id", "content_hash"], "left")
     old = c.where("content_hash = ''").select("doc_id", "block_id", F.col("v").alias("legacy"))
     return exact.join(old, ["doc_id", "block_id"], "left").selectExpr("doc_id", "block_id", "exact", "coalesce(exact, legacy) as found")

@@ -277,13 +277,15 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, top: int, block: in
                     part = batch.slice(at, 4096)
                     own = np.asarray(part.column(0))
                     v = np.asarray(part.column(1).flatten(), np.float64).reshape(len(own), -1)
-                    d = 1 - (q @ v.T) / np.sqrt((q * q).sum(1)[:, None] * (v * v).sum(1)[None, :])
-                    d[ids[:, None] == own[None, :]] = np.inf
-                    keep = np.argsort(d, axis=1, kind="stable")[:, : top + 1]
-                    i = np.repeat(np.arange(len(ids)), keep.shape[1])
-                    j = keep.ravel()
-                    ok = np.isfinite(d[i, j])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[ok]]), pa.array(own[j[ok]]), pa.array(d[i, j][ok])], ["query_id", "vec_id", "distance"])
+                    long = np.sqrt((v * v).sum(1))
+                    for i in range(0, len(ids), ASKED):
+                        asked, some = q[i : i + ASKED], ids[i : i + ASKED]
+                        d = 1 - (asked @ v.T) / (np.sqrt((asked * asked).sum(1))[:, None] * long[None, :])
+                        d[some[:, None] == own[None, :]] = np.inf
+                        # all that tie with the last of a query's best stay: ids settle it later
+                        last = np.partition(d, top - 1, axis=1)[:, top - 1] if d.shape[1] > top else np.full(len(some), np.inf)
+                        a, b = np.nonzero((d <= last[:, None] + 1e-9) & np.isfinite(d))
+                        yield pa.RecordBatch.from_arrays([pa.array(some[a]), pa.array(own[b]), pa.array(d[a, b])], ["query_id", "vec_id", "distance"])
 
         found = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(meet, "query_id long, vec_id long, distance double")
         out = found if out is None else out.unionByName(found)

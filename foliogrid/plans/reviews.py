@@ -8,8 +8,7 @@ from foliogrid.functions import text as X
 from foliogrid.operators import matching
 from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, FORMULAS, blocks, formulas, query
-from foliogrid.plans.fusion import fusion_rows
-from foliogrid.plans.queue import _EVENTS, job_state, jobs
+from foliogrid.plans.queue import _EVENTS
 from foliogrid.session import table
 
 #: Both dialects read these expressions over: layout_status, layout_confidence, coverage, density, confidence, graph_confidence, rank, blockers, warnings.
@@ -47,12 +46,49 @@ def w07(spark, sf_dir):
     return k.selectExpr("result_id", "verifier_score", f"row_number() over (partition by candidate_id order by {_RANK_ORDER}) as verifier_rank")
 
 
-@query("a22_eval_metrics", f"with {FORMULAS}, b as (select candidate_id, max(similarity) as oracle, arg_min(similarity, result_id) as first from formulas group by candidate_id) select count(*) as n, round(avg((first >= 0.98)::int), 6) as exact_rate, round(avg((first >= 0.80)::int), 6) as near_rate, round(avg((first >= 0.55)::int), 6) as weak_rate, round(avg(first), 6) as mean, round(avg((oracle >= 0.98)::int), 6) as oracle_exact_rate, round(avg(oracle), 6) as oracle_mean, round(avg((oracle > first)::int), 6) as improvable from b")
+_EVAL = {
+    "n": "count(*)",
+    "exact_rate": "avg(cast(first >= 0.98 as int))",
+    "near_rate": "avg(cast(first >= 0.80 as int))",
+    "weak_rate": "avg(cast(first >= 0.55 as int))",
+    "mean": "avg(first)",
+    "nonempty_rate": "avg(cast(said as int))",
+    "oracle_exact_rate": "avg(cast(oracle >= 0.98 as int))",
+    "oracle_near_rate": "avg(cast(oracle >= 0.80 as int))",
+    "oracle_mean": "avg(oracle)",
+    "candidates_mean": "avg(candidates)",
+    "recommended_exact_rate": "avg(cast(recommended >= 0.98 as int))",
+    "recommended_near_rate": "avg(cast(recommended >= 0.80 as int))",
+    "recommended_mean": "avg(recommended)",
+    "recommended_beyond_first_rate": "avg(cast(recommended_rank > 1 as int))",
+    "preferred_exact_rate": "avg(cast(first >= 0.98 as int))",
+    "preferred_mean": "avg(first)",
+    "review_required_rate": "avg(cast(first_status <> 'pass' as int))",
+    "auto_accepted": "sum(0)",
+    "abstain_rate": "avg(cast(first_status = 'abstain' as int))",
+    "pass_rate": "avg(cast(first_status = 'pass' as int))",
+    "review_rate": "avg(cast(first_status = 'review' as int))",
+    "usable_exact_rate": "coalesce(avg(case when first_status <> 'abstain' then cast(first >= 0.98 as int) end), 0)",
+    "usable_near_rate": "coalesce(avg(case when first_status <> 'abstain' then cast(first >= 0.80 as int) end), 0)",
+}
+_EVAL_ROUNDED = [f"{sql} as {name}" if name in ("n", "auto_accepted") else f"round({sql}, 6) as {name}" for name, sql in _EVAL.items()]
+
+
+@query(
+    "a22_eval_metrics",
+    f"""with {FORMULAS}, {_CANDIDATES}, k as (select s.*, f.latex, {_RANK} as verifier_score, row_number() over (partition by s.candidate_id order by s.rank, s.result_id) as own_rank from s join formulas f using (result_id)),
+    b as (select candidate_id, max(confidence) as oracle, arg_min(confidence, own_rank) as first, arg_min(layout_status, own_rank) as first_status, arg_min(trim(latex) <> '', own_rank) as said, count(*) as candidates,
+      first(confidence order by verifier_score desc, own_rank) as recommended, first(own_rank order by verifier_score desc, own_rank) as recommended_rank from k group by candidate_id)
+    select {', '.join(_EVAL_ROUNDED)} from b""",
+)
 def a22(spark, sf_dir):
-    """Rates of the first candidate of each group, and of the best of n."""
-    b = formulas(spark, sf_dir).groupBy("candidate_id").agg(F.max("similarity").alias("oracle"), F.expr("min_by(similarity, result_id)").alias("first"))
-    rate = lambda x: f"round(avg(cast({x} as int)), 6)"
-    return b.agg(F.count("*").alias("n"), F.expr(rate("first >= 0.98")).alias("exact_rate"), F.expr(rate("first >= 0.80")).alias("near_rate"), F.expr(rate("first >= 0.55")).alias("weak_rate"), F.round(F.avg("first"), 6).alias("mean"), F.expr(rate("oracle >= 0.98")).alias("oracle_exact_rate"), F.round(F.avg("oracle"), 6).alias("oracle_mean"), F.expr(rate("oracle > first")).alias("improvable"))
+    """Five blocks of figures: the first candidate of each group, the best of n, the one recommended for review, the preferred one, and the layout's gate. None is ever accepted unseen."""
+    k = verified(spark, sf_dir).join(formulas(spark, sf_dir).select("result_id", "latex"), "result_id").withColumn("verifier_score", F.expr(f"cast({_RANK} as double)"))
+    k = k.withColumn("own_rank", F.expr("row_number() over (partition by candidate_id order by rank, result_id)"))
+    top = "max_by(struct(confidence, own_rank), struct(verifier_score, -own_rank))"
+    b = k.groupBy("candidate_id").agg(F.max("confidence").alias("oracle"), F.expr("min_by(struct(confidence, layout_status, trim(latex) <> '' as said), own_rank)").alias("f"), F.count("*").alias("candidates"), F.expr(top).alias("r"))
+    b = b.selectExpr("oracle", "f.confidence as first", "f.layout_status as first_status", "f.said as said", "candidates", "r.confidence as recommended", "r.own_rank as recommended_rank")
+    return b.selectExpr(*_EVAL_ROUNDED)
 
 
 @query("a21_quality_gate", f"with {FORMULAS}, g as (select stage, avg((similarity >= 0.80)::int) as near, avg(similarity) as mean, count(*) filter (where similarity < 0.55) as low from formulas group by stage) select stage, array_to_string(list_filter([case when near < 0.95 then 'near_rate' end, case when mean < 0.90 then 'mean' end, case when low > 0 then 'low_similarity' end], lambda r: r is not null), ',') as failures from g")
@@ -197,26 +233,6 @@ def q17(spark, sf_dir):
     return o.selectExpr("result_id", "case when reason = '' then 'done' when reason = 'crop_failed' then 'failed' else 'skipped' end as status", "reason", "reason = '' and (score < 0.65 or warning in ('low_confidence', 'table_like', 'empty_result')) as needs_r2")
 
 
-@query("d02_rounds")
-def d02(spark, sf_dir):
-    """The rounds of a batch in order: what each takes on, from fusion and queue state; one row for each round."""
-    g = fusion_rows(formulas(spark, sf_dir))
-    state = job_state(jobs(spark, sf_dir))
-    rows = [
-        ("r0_structure", formulas(spark, sf_dir).where("stage = 'pdf_structure'")),
-        ("r1_cache", formulas(spark, sf_dir).where("stage = 'inline_spans'")),
-        ("r2_precise", g.where("decision = 'needs_more_evidence' and precise is null")),
-        ("r3_review", g.where("decision = 'needs_more_evidence' and precise is not null")),
-        ("r4_graph", state.where("status in ('queued', 'running')")),
-        ("r5_update", g.where("decision = 'ready_for_manual_accept'")),
-    ]
-    out = None
-    for name, df in rows:
-        one = df.agg(F.count("*").alias("pending")).select(F.lit(name).alias("round"), "pending")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("j23_title_matches")
 def j23(spark, sf_dir):
     """Titles of sources to a document's outline: the outline has every other heading, a source's title lacks a letter now and then."""

@@ -42,12 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a checkpoint in the folder that executors share.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and the session runs on one machine, as in
+    tests, a temporary folder takes its place; on a cluster executors would not see it, so there it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "foliogrid-checkpoints"))
     return df.checkpoint(eager=True)
 

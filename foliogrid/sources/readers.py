@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliogrid.session import cut
+
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, limit: int | None = None) -> DataFrame:
     """Objects of a JSON-lines file; blank and broken lines and other values are left out. ``limit``: a feature of the reader."""
@@ -155,9 +157,67 @@ def file_ids(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256")).withColumn("doc_hash", F.substring("sha256", 1, 16))
 
 
-def write_index(df: DataFrame, path: str) -> None:
-    """Replace the index of the documents in ``df`` and leave the others: dynamic partition overwrite by document."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+def write_index(df: DataFrame, path: str, buckets: int = 256) -> None:
+    """Replace the index of the documents in ``df`` and leave the others.
+
+    Documents are dealt to ``buckets`` by a hash of their id; only the buckets that they fall into are written again, with the documents that stay, to
+    a folder of their own first, as a folder can't be read while it is replaced.
+    """
+    spark = df.sparkSession
+    own = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        touched = own.select("bucket").distinct()
+        stay = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").join(own.select("doc_id").distinct(), "doc_id", "left_anti")
+        own = cut(own.unionByName(stay.select(*own.columns)))
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def write_vectors(df: DataFrame, path: str, vector: str = "embedding", buckets: int = 256) -> None:
+    """A collection of vectors, as ``array<float>`` beside what else the rows have, kept by document as ``write_index`` does."""
+    write_index(df.withColumn(vector, F.col(vector).cast("array<float>")), path, buckets)
+
+
+def json_chunks(spark: SparkSession, path: str, schema: T.StructType | str, size: int = 512) -> DataFrame:
+    """Objects of a JSON-lines file in chunks: (chunk, rows) with ``size`` rows at most, in the order of the file. Chunks end where a task's rows end."""
+    rows = json_lines(spark, path, schema).select(F.struct("*").alias("r")).withColumn("id", F.monotonically_increasing_id())
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    grouped = rows.groupBy(part.alias("part"), F.floor(place / size).alias("no")).agg(F.array_sort(F.collect_list(F.struct("id", "r"))).alias("rows"))
+    return grouped.select(F.concat_ws("-", "part", "no").alias("chunk"), F.col("rows.r").alias("rows"))
+
+
+def outline(entries: DataFrame) -> DataFrame:
+    """(doc_id, level, title, page_num) of native outlines (doc_id, n, level, title, page), pages counted from 0; entries without a title or page go."""
+    return entries.where("trim(coalesce(title, '')) <> '' and page >= 1").select("doc_id", "level", F.trim("title").alias("title"), (F.col("page") - 1).cast("int").alias("page_num"), "n")
+
+
+def first_pages(df: DataFrame, pages: int = 8) -> tuple[DataFrame, DataFrame]:
+    """The rows of the first pages, and the rest: two plans over one table, so that the first is there early. No row is in both."""
+    return df.where(F.col("page_num") < pages), df.where(F.col("page_num") >= pages)
+
+
+def needed_files(files: DataFrame, main: str, depth: int = 64) -> DataFrame:
+    """(path, level) of the macro sources that a file needs, level by level: packages, classes and inputs that are among ``files`` (path, text).
+
+    Packages are looked for as ``.sty``, classes as ``.cls``, inputs as ``.tex``; what isn't there is left out.
+    """
+    clean = F.regexp_replace("text", r"(?<!\\)%[^\n]*", "")
+    found = lambda command, end: F.transform(F.flatten(F.transform(F.regexp_extract_all(clean, F.lit(rf"\\(?:{command})\s*(?:\[[^\]]*\])?\s*\{{([^}}]+)\}}"), F.lit(1)), lambda x: F.split(x, ","))), lambda x: F.concat(F.regexp_replace(F.trim(x), rf"\.{end}$", ""), F.lit(f".{end}")))
+    names = F.concat(found("usepackage|RequirePackage", "sty"), found("documentclass|LoadClass", "cls"), found("input|include", "tex"))
+    base = F.regexp_extract("path", r"([^/]+)$", 1)
+    edges = files.select("path", F.explode(names).alias("name")).join(files.select(F.col("path").alias("child"), base.alias("name")), "name").select("path", "child").distinct()
+    seen = level = files.where(F.col("path") == main).select("path", F.lit(0).alias("level"))
+    for k in range(1, depth + 1):
+        level = cut(level.join(edges, "path").select(F.col("child").alias("path")).distinct().join(seen, "path", "left_anti").withColumn("level", F.lit(k)))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
 
 
 def page_range(df: DataFrame, start: int, pages: int | None) -> DataFrame:

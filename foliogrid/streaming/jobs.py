@@ -81,3 +81,21 @@ def first_requests(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events by kind and window. An extra: the operators above have no event time."""
     return timed(events, delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+
+
+def current_results(results: DataFrame, requests: DataFrame, key: str = "key") -> DataFrame:
+    """Results (key, version, ...) that still answer the newest request (key, version) of their key; late and cancelled ones are dropped.
+
+    Versions are compared, not times. ``requests`` is a table; ``results`` may be a stream: its batches meet the table as it is when they run.
+    """
+    newest = requests.groupBy(F.col(key).alias("__key")).agg(F.max("version").alias("__version"))
+    return results.join(newest, (F.col(key) == F.col("__key")) & (F.col("version") == F.col("__version")), "left_semi")
+
+
+def keep_current(results: DataFrame, requests_path: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream's current results to a table; each batch reads the requests anew."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        current_results(batch, batch.sparkSession.read.parquet(requests_path)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return results.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
