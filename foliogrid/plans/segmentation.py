@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliogrid.functions import geometry as G
+from foliogrid.functions import symbols
 from foliogrid.functions import text as X
 from foliogrid.operators import decode, matching
 from foliogrid.plans import duck as D
@@ -123,16 +124,18 @@ def t11(spark, sf_dir):
     return t.selectExpr("doc_id", "trigger", "cast(if(trigger = 'background' and pages >= 3, greatest(1, budget div 2), budget) as int) as budget")
 
 
-#: Characters by their LaTeX.
-LATEX_OF = {"α": r"\alpha", "β": r"\beta", "∑": r"\sum", "∈": r"\in", "×": r"\times", "−": "-", "%": r"\%", "_": r"\_", "&": r"\&"}
+_EVERY = "".join(symbols.SPELLED)
 
 
-@query("f22_unicode_to_latex", "with s as (select item_id, 'α_' || left(text, 12) || '∑ × 5% & β' as raw from benchmark) select item_id, " + "".join("replace(" for _ in LATEX_OF) + "replace(raw, '\\', '\\backslash ')" + "".join(f", {D.q(k)}, {D.q(v)})" for k, v in LATEX_OF.items()) + " as latex from s")
+@query(
+    "f22_unicode_to_latex",
+    f"""with s as (select item_id, 'α_' || left(text, 12) || '∑ × 5% & β' || {D.q(_EVERY)}[(item_id % 7 + 1)::int:] as raw from benchmark), c as (select item_id, unnest(string_split(raw, '')) as c, generate_subscripts(string_split(raw, ''), 1) as i from s), t as (select * from (values {', '.join(f"({D.q(k)}, {D.q(v)})" for k, v in symbols.SPELLED.items())}) v(k, spelled))
+    select item_id, string_agg(coalesce(spelled, c), '' order by i) as latex from c left join t on c = k group by item_id""",
+)
 def f22(spark, sf_dir):
-    """Characters as LaTeX, one by one, by a table."""
-    pairs = ", ".join(f"{X.literal(k)}, {X.literal(v)}" for k, v in (LATEX_OF | {"\\": "\\backslash "}).items())
-    s = table(spark, sf_dir, "benchmark").selectExpr("item_id", "concat('α_', left(text, 12), '∑ × 5% & β') as raw")
-    return s.selectExpr("item_id", f"array_join(transform(split(raw, ''), c -> coalesce(element_at(map({pairs}), c), c)), '') as latex")
+    """Characters as LaTeX, one by one, by the tables; each text ends with nearly all of these."""
+    s = table(spark, sf_dir, "benchmark").selectExpr("item_id", f"concat('α_', left(text, 12), '∑ × 5% & β', substr({X.literal(_EVERY)}, item_id % 7 + 1)) as raw")
+    return s.selectExpr("item_id", f"{symbols.spelled('raw')} as latex")
 
 
 _REPLY = "case item_id % 3 when 0 then '1. what is ' || item_id || '?' || chr(10) || '- why' || chr(10) || '- why' || chr(10) || chr(10) || '* how' when 1 then 'Questions: [\"a  b\", \"c\", \"a  b\", \"d\", \"e\"]' else '' end"
