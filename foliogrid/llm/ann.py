@@ -7,12 +7,13 @@ abandoned once it exceeds the k-th best distance by more than a hypothesis test
 survives all blocks gets its exact cosine, in double precision on the original vectors.
 
 Every vector is in a list; lists are scanned in chunks of vectors and of queries, so neither a list nor a very
-common vector is ever one task.
+common vector is ever one task. The number of lists grows with the root of the number of vectors: beyond ``LISTS`` there are two levels, cells of
+fitted centroids and in each of them vectors of a bounded sample that stand for lists, so a vector looks at the cells and then at one cell's lists.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-those of another length than the most common one (the shortest of these on ties); rows that share an id are one
-candidate with its best score, and one query whose own id is no candidate; a query with fewer candidates than
-k has all of them; ties go to the smaller id.
+those of another length than the most common one (the shortest of these on ties); rows that share an id are candidates and queries
+of their own, and only a query's own row is no candidate of it (where queries are another table, rows with the query's id);
+a query with fewer candidates than k has all of them; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliogrid.session import cut
@@ -30,6 +31,8 @@ K = 5
 #: Vectors that centroids are fitted on, at most (and no more than this many numbers): the first by a hash of their id.
 SAMPLE, SAMPLE_NUMBERS = 20_000, 20_000_000
 LISTS = 2_048
+#: Lists of the second level, at most: as many vectors are on the driver and in a broadcast.
+MOST_LISTS = 65_536
 #: Share of the nearest vectors that probed lists should hold; the number of probes follows from that share in the sample.
 RECALL, TUNED = 0.975, 512
 EPSILON = 2.1
@@ -38,11 +41,11 @@ VECTORS, QUERIES = 4_096, 1_024
 _FIRST, _BATCH, _FEW = 256, 256, 0.15
 
 
-def usable(vectors: DataFrame, vec_id: str, vector: str, length: int | None = None) -> DataFrame:
-    """(vec_id, v) of the vectors that take part: of the most common length, or of the one given."""
+def usable(vectors: DataFrame, vec_id: str, vector: str, length: int | None = None, *more: Column) -> DataFrame:
+    """(vec_id, v, more) of the vectors that take part: of the most common length, or of the one given."""
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    kept = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
+    kept = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), *more)
     if length is not None:
         return kept.where(F.size("v") == length)
     common = kept.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -75,31 +78,61 @@ def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 1
     return c
 
 
-def probes_for(sample: np.ndarray, centroids: np.ndarray, k: int, target: float) -> int:
+class Lists:
+    """Centroids of cells and, on the second level, of the lists in each cell; unit vectors."""
+
+    def __init__(self, cells: np.ndarray, members: np.ndarray | None = None):
+        self.cells, self.lists, self.first = cells, cells, None
+        if members is not None:
+            cell = np.argmax(members @ cells.T, axis=1)
+            bare = np.setdiff1d(np.arange(len(cells)), cell)  # a cell without members is its own list
+            members, cell = np.concatenate([members, cells[bare]]), np.concatenate([cell, bare])
+            order = np.argsort(cell, kind="stable")
+            self.lists, self.first = members[order], np.searchsorted(cell[order], np.arange(len(cells) + 1))
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        """The list of each vector."""
+        cell = np.argmax(unit @ self.cells.T, axis=1)
+        if self.first is None:
+            return cell
+        out = np.empty(len(unit), np.int64)
+        for c in np.unique(cell):
+            own = cell == c
+            a, b = self.first[c], self.first[c + 1]
+            out[own] = a + np.argmax(unit[own] @ self.lists[a:b].T, axis=1)
+        return out
+
+
+def probes_for(sample: np.ndarray, lists: Lists, k: int, target: float) -> int:
     """The fewest probes that hold ``target`` of the k nearest sample vectors of some of them."""
     asked = sample[:TUNED]
     score = asked @ sample.T
     score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
     top = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
-    near = np.argmax(sample @ centroids.T, axis=1)
-    order = np.argsort(-(asked @ centroids.T), axis=1, kind="stable")
+    near = lists.of(sample)
+    order = np.argsort(-(asked @ lists.lists.T), axis=1, kind="stable")
     rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(len(centroids))[None, :], axis=1)
+    np.put_along_axis(rank, order, np.arange(len(lists.lists))[None, :], axis=1)
     ranks = np.sort(rank[np.arange(len(asked))[:, None], near[top]].ravel())
     return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) + 1 if len(ranks) else 1
 
 
-def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, rotated: np.ndarray, rotated_queries: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, exact cosine) of the k best candidates of each query in a chunk of a list; ``rotated``: unit vectors."""
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that no square overflows; cosines are the same to the last bit."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1]) if len(m) else m
+
+
+def scan(vectors: np.ndarray, own: np.ndarray, queries: np.ndarray, rotated: np.ndarray, rotated_queries: np.ndarray, ids: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, exact cosine), by places, of the k best candidates of each query in a chunk of a list.
+
+    ``own``: which vectors are no candidates of which query; ``rotated``: unit vectors; ``vectors`` and ``queries`` are the original ones, scaled.
+    """
     d = vectors.shape[1]
-    own = ids[None, :] == query_ids[:, None]
     # a first limit for each query from some whole distances
     first = 2 - 2 * rotated_queries @ rotated[:_FIRST].T
     first[own[:, :_FIRST]] = np.inf
     limit = np.sort(first, axis=1)[:, k - 1] if first.shape[1] >= k else np.full(len(queries), np.inf)
     limit = np.maximum(limit, 0)
-    if len(np.unique(ids[:_FIRST])) < min(len(ids), _FIRST):
-        limit[:] = np.inf  # ids that repeat must not fill the k
     alive, part = ~own, np.zeros(own.shape)
     row = col = near = None
     for a in range(0, d, COLUMNS):
@@ -120,80 +153,87 @@ def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
             row, col, near = row[go], col[go], near[go]
     m, q = vectors[col], queries[row]
     score = (m * q).sum(axis=1) / (np.sqrt((m * m).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
-    order = np.lexsort((ids[col], -score, query_ids[row]))
-    found = np.stack([query_ids[row][order], ids[col][order]])
-    score = score[order]
-    if len(order):
-        _, keep = np.unique(found, axis=1, return_index=True)  # the best of rows that share an id
-        keep = np.sort(keep)
-        found, score = found[:, keep], score[keep]
-        begin = np.flatnonzero(np.concatenate([[True], found[0][1:] != found[0][:-1]]))
-        place = np.arange(len(score)) - np.repeat(begin, np.diff(np.append(begin, len(score))))
-        found, score = found[:, place < k], score[place < k]
-    return found[0], found[1], score
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, probes: int | None = None, recall: float = RECALL, lists: int | None = None, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries``, which has the columns of ``vectors``."""
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    place = np.arange(len(score)) - np.repeat(begin, np.diff(np.append(begin, len(score))))
+    return row[place < k], col[place < k], score[place < k]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame | Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, probes: int | None = None, recall: float = RECALL, lists: int | None = None, cells: int = LISTS, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each query.
+
+    ``queries``: which rows of ``vectors`` ask, or another table with the same columns. ``lists`` beyond ``cells`` are on a second level.
+    """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    base = usable(vectors, vec_id, vector)
+    within = isinstance(queries, Column)
+    base = usable(vectors, vec_id, vector, None, F.coalesce(queries, F.lit(False)).alias("asks") if within else F.lit(False).alias("asks"))
     n = base.count()
     if not n:
         return spark.createDataFrame([], schema)
     head = base.select(F.size("v")).first()[0]
-    asked = usable(queries, vec_id, vector, head)
     rows = max(1, min(sample, SAMPLE_NUMBERS // head))
-    fitted = _matrix(base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("v").toArrow().column(0))
-    lists = lists or int(max(1, min(LISTS, len(fitted) // 10, np.sqrt(n) / 2)))
-    centroids = fit_centroids(_unit(fitted), lists, seed)
-    probes = probes or probes_for(_unit(fitted), centroids, k, recall)
+    lists = lists or int(max(1, min(MOST_LISTS, np.sqrt(n) / 2)))
+    by_hash = base.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v"))
+    fitted = _unit(_matrix(by_hash.limit(rows).select("v").toArrow().column(0)))
+    centroids = fit_centroids(fitted, max(1, min(lists, cells, len(fitted) // 10)), seed)
+    members = _unit(_matrix(by_hash.limit(min(lists, MOST_LISTS, SAMPLE_NUMBERS // head)).select("v").toArrow().column(0))) if lists > cells else None
+    index = Lists(centroids, members)
+    probes = probes or probes_for(fitted, index, k, recall)
     turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((head, head)))[0]
-    model = spark.sparkContext.broadcast((centroids, turn))
+    model = spark.sparkContext.broadcast((index, turn))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = np.argmax(_unit(_matrix(batch.column(1))) @ model.value[0].T, axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], ["vec_id", "v", "list"])
+                near = model.value[0].of(_unit(_matrix(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], [*batch.schema.names, "list"])
 
     kind = base.schema["v"].dataType.simpleString()
-    dealt = cut(base.mapInArrow(deal, f"vec_id long, v {kind}, list int"))
-    sizes = {r[0]: r[1] for r in dealt.groupBy("list").count().collect()}  # LISTS rows at most
-    filled = spark.sparkContext.broadcast(np.array([sizes.get(i, 0) for i in range(len(centroids))]))
+    dealt = cut(base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(deal, f"vec_id long, v {kind}, asks boolean, row long, list int"))
+    sizes = {r[0]: r[1] for r in dealt.groupBy("list").count().collect()}  # MOST_LISTS rows at most
+    filled = spark.sparkContext.broadcast(np.array([sizes.get(i, 0) for i in range(len(index.lists))]))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = np.argsort(-(_unit(_matrix(batch.column(1))) @ model.value[0].T), axis=1, kind="stable")
+            order = np.argsort(-(_unit(_matrix(batch.column(1))) @ model.value[0].lists.T), axis=1, kind="stable")
             held = filled.value[order]
             order_no = np.cumsum(held > 0, axis=1)
             before = np.cumsum(held, axis=1) - held
             take = (held > 0) & ((order_no <= probes) | (before <= k))  # more lists while these have too few
             row, col = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(order[row, col].astype(np.int32))], ["vec_id", "v", "list"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns], pa.array(order[row, col].astype(np.int32))], [*batch.schema.names, "list"])
 
-    wanted = cut(asked.mapInArrow(probe, f"vec_id long, v {kind}, list int"))
+    asked = dealt.where("asks").select("vec_id", "v", "row") if within else usable(queries, vec_id, vector, head).withColumn("row", F.monotonically_increasing_id())
+    wanted = cut(asked.mapInArrow(probe, f"vec_id long, v {kind}, row long, list int"))
     asked_sizes = {r[0]: r[1] for r in wanted.groupBy("list").count().collect()}
-    chunks = spark.createDataFrame([(i, -(-sizes.get(i, 0) // VECTORS), -(-asked_sizes.get(i, 0) // QUERIES)) for i in range(len(centroids))], "list int, vs int, qs int").where("vs > 0 and qs > 0")
+    chunks = spark.createDataFrame([(i, -(-sizes.get(i, 0) // VECTORS), -(-asked_sizes.get(i, 0) // QUERIES)) for i in range(len(index.lists))], "list int, vs int, qs int").where("vs > 0 and qs > 0")
     chunks = F.broadcast(chunks)
-    left = dealt.join(chunks, "list").select("list", F.pmod(F.xxhash64("vec_id"), "vs").cast("int").alias("vc"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qc"), "vec_id", "v")
-    right = wanted.join(chunks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vc"), F.pmod(F.xxhash64("vec_id"), "qs").cast("int").alias("qc"), "vec_id", "v")
+    columns = ["vec_id", "v", "row"]
+    left = dealt.join(chunks, "list").select("list", F.pmod(F.xxhash64("row"), "vs").cast("int").alias("vc"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qc"), *columns)
+    right = wanted.join(chunks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vc"), F.pmod(F.xxhash64("row"), "qs").cast("int").alias("qc"), *columns)
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if a.num_rows and b.num_rows:
-            m, ids = _matrix(a.column("v")), np.asarray(a.column("vec_id"))
-            q, query_ids = _matrix(b.column("v")), np.asarray(b.column("vec_id"))
+            m, ids, vector_rows = _matrix(a.column("v")), np.asarray(a.column("vec_id")), np.asarray(a.column("row"))
+            q, query_ids, query_rows = _matrix(b.column("v")), np.asarray(b.column("vec_id")), np.asarray(b.column("row"))
             rm, rq = _unit(m) @ model.value[1], _unit(q) @ model.value[1]
+            m, q = _scaled(m), _scaled(q)
             for i in range(0, len(q), _BATCH):
-                out.append(scan(m, ids, q[i : i + _BATCH], query_ids[i : i + _BATCH], rm, rq[i : i + _BATCH], k))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+                j = slice(i, i + _BATCH)
+                own = vector_rows[None, :] == query_rows[j, None] if within else ids[None, :] == query_ids[j, None]
+                row, col, score = scan(m, own, q[j], rm, rq[j], ids, k)
+                out.append((query_ids[j][row], query_rows[j][row], ids[col], vector_rows[col], score))
+        names = ("query_id", "query_row", "vec_id", "row", "score")
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        return pa.table(dict(zip(names, cols, strict=True)))
 
     keys = ["list", "vc", "qc"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(F.col("rank") <= k)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, query_row long, vec_id long, row long, score double")
+    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_row order by score desc, vec_id, row)")).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

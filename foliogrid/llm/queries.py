@@ -40,8 +40,7 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
