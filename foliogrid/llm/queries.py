@@ -33,8 +33,8 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy = warc.record(F.col("page_id"), F.col("url"), payload)
     stored = pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), F.octet_length(copy).cast("long").alias("copy_length"), F.sha2(copy, 256).alias("copy_sha"), lost.alias("lost"))
     packed = cut(warc.pack(stored, "page_id", "record", "copy_length", "copy_sha", "lost"))
-    replica = packed.where("not lost").select("ordinal", F.col("copy_length").alias("length"), F.col("copy_sha").alias("sha"))
-    found = warc.audit(packed.select("ordinal", "length", "sha"), replica)
+    replica = packed.where("not lost").select("ordinal", "offset", F.col("copy_length").alias("length"), F.col("copy_sha").alias("sha"))
+    found = warc.audit(packed.select("ordinal", "offset", "length", "sha"), replica).drop("offset")
     places = packed.select("ordinal", F.col("id").alias("page_id"), "file", "number", "offset")
     return found.join(places, "ordinal", "left").select("page_id", "file", "number", "offset", "kind", "length", "replica_length", "sha", "replica_sha")
 

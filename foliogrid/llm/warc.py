@@ -1,10 +1,12 @@
 """Merkle fixity audit of WARC archives.
 
 Records stand in files in a fixed order, ``PER_FILE`` to a file, each at a byte offset. A leaf hashes one record
-(its number, length and SHA-256); a node hashes its ``FANOUT`` ordered children, so it vouches for a range
+(its number, offset, length and SHA-256); a node hashes its ``FANOUT`` ordered children, so it vouches for a range
 of offsets. Three levels make a file's tree, further levels join the files' roots to one root. An audit compares
 the roots of two replicas and goes down only where hashes differ, to the records that were changed, lost or added.
 
+``write_archive`` writes the files and gives their index, ``read_replica`` hashes what stands in the index's ranges of another copy.
+
 Each level is a grouped hash of at most ``FANOUT`` rows per group, whatever the data; the tree has a row for each
 leaf and a fifteenth more. Only digests are shuffled, never records. All of it is DataFrame functions.
 
@@ -14,6 +16,9 @@ their digest; equal records are separate ones; two empty archives agree.
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +64,8 @@ def pack(records: DataFrame, record_id: str, content: str, *carried: str) -> Dat
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels of (replica, node, hash) from leaves (replica, ordinal, length, sha), up to one root for each replica."""
-    level = leaves.select("replica", F.col("ordinal").alias("node"), F.sha2(F.concat_ws(":", F.col("ordinal"), F.col("length"), F.col("sha")), 256).alias("hash"))
+    """Levels of (replica, node, hash) from leaves (replica, ordinal, offset, length, sha), up to one root for each replica."""
+    level = leaves.select("replica", F.col("ordinal").alias("node"), F.sha2(F.concat_ws(":", F.col("ordinal"), F.col("offset"), F.col("length"), F.col("sha")), 256).alias("hash"))
     level = cut(level)
     levels = [level]
     top = level.agg(F.max("node")).first()[0] or 0
@@ -73,12 +78,43 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
     return levels
 
 
+def write_archive(records: DataFrame, path: str, record_id: str, content: str) -> DataFrame:
+    """Write the archive's files below ``path``, ``file=N/part-*``, and give their index (id, ordinal, file, number, offset, length, sha).
+
+    A file is what one task writes: ``PER_FILE`` records, one after the other without anything between. Each has
+    to end with a line break (CR LF), as those of ``record`` do.
+    """
+    packed = pack(records, record_id, content, content)
+    # a record ends with an empty line: the writer's separator stands for its last line break
+    body = F.col(content).substr(F.lit(1), F.length(content) - 2)
+    packed.repartition("file").sortWithinPartitions("file", "number").select("file", body.alias("value")).write.partitionBy("file").option("lineSep", "\r\n").text(path)
+    return packed.drop(content)
+
+
+def read_replica(index: DataFrame, path: str) -> DataFrame:
+    """(ordinal, offset, length, sha) of what stands in a copy's files at the index's ranges; ranges behind a file's end, or of no file, are left out."""
+
+    def run(key, ranges: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(files):
+            data = b"".join(files.sort_values("path")["content"])
+            for r in ranges.sort_values("offset").itertuples():
+                held = data[r.offset : r.offset + r.length]
+                if held:
+                    rows.append((r.ordinal, r.offset, len(held), hashlib.sha256(held).hexdigest()))
+        return pd.DataFrame(rows, columns=["ordinal", "offset", "length", "sha"])
+
+    files = index.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = files.select(F.regexp_extract("path", r"file=(\d+)/", 1).cast("long").alias("file"), "path", "content")
+    return index.select("file", "ordinal", "offset", "length").groupBy("file").cogroup(files.groupBy("file")).applyInPandas(run, "ordinal long, offset long, length long, sha string")
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Records that differ between two replicas: ordinal, kind, and length and sha of either side.
+    """Records that differ between two replicas: ordinal, kind, and offset, length and sha of either side.
 
-    Both have (ordinal, length, sha). kind is ``altered``, ``missing`` (not in the replica) or ``extra``.
+    Both have (ordinal, offset, length, sha). kind is ``altered``, ``moved`` (the same bytes at another offset), ``missing`` (not in the replica) or ``extra``.
     """
-    columns = ["ordinal", "length", "sha"]
+    columns = ["ordinal", "offset", "length", "sha"]
     leaves = primary.select(F.lit("a").alias("replica"), *columns).unionByName(replica.select(F.lit("b").alias("replica"), *columns))
     levels = tree(leaves)
 
@@ -92,11 +128,11 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         below = level.withColumn("parent", F.shiftright("node", FANOUT_BITS)).join(small(parents), "parent", "left_semi")
         bad = differing(below)
     found = cut(bad.select(F.col("node").alias("ordinal")))
-    a = primary.join(small(found), "ordinal", "left_semi").select("ordinal", F.col("length").alias("length"), F.col("sha").alias("sha"))
-    b = replica.join(small(found), "ordinal", "left_semi").select("ordinal", F.col("length").alias("replica_length"), F.col("sha").alias("replica_sha"))
+    a = primary.join(small(found), "ordinal", "left_semi").select(*columns)
+    b = replica.join(small(found), "ordinal", "left_semi").select("ordinal", *[F.col(c).alias(f"replica_{c}") for c in columns[1:]])
     both = a.join(b, "ordinal", "full_outer")
-    kind = F.when(F.col("sha").isNull(), "extra").when(F.col("replica_sha").isNull(), "missing").otherwise("altered")
-    return both.select("ordinal", kind.alias("kind"), "length", "sha", "replica_length", "replica_sha")
+    kind = F.when(F.col("sha").isNull(), "extra").when(F.col("replica_sha").isNull(), "missing").when((F.col("sha") == F.col("replica_sha")) & (F.col("length") == F.col("replica_length")), "moved").otherwise("altered")
+    return both.select("ordinal", kind.alias("kind"), "offset", "length", "sha", "replica_offset", "replica_length", "replica_sha")
 
 
 def damaged(record_id: Column, payload: Column) -> tuple[Column, Column]:

@@ -22,9 +22,9 @@ def test_numbers_and_offsets(spark):
 
 
 def test_audit_finds_just_what_differs(spark):
-    a = archive(spark, [(i, "u", str(i), "") for i in range(5000)]).select("ordinal", "length", "sha").cache()
+    a = archive(spark, [(i, "u", str(i), "") for i in range(5000)]).select("ordinal", "offset", "length", "sha").cache()
     b = a.where("ordinal not in (7, 4095)").withColumn("sha", F.when(F.col("ordinal").isin(0, 300, 4999), "bad").otherwise(F.col("sha")))
-    b = b.unionByName(spark.createDataFrame([(5000, 1, "new")], "ordinal long, length long, sha string"))
+    b = b.unionByName(spark.createDataFrame([(5000, 7, 1, "new")], "ordinal long, offset long, length long, sha string"))
     got = {r.ordinal: r.kind for r in W.audit(a, b).collect()}
     assert got == {7: "missing", 4095: "missing", 0: "altered", 300: "altered", 4999: "altered", 5000: "extra"}
     assert W.audit(a, a).count() == 0
@@ -44,3 +44,39 @@ def test_query_finds_the_decay(spark):
     fate = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
     want = {r.page_id for r in pages.where(fate.isin("00", "01", "02")).collect()}
     assert want and {r.page_id for r in got} == want
+
+
+def test_moved_records_are_told(spark):
+    a = archive(spark, [(i, "u", str(i), "") for i in range(300)]).select("ordinal", "offset", "length", "sha").cache()
+    b = a.withColumn("offset", F.col("offset") + F.when(F.col("ordinal") == 17, 3).otherwise(0))
+    assert [(r.ordinal, r.kind, r.replica_offset - r.offset) for r in W.audit(a, b).collect()] == [(17, "moved", 3)]
+
+
+def test_archives_are_written_and_read(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "é<p>\r\n\n" * (i % 7) + "\r\n" * (i % 2)) for i in range(5000)] + [(None, None, None), (3, "again", ""), (3, "again", "")]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, offset int, sha string")
+    records = pages.select("page_id", W.record(F.col("page_id"), F.col("url"), F.col("html")).alias("rec"))
+    index = W.write_archive(records, f"{tmp_path}/warc", "page_id", "rec").cache()
+    own = index.select("ordinal", "offset", "length", "sha")
+    assert index.count() == len(rows) and W.audit(own, W.read_replica(index, f"{tmp_path}/warc")).count() == 0
+    parts = sorted((tmp_path / "warc").glob("file=*/part-*"))
+    assert len(parts) == 2
+    whole = parts[0].read_bytes()
+    assert whole.count(b"WARC/1.1\r\n") == W.PER_FILE and whole.endswith(b"\r\n\r\n")
+    at = index.where("ordinal = 2000").first()
+    parts[0].write_bytes(whole[: at.offset + 5] + b"#" + whole[at.offset + 6 :])  # one byte is another
+    tail = parts[1].read_bytes()
+    parts[1].write_bytes(tail[:-10])  # the last record is cut short
+    for crc in (tmp_path / "warc").rglob(".*.crc"):
+        crc.unlink()
+    found = W.audit(own, W.read_replica(index, f"{tmp_path}/warc")).collect()
+    assert sorted((r.ordinal, r.kind) for r in found) == [(2000, "altered"), (len(rows) - 1, "altered")]
+
+
+def test_empty_and_odd_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    none.write.mode("overwrite").parquet("/tmp/foliogrid-test-none/pages.parquet")
+    assert queries.op3_warc_fixity(spark, "/tmp/foliogrid-test-none").count() == 0
+    rows = [(None, None, None)] * 4 + [(7, "u", None)] * 3 + [(7, None, "")] * 2
+    a = archive(spark, [(*r, "") for r in rows]).select("ordinal", "offset", "length", "sha")
+    assert a.count() == 9 and W.audit(a, a).count() == 0 and [r.kind for r in W.audit(a, a.where("ordinal <> 8")).collect()] == ["missing"]
