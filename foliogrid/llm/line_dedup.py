@@ -264,5 +264,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
     marked = T.mapped(docs, run, T.wider(docs.schema, __digest="long"))
     joined = marked.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left")
-    cleaned = F.when(F.col("__removed").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, i: ~F.array_contains("__removed", i)), "\n"))
+    # places by a set difference, so that a long document costs its lines once
+    lines = F.split(F.col(f"`{text}`"), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
+    cleaned = F.when(F.col("__removed").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__removed")

@@ -130,3 +130,55 @@ def test_passages_of_most_documents_go(spark):
     docs = [(1, f"one\n{passage}"), (2, f"two\n{passage}"), (3, f"three\n{passage}\n{line(25, 'w')}"), (4, f"four\n{line(25, 'w')}"), (5, f"five\n{line(25, 'w')}")]
     got = {r.doc_id: r.text for r in L.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == dict(docs) | {2: "two", 3: f"three\n{line(25, 'w')}", 4: "four", 5: "five"}
+
+
+def all_pairs(rows, least=L.MIN_WORDS):
+    """Texts after every document was aligned with every earlier one, whatever they share."""
+    keyed = []
+    for d, text in rows:
+        lines = (text or "").split("\n")
+        own = [" ".join(x.split()).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in lines]
+        keyed.append((d, text, lines, own))
+    keyed.sort(key=lambda r: r[0])
+    names, out, codes = {}, {}, []
+    for d, text, lines, own in keyed:
+        words = [len(x.split()) for x in own]
+        b = [names.setdefault(x, len(names) + 1) if x else 0 for x in own]
+        gone = set()
+        for a in codes:
+            if set(a) & set(b) - {0}:
+                gone |= set(L.blocks_to_delete(a, b, words, least))
+        codes.append(b)
+        out[d] = text if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_documents_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = all_pairs(rows)
+    got = {r.doc_id: r.text for r in L.deduplicated(docs).collect()}
+    assert {d for d in want if got[d] != want[d]} == set() and any(want[d] != t for d, t in rows)
+
+
+def test_passages_in_order_equal_all_pairs(spark):
+    """Passages of many short lines, put together in one order with lines of their own between: which earlier document has which differs."""
+    rng = random.Random(9)
+    passages = [[line(rng.randrange(2, 9), f"p{k}l{i}w") for i in range(rng.randrange(3, 9))] for k in range(12)]
+    rows = []
+    for d in range(150):
+        parts = []
+        for k in sorted(rng.sample(range(12), rng.randrange(1, 5))):
+            a = rng.randrange(len(passages[k]))
+            parts += [line(rng.randrange(1, 6), f"d{d}k{k}x"), *passages[k][a if rng.random() < 0.5 else 0 :]]
+        rows.append((d, "\n".join(parts)))
+    got = {r.doc_id: r.text for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = all_pairs(rows)
+    assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {} and sum(want[d] != t for d, t in rows) > 50
+
+
+def test_ten_lines_first_seen_in_ten_documents(spark):
+    lines = [line(8, f"s{i}") for i in range(10)]
+    rows = [(i, f"{x}\nown line {i}") for i, x in enumerate(lines)] + [(20, "\n".join(lines)), (21, "\n".join(lines))]
+    got = {r.doc_id: r.text for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] == "\n".join(lines) and got[21] == ""
