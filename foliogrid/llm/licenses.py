@@ -51,8 +51,21 @@ NOTICES = (
     Notice("licensed under cc by", "cc-by", 1),
     Notice("licensed under cc by sa", "cc-by-sa", 1),
     Notice("licensed under cc by nc", "cc-by-nc", 1),
+    Notice("licensed under cc by nd", "cc-by-nd", 1),
+    Notice("cc0 1 0 universal", "cc0", 1),
     Notice("all rights reserved", "reserved", 2),
     Notice("this work is in the public domain", "public-domain", 3),
+    Notice("gnu affero general public license", "agpl", 2),
+    Notice("gnu free documentation license", "gfdl", 2),
+    Notice("eclipse public license", "epl", 2),
+    Notice("common development and distribution license", "cddl", 3),
+    Notice("boost software license", "bsl", 2),
+    Notice("sil open font license", "ofl", 2),
+    Notice("the software is provided as is without warranty of any kind", "mit", 4),
+    Notice("permission to use copy modify and or distribute this software for any purpose", "isc", 5),
+    Notice("redistributions of source code must retain the above copyright notice", "bsd", 5),
+    Notice("this software is provided as is without any express or implied warranty", "zlib", 4),
+    Notice("this is free and unencumbered software released into the public domain", "unlicense", 4),
 )
 
 
@@ -72,7 +85,7 @@ class Scanner:
         for i, x in enumerate((*base, *notices)):
             for at, piece in pieces(x.phrase, x.edits):
                 self.seeds.setdefault(piece, []).append((i, at))
-        self.patterns = [regex.compile(rb"\b(?:%s){e<=%d}\b" % (regex.escape(x.phrase.encode(), literal_spaces=True), x.edits), regex.BESTMATCH) for x in notices]
+        self.patterns = [regex.compile(rb"(?<![^ \n])(?=[^ \n])(?:%s){e<=%d}(?<=[^ \n])(?![^ \n])" % (regex.escape(x.phrase.encode(), literal_spaces=True), x.edits), regex.BESTMATCH) for x in notices]
 
     def canonical(self, data: np.ndarray, w: T.Words) -> tuple[bytes, np.ndarray]:
         """All words with single blanks between and two newlines between rows; where each word begins in it."""
@@ -127,11 +140,14 @@ class Scanner:
                 r = row(word(min(max(p + size // 2, 0), len(text) - 1)))
                 lo = max(lo, int(at[w.first[r]]))
                 hi = min(hi, int(at[w.first[r + 1]]) - 2 if w.first[r + 1] < len(at) else len(text) - 2)
+                # and ends on word bounds, so that a match does
+                lo, z = int(at[word(lo)]), word(hi - 1)
+                hi = int(at[z] + w.ends[z] - w.starts[z])
                 m = self.patterns[i].search(text, lo, hi)
                 if m:
                     a, b = word(m.start()), word(m.end() - 1)
                     fuzzy.append((r, a, b, i, sum(m.fuzzy_counts)))
-                    done = m.end()
+                    done = m.end() + 1
         return w, sure, fuzzy
 
 
