@@ -83,11 +83,12 @@ def j17(spark, sf_dir):
 def relation_edges(g: DataFrame) -> DataFrame:
     """Candidate relations: pairs with a hint, the best ``EDGES`` of each source (T8), with their features."""
     p = local_pairs(marked(g)).withColumn("hint", F.expr(G.relation_hint("s_", "t_"))).where("hint is not null")
-    for name, sql in G.edge_features("s_", "t_").items():
-        p = p.withColumn(name, F.expr(sql) if sql.startswith("case") else F.round(F.expr(sql), 6))
+    features = {name: F.expr(sql) if sql.startswith("case") else F.round(F.expr(sql), 6) for name, sql in G.edge_features("s_", "t_").items()}
+    # what the ranking needs comes first, the rest when it is done
+    p = p.withColumns({name: features.pop(name) for name in ("dx_over_height", "dy_over_height")})
     p = p.withColumn("edge_id", F.concat_ws(":", F.concat_ws("->", "s_node_id", "t_node_id"), "hint"))
     p = p.withColumn("place", F.expr(f"row_number() over (partition by s_node_id order by {G.hint_order('hint')}, round(abs(dx_over_height) + abs(dy_over_height), 6), edge_id)"))
-    return p.where(F.col("place") <= EDGES)
+    return p.where(F.col("place") <= EDGES).withColumns(features)
 
 
 _FEATURES = ", ".join(f"{sql if sql.startswith('case') else f'round({sql}, 6)'} as {name}" for name, sql in G.edge_features("s.", "t.").items())
