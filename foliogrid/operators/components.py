@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +15,9 @@ EDGES_A_TASK = 100_000
 ONE_TASK = 500_000
 
 
-def _union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _union_find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     root: dict = {}
+    kind = None
 
     def find(x):
         path = []
@@ -28,13 +29,14 @@ def _union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return x
 
     for edges in parts:
-        for u, v in zip(edges["u"].tolist(), edges["v"].tolist(), strict=True):
+        kind = edges.schema.field(0).type
+        for u, v in zip(edges.column(0).to_pylist(), edges.column(1).to_pylist(), strict=True):
             a, b = find(u), find(v)
             if a != b:
                 root[max(a, b)] = min(a, b)
     nodes = list(root)
     if nodes:
-        yield pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]})
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "component"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
@@ -56,7 +58,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task:
     count = e.count()
     if count <= one_task:
         kind = e.schema["u"].dataType.simpleString()
-        return e.coalesce(1).mapInPandas(_union_find, f"node {kind}, component {kind}")
+        return e.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}")
     # few edges need few tasks: each writes a file for each shuffle
     parts = count // EDGES_A_TASK + 1
     e = e.coalesce(parts)
