@@ -5,9 +5,18 @@ A page is a bounded group; nothing crosses pages.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+#: Boxes of pages that are clustered side by side, or so.
+CELLS = 1 << 15
 
 
 def _shared_of_smaller(box: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -36,6 +45,41 @@ def suppressed(boxes: DataFrame, keys: list[str], least: float = 0.85) -> DataFr
     return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
 
 
+def _clusters(xy: np.ndarray, sizes: np.ndarray, across: float, overhang: float, down: float) -> np.ndarray:
+    """The cluster of each box, pages after each other and each from top to bottom: the i-th boxes of pages of about one size join together."""
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(len(xy), np.int32)
+    for level in np.unique(np.frexp(sizes[sizes > 0])[1]):
+        alike = np.flatnonzero((np.frexp(sizes)[1] == level) & (sizes > 0))
+        alike = alike[np.argsort(-sizes[alike], kind="stable")]
+        step = max(1, CELLS >> int(level))
+        for own in (alike[i : i + step] for i in range(0, len(alike), step)):
+            united, count = np.full((len(own), 1, 4), np.nan), np.zeros(len(own), np.int64)
+            for i in range(sizes[own[0]]):
+                active = int(np.searchsorted(-sizes[own], -i, "left"))
+                at, rows, most = first[own[:active]] + i, np.arange(active), int(count[:active].max())
+                if most == united.shape[1]:
+                    united = np.concatenate([united, np.full_like(united, np.nan)], axis=1)  # twice as wide
+                b, u = xy[at], united[:active, : most + 1]
+                x0, y0, x1, y1 = (b[:, None, k] for k in range(4))
+                u0, v0, u1, v1 = (u[:, :, k] for k in range(4))
+                # a place without a cluster is nan, which is near nothing
+                gap_x = np.maximum(0, np.maximum(x0, u0) - np.minimum(x1, u1))
+                gap_y = np.maximum(0, np.maximum(y0, v0) - np.minimum(y1, v1))
+                tall = np.maximum(np.maximum(y1 - y0, 1), np.maximum(v1 - v0, 1))
+                level_with = np.minimum(y1, v1) - np.maximum(y0, v0) >= -1.25 * tall
+                over = np.minimum(x1, u1) - np.maximum(x0, u0) >= -overhang
+                near = (level_with & (gap_x <= across)) | (over & (gap_y <= down))
+                joins = near.any(axis=1)
+                k = np.where(joins, np.argmin(np.where(near, gap_x + gap_y, np.inf), axis=1), count[:active])
+                old = united[rows, k]
+                both = np.concatenate([np.minimum(old[:, :2], b[:, :2]), np.maximum(old[:, 2:], b[:, 2:])], axis=1)
+                united[rows, k] = np.where(joins[:, None], both, b)
+                count[:active] += ~joins
+                out[at] = k
+    return out
+
+
 def clustered(boxes: DataFrame, keys: list[str], across: float = 36.0, overhang: float = 18.0, down: float = 16.0) -> DataFrame:
     """Boxes of a page with ``cluster``, its number on the page.
 
@@ -43,27 +87,20 @@ def clustered(boxes: DataFrame, keys: list[str], across: float = 36.0, overhang:
     and about level, or above or below within ``down``.
     """
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "id"]).reset_index(drop=True)
-        xy = page[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        united = np.zeros((0, 4))
-        numbers = []
-        for b in xy:
-            gap_x = np.maximum(0, np.maximum(b[0], united[:, 0]) - np.minimum(b[2], united[:, 2]))
-            gap_y = np.maximum(0, np.maximum(b[1], united[:, 1]) - np.minimum(b[3], united[:, 3]))
-            tall = np.maximum(max(b[3] - b[1], 1), np.maximum(united[:, 3] - united[:, 1], 1))
-            level = np.minimum(b[3], united[:, 3]) - np.maximum(b[1], united[:, 1]) >= -1.25 * tall
-            over = np.minimum(b[2], united[:, 2]) - np.maximum(b[0], united[:, 0]) >= -overhang
-            near = (level & (gap_x <= across)) | (over & (gap_y <= down))
-            if near.any():
-                k = int(np.argmin(np.where(near, gap_x + gap_y, np.inf)))
-                united[k] = [*np.minimum(united[k, :2], b[:2]), *np.maximum(united[k, 2:], b[2:])]
-            else:
-                k = len(united)
-                united = np.vstack([united, b])
-            numbers.append(k)
-        return page.assign(cluster=np.array(numbers, np.int32))
-
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    return boxes.groupBy(*keys).applyInPandas(run, StructType([*boxes.schema.fields, StructField("cluster", IntegerType())]))
+    columns = boxes.columns
+    names = [c for c in columns if c not in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            sizes = np.diff(np.asarray(lists.offsets))
+            page = np.repeat(np.arange(len(sizes)), sizes)
+            flat = pa.RecordBatch.from_struct_array(lists.flatten())
+            key = pa.table({"page": page, "y0": flat.column("y0"), "x0": flat.column("x0"), "id": flat.column("id")})
+            flat = flat.take(pc.sort_indices(key, [(c, "ascending") for c in key.column_names]))
+            xy = np.stack([flat.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], axis=1)
+            held = {k: batch.column(i).take(pa.array(page)) for i, k in enumerate(keys)} | {c: flat.column(c) for c in names}
+            yield pa.RecordBatch.from_arrays([*[held[c] for c in columns], pa.array(_clusters(xy, sizes, across, overhang, down))], [*columns, "cluster"])
+
+    pages = boxes.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("__rows"))
+    return pages.mapInArrow(run, StructType([*boxes.schema.fields, StructField("cluster", IntegerType())]))
