@@ -126,11 +126,8 @@ _STATS = {
 )
 def g08_graph(spark, sf_dir):
     """A pair among its graph: counts, spans, degrees, distances and their ranks."""
-    d = graph_distances(page_nodes(spark, sf_dir))
-    w = d.selectExpr("*", *[f"{sql} as {name}" for name, sql in _STATS.items()])
-    ins = d.groupBy("page_num", F.col("target").alias("source")).agg(F.count("*").alias("source_in"))
-    outs = d.groupBy("page_num", F.col("source").alias("target")).agg(F.count("*").alias("target_out"))
-    x = w.join(ins, ["page_num", "source"], "left").join(outs, ["page_num", "target"], "left").na.fill(0, ["source_in", "target_out"])
+    d = graph_distances(page_nodes(spark, sf_dir), degrees=True)
+    x = d.selectExpr("*", *[f"{sql} as {name}" for name, sql in _STATS.items()])
     return x.selectExpr("source", "target", *[f"round(cast({sql} as double), 6) as {name}" for name, sql in _GRAPH_FEATURES.items()])
 
 

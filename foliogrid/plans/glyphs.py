@@ -135,13 +135,21 @@ _GRAPH = f"""{_NEAREST}, gb as (select page_num, count(*) as nodes, count(*) fil
   d as (select near.page_num, source, target, a.node_type as s_type, b.node_type as t_type, gb.*exclude (page_num), {_page_distance('a.', 'b.')} / greatest(gw, gh, 1.0) as distance from near join nodes a on a.page_num = near.page_num and a.node_id = source join nodes b on b.page_num = near.page_num and b.node_id = target join gb on gb.page_num = near.page_num)"""
 
 
-def graph_distances(nodes: DataFrame) -> DataFrame:
-    """The nearest pairs with their pages' counts and spans, and their distance as a share of the larger span."""
+def graph_distances(nodes: DataFrame, degrees: bool = False) -> DataFrame:
+    """The nearest pairs with their pages' counts and spans, and their distance as a share of the larger span.
+
+    ``degrees`` adds ``source_in``, the pairs that end at a pair's source, and ``target_out``, those that start at its target. They are
+    counted before distances are known and reach the nodes, of which there are many times fewer than pairs.
+    """
     near = pairs.nearest_pairs(nodes).select("page_num", "source", "target")
     box = nodes.groupBy("page_num").agg(F.count("*").alias("nodes"), F.expr("count_if(node_type = 'glyph')").alias("glyph_count"), F.expr("count_if(node_type = 'vector')").alias("vector_count"), F.expr("greatest(max(x1) - min(x0), 0.000001D)").alias("gw"), F.expr("greatest(max(y1) - min(y0), 0.000001D)").alias("gh"))
     side = lambda p, k: nodes.select("page_num", F.col("node_id").alias(k), F.col("node_type").alias(f"{p}_type"), *[F.col(c).alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")])
-    d = near.join(side("s", "source"), ["page_num", "source"]).join(side("t", "target"), ["page_num", "target"]).join(box, "page_num")
-    return d.selectExpr("page_num", "source", "target", "s_type", "t_type", "nodes", "glyph_count", "vector_count", "gw", "gh", f"{_page_distance('s_', 't_')} / greatest(gw, gh, 1.0D) as distance")
+    s, t = side("s", "source"), side("t", "target")
+    if degrees:
+        s = s.join(near.groupBy("page_num", F.col("target").alias("source")).agg(F.count("*").alias("source_in")), ["page_num", "source"], "left").na.fill(0, ["source_in"])
+        t = t.join(near.groupBy("page_num", F.col("source").alias("target")).agg(F.count("*").alias("target_out")), ["page_num", "target"], "left").na.fill(0, ["target_out"])
+    d = near.join(s, ["page_num", "source"]).join(t, ["page_num", "target"]).join(box, "page_num")
+    return d.selectExpr(*(["source_in", "target_out"] if degrees else []), "page_num", "source", "target", "s_type", "t_type", "nodes", "glyph_count", "vector_count", "gw", "gh", f"{_page_distance('s_', 't_')} / greatest(gw, gh, 1.0D) as distance")
 
 
 @query(
