@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliogrid.functions import geometry as G
 from foliogrid.operators import pairs
 from foliogrid.plans.base import GLYPHS, query
-from foliogrid.plans.glyphs import _GRAPH, _NEAREST, _NODES, graph_distances, page_nodes
+from foliogrid.plans.glyphs import _GRAPH, _NEAREST, _NODES, graph_distances, page_distance, page_nodes
 
 #: How level and how near letters of one run stand, and the gap of a node without a neighbour.
 LEVEL, NEAR, ALONE = 0.72, 1.25, 10.0
@@ -126,8 +126,23 @@ _STATS = {
 )
 def g08_graph(spark, sf_dir):
     """A pair among its graph: counts, spans, degrees, distances and their ranks."""
-    d = graph_distances(page_nodes(spark, sf_dir), degrees=True)
-    x = d.selectExpr("*", *[f"{sql} as {name}" for name, sql in _STATS.items()])
+    nodes, page = page_nodes(spark, sf_dir), "over (partition by page_num)"
+    seen = nodes.selectExpr("page_num", "node_id", "node_type", "x0", "y0", "x1", "y1", "(x0 + x1) / 2 as x", "(y0 + y1) / 2 as y", "row_number() over (partition by page_num order by x0, y0, node_id) as ord", f"count(*) {page} as nodes")
+    # pages up to `ALL` are dealt by page once: pairs carry what they need, and no join or window deals them anew
+    small = seen.where(f"nodes <= {pairs.ALL}")
+    p = pairs.twin(small).where("s_node_id <> t_node_id or s_node_type = 'vector'").withColumn("self", F.expr("s_node_id = t_node_id"))
+    p = p.withColumn("score", F.expr(f"sqrt(power(t_x - s_x, 2) + power(t_y - s_y, 2)) + abs(t_ord - s_ord) * {pairs.STEP}D"))
+    p = p.withColumn("nearest", F.expr("row_number() over (partition by s_page_num, s_node_id order by self, round(score, 9), t_node_id)")).where(f"self or nearest <= {pairs.NEIGHBOURS}")
+    box = small.groupBy("page_num").agg(F.expr("count_if(node_type = 'glyph')").alias("glyph_count"), F.expr("count_if(node_type = 'vector')").alias("vector_count"), F.expr("greatest(max(x1) - min(x0), 0.000001D)").alias("gw"), F.expr("greatest(max(y1) - min(y0), 0.000001D)").alias("gh"))
+    d = p.selectExpr("s_page_num as page_num", "s_node_id as source", "t_node_id as target", "s_node_type as s_type", "t_node_type as t_type", "s_nodes as nodes", *[f"{q}_{c}" for q in "st" for c in ("x0", "y0", "x1", "y1")]).join(box, "page_num")
+    d = d.selectExpr("page_num", "source", "target", "s_type", "t_type", "nodes", "glyph_count", "vector_count", "gw", "gh", f"{page_distance('s_', 't_')} / greatest(gw, gh, 1.0D) as distance")
+    w = d.selectExpr("*", *[f"{sql} as {name}" for name, sql in _STATS.items()])
+    # a node's degrees are looked up in its page's, so that pairs stay where they are
+    counted = lambda side, name: p.groupBy("s_page_num", f"{side}_node_id").agg(F.count("*").alias("n")).groupBy(F.col("s_page_num").alias("page_num")).agg(F.map_from_entries(F.collect_list(F.struct(f"{side}_node_id", "n"))).alias(name))
+    ends, starts = counted("s", "outs"), counted("t", "ins")
+    w = w.join(ends, "page_num").join(starts, "page_num").selectExpr("*", "coalesce(try_element_at(ins, source), 0) as source_in", "coalesce(try_element_at(outs, target), 0) as target_out").drop("ins", "outs")
+    large = graph_distances(seen.where(f"nodes > {pairs.ALL}").select("page_num", "node_id", "node_type", "x0", "y0", "x1", "y1"), degrees=True)
+    x = w.unionByName(large.selectExpr("*", *[f"{sql} as {name}" for name, sql in _STATS.items()]))
     return x.selectExpr("source", "target", *[f"round(cast({sql} as double), 6) as {name}" for name, sql in _GRAPH_FEATURES.items()])
 
 

@@ -127,12 +127,12 @@ def a26(spark, sf_dir):
     return own.join(top, "page_num").join(h, "page_num", "left").selectExpr("page_num", "glyphs", "coalesce(edges, 0) as edges", "coalesce(hints, '') as hints", "fonts", "top_fonts", "math_glyphs", "script_glyphs", "unknown_glyphs")
 
 
-def _page_distance(a: str, b: str) -> str:
+def page_distance(a: str, b: str) -> str:
     return f"sqrt(power({G.centre(b, 'x')} - {G.centre(a, 'x')}, 2) + power({G.centre(b, 'y')} - {G.centre(a, 'y')}, 2))"
 
 
 _GRAPH = f"""{_NEAREST}, gb as (select page_num, count(*) as nodes, count(*) filter (where node_type = 'glyph') as glyph_count, count(*) filter (where node_type = 'vector') as vector_count, greatest(max(x1) - min(x0), 0.000001) as gw, greatest(max(y1) - min(y0), 0.000001) as gh from nodes group by page_num),
-  d as (select near.page_num, source, target, a.node_type as s_type, b.node_type as t_type, gb.*exclude (page_num), {_page_distance('a.', 'b.')} / greatest(gw, gh, 1.0) as distance from near join nodes a on a.page_num = near.page_num and a.node_id = source join nodes b on b.page_num = near.page_num and b.node_id = target join gb on gb.page_num = near.page_num)"""
+  d as (select near.page_num, source, target, a.node_type as s_type, b.node_type as t_type, gb.*exclude (page_num), {page_distance('a.', 'b.')} / greatest(gw, gh, 1.0) as distance from near join nodes a on a.page_num = near.page_num and a.node_id = source join nodes b on b.page_num = near.page_num and b.node_id = target join gb on gb.page_num = near.page_num)"""
 
 
 def graph_distances(nodes: DataFrame, degrees: bool = False) -> DataFrame:
@@ -149,7 +149,7 @@ def graph_distances(nodes: DataFrame, degrees: bool = False) -> DataFrame:
         s = s.join(near.groupBy("page_num", F.col("target").alias("source")).agg(F.count("*").alias("source_in")), ["page_num", "source"], "left").na.fill(0, ["source_in"])
         t = t.join(near.groupBy("page_num", F.col("source").alias("target")).agg(F.count("*").alias("target_out")), ["page_num", "target"], "left").na.fill(0, ["target_out"])
     d = near.join(s, ["page_num", "source"]).join(t, ["page_num", "target"]).join(box, "page_num")
-    return d.selectExpr(*(["source_in", "target_out"] if degrees else []), "page_num", "source", "target", "s_type", "t_type", "nodes", "glyph_count", "vector_count", "gw", "gh", f"{_page_distance('s_', 't_')} / greatest(gw, gh, 1.0D) as distance")
+    return d.selectExpr(*(["source_in", "target_out"] if degrees else []), "page_num", "source", "target", "s_type", "t_type", "nodes", "glyph_count", "vector_count", "gw", "gh", f"{page_distance('s_', 't_')} / greatest(gw, gh, 1.0D) as distance")
 
 
 @query(

@@ -1,5 +1,6 @@
 """Pages that are worked on side by side against one page at a time, and plans without a Python call for each page."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +68,24 @@ def test_order_of_relations_changes_no_structure(spark):
     rows = [(1, f"n{i}", f"n{j}", kind, 0.5) for i in range(6) for j in range(i + 1, 6) for kind in ("NEXT", "SUP", "SUB")]
     structures = [sorted(decode.decode(spark.createDataFrame(r, "row_id long, source string, target string, relation string, confidence double").coalesce(1)).collect()) for r in (rows, rows[::-1])]
     assert structures[0] == structures[1] and len(structures[0]) > 2
+
+
+def test_graph_features_deal_pairs_once(spark, tmp_path):
+    """Pages up to 72 nodes and one beyond against the SQL, and no exchange by a pair's ends."""
+    name = "g08_graph_features"
+    items = [(page, i % 7 + 1, i * 37 % 991 + 1, i * 11 % 97 + 1, float(i)) for page, n in ((1, 1), (2, 5), (3, 71), (4, 73)) for i in range(n)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = registry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as from '{tmp_path}/lineitem.parquet/*.parquet'")
+    expected = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in expected.description]
+    want = {r[:2]: r for r in expected.fetchall()}
+    got = {(r.source, r.target): tuple(r) for r in df.select(*columns).collect()}
+    assert got.keys() == want.keys()
+    # pages of more than 72 nodes look at windows, and their nearest are exact
+    for k, row in want.items():
+        assert got[k] == pytest.approx(row, abs=2e-6), k
+    # degrees come from a page's map, not from a join by a pair's ends
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" in plan
