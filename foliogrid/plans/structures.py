@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliogrid.operators import decode, latex, layout, parser, trees
 from foliogrid.plans.base import formulas, glyphs, query
 from foliogrid.plans.glyphs import relation_edges
-from foliogrid.session import table
+from foliogrid.session import cut, table
 
 #: A pair's hint as the relation that it suggests.
 RELATION_OF_HINT = "case hint when 'right_neighbor' then 'NEXT' when 'superscript_zone' then 'SUP' when 'subscript_zone' then 'SUB' when 'above_zone' then 'OVER' when 'below_zone' then 'UNDER' else 'NONE' end"
@@ -66,10 +66,10 @@ def _pairs(spark, sf_dir):
 @query("x08_parsed_relations")
 def x08(spark, sf_dir):
     """Relations of all pairs by a network fitted on a sample, decoded into one agreeing structure for each page."""
-    pairs = _pairs(spark, sf_dir)
+    pairs = cut(_pairs(spark, sf_dir))  # made once for the sample and for all
     network = parser.fit(pairs)
     said = pairs.withColumn("p", parser.predicted(pairs, network)).selectExpr("row_id", "source", "target", "p.relation as relation", "bround(p.confidence, 4) as confidence")
-    return decode.decode(said.where("relation <> 'NONE'")).where("rank = 1")
+    return decode.decode(said.where("relation <> 'NONE'"), best=1)
 
 
 @query("a27_parser_metrics")

@@ -54,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a method up to which HotSpot compiles it; a larger one is interpreted, however often it runs.
+HUGE_METHOD = "8000"
+
+
+def compilable(df: DataFrame) -> DataFrame:
+    """Let steps whose generated code is too long for the JVM's compiler run as smaller methods; it is set in the caller's session."""
+    df.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
+    return df
+
+
 #: Rows and bytes a side may have to be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
 
