@@ -25,6 +25,26 @@ def test_bounds_lose_nothing():
             assert M.best_like(base[1:], texts, least, strictly) == brute(base[1:], texts, least, strictly)
 
 
+def test_likest_of_many_compares_few(monkeypatch):
+    rng = random.Random(2)
+    for width in (40, 300):
+        for _ in range(60):
+            texts = ["".join(rng.choice("abcd e") for _ in range(rng.randrange(0, width))) for _ in range(8)]
+            texts += ["".join(c for c in rng.choice(texts) if rng.random() < 0.9) for _ in range(3)] + texts[:2]
+            for asked in filter(None, (texts[9], texts[3][1:], texts[1] + "é", "zz")):
+                for least, strictly in ((0.6, True), (0.88, False)):
+                    want = brute(asked, texts, least, strictly)
+                    assert M.Likest(texts).best(asked, least, strictly) == want == M.best_like(asked, texts, least, strictly)
+    assert M.Likest([]).best("a", 0.6, True) == (-1, 0.0)
+    compared = []
+    ratio = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: compared.append(1) or ratio(self))
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(300)]
+    likest = M.Likest(lines)
+    assert [likest.best(x, 0.6, True) for x in lines] == [(i, 1.0) for i in range(300)] and not compared
+    assert [likest.best(x[:-1] + "#", 0.6, True)[0] for x in lines] == list(range(300)) and len(compared) < 3000
+
+
 def test_paragraphs_and_blocks(spark):
     clean = [(1, "The first line\nof a paragraph\n\nZhe second paragraph is here\n\n  \n\nA third one, quite different."), (2, None)]
     blocks = [(1, "b0", "The first line of a paragraf"), (1, "b1", "The second paragraph is here"), (1, "b2", "short"), (1, "b3", "nothing of the kind 12345"), (2, "b0", "The second paragraph is here"), (1, "b4", None)]
