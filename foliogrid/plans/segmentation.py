@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliogrid.functions import geometry as G
@@ -12,7 +13,7 @@ from foliogrid.plans import duck as D
 from foliogrid.plans.base import BLOCKS, FORMULAS, GLYPHS, blocks, formulas, glyphs, query
 from foliogrid.operators.pairs import local_pairs
 from foliogrid.plans.glyphs import _EDGES, relation_edges
-from foliogrid.session import table
+from foliogrid.session import cut, table
 
 #: Densities and shares of width that make a line a display seed.
 LEAST_DENSITY, STRONG_DENSITY, FULL_WIDTH, SEED = 0.12, 0.32, 0.86, 0.72
@@ -74,12 +75,37 @@ def j32(spark, sf_dir):
 )
 def j22(spark, sf_dir):
     """Blocked partners scoped by page: the page's own first, then two pages round it, then the rest."""
-    n = formulas(spark, sf_dir).selectExpr("result_id as id", f"{X.formula_normal('latex')} as normal", "stage", "page_num", "page_num + result_id % 3 as last_page").withColumn("token", F.explode(F.expr(X.match_tokens("normal"))))
-    a = n.where("stage = 'local_precise'").selectExpr("id as left_id", "length(normal) as ln", "page_num as page", "token")
-    b = n.where("stage = 'parsed_blocks'").selectExpr("id as right_id", "length(normal) as rn", "page_num as first_page", "last_page", "token")
-    p = a.join(b, "token").groupBy("left_id", "right_id", "page", "first_page", "last_page", "ln", "rn").agg(F.count("*").alias("shared"))
-    k = p.withColumn("tier", F.expr("case when page between first_page and last_page then 0 when page between first_page - 2 and last_page + 2 then 1 else 2 end"))
-    return k.withColumn("place", F.expr("row_number() over (partition by left_id order by tier, shared desc, abs(rn - ln), right_id)")).where("place <= 5").select("left_id", "right_id", "tier", "place")
+    n = formulas(spark, sf_dir).selectExpr("result_id as id", f"{X.formula_normal('latex')} as normal", "stage", "page_num", "page_num + result_id % 3 as last_page")
+    a = n.where("stage = 'local_precise'").selectExpr("id", "normal", "page_num as page")
+    b = n.where("stage = 'parsed_blocks'").selectExpr("id", "normal", "page_num as first_page", "last_page")
+    return scoped_blocking(a, b)
+
+
+def scoped_blocking(left: DataFrame, right: DataFrame, limit: int = 5) -> DataFrame:
+    """(left_id, right_id, tier, place): the ``limit`` best partners by tier, shared tokens, length and id, from (id, normal, page) and (id, normal, first_page, last_page).
+
+    Equal forms on a page have equal partners, so different forms meet on their tokens; of a form's ids in a tier of a page the first ``limit`` can count.
+    Pages meet spans of pages as different values, of which there are few.
+    """
+    forms = lambda df, k: cut(df.select("normal").distinct().withColumn(k, F.monotonically_increasing_id()))
+    lf, rf = forms(left, "l"), forms(right, "r")
+    tokens = lambda df, k: df.selectExpr(k, f"length(normal) as {k}n", f"explode({X.match_tokens('normal')}) as token")
+    pairs = tokens(lf, "l").join(tokens(rf, "r"), "token").groupBy("l", "r", "ln", "rn").agg(F.count("*").alias("shared")).selectExpr("l", "r", "shared", "abs(rn - ln) as off")
+    own = cut(left.join(lf, "normal").select("id", "l", "page").distinct())
+    # a row that comes again shares its tokens again
+    others = right.groupBy("id", "normal", "first_page", "last_page").agg(F.count("*").alias("copies")).join(rf, "normal")
+    spans = ["r", "first_page", "last_page", "copies"]
+    others = cut(others.withColumn("k", F.expr(f"row_number() over (partition by {', '.join(spans)} order by id)")).where(F.col("k") <= limit).select("id", *spans))
+    tier = F.expr("case when page between first_page and last_page then 0 when page between first_page - 2 and last_page + 2 then 1 else 2 end")
+    tiers = own.select("page").distinct().crossJoin(others.select("first_page", "last_page").distinct()).withColumn("tier", tier)
+    met = others.join(tiers, ["first_page", "last_page"]).withColumn("k", F.expr("row_number() over (partition by r, page, tier, copies order by id)"))
+    met = cut(met.where(F.col("k") <= limit).selectExpr("r", "page", "tier", "copies", "id as right_id"))
+    # a form counts in a tier of a page if fewer than `limit` are better
+    near = pairs.join(met.select("r", "page", "tier", "copies").distinct(), "r").join(own.select("l", "page").distinct(), ["l", "page"], "left_semi").withColumn("shared", F.col("shared") * F.col("copies"))
+    near = near.withColumn("better", F.expr("rank() over (partition by l, page order by tier, shared desc, off)")).where(F.col("better") <= limit)
+    best = near.join(met, ["r", "page", "tier", "copies"]).withColumn("place", F.expr("row_number() over (partition by l, page order by tier, shared desc, off, right_id)")).where(F.col("place") <= limit).drop("place")
+    place = "row_number() over (partition by left_id order by tier, shared desc, off, right_id)"  # an id may have several forms
+    return own.withColumnRenamed("id", "left_id").join(best, ["l", "page"]).withColumn("place", F.expr(place)).where(F.col("place") <= limit).select("left_id", "right_id", "tier", "place")
 
 
 @query("j26_markdown_paragraphs")
