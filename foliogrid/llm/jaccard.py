@@ -42,6 +42,8 @@ N, PERCENT = 3, 90
 FREQUENT = 250_000
 #: What a pair to compare costs, in list entries or enumerated subsets: it is shuffled twice with prefixes.
 PAIR = 10
+#: Bits of a set's parities.
+MARKS = 2048
 #: Pairs that one task compares, or so: few pairs need few tasks, each of which writes a file for each shuffle.
 PAIRS_A_TASK, ENTRIES_A_TASK = 2_000, 50_000
 
@@ -139,17 +141,23 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     return T.mapped(docs, run, f"doc_id {kind}, h1 long, h2 long, size int, grams array<long>")
 
 
+def _parities(h: np.ndarray) -> np.ndarray:
+    """For each of ``MARKS`` classes of hashes whether the set has an odd number of them, as bits of longs: two sets differ in as many elements at least as bits."""
+    odd = np.bincount((h & T.U(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _whole_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(h1, h2, grams) of each text's set."""
+    """(h1, h2, grams, marks) of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _sets(batch.column(0), n):
                 digests = [_digest(h) for h, _ in sets]
                 ends = np.concatenate([[0], np.cumsum([len(h) for h, _ in sets])])
-                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), T.list_array(pa.array(T.as_long(np.concatenate([h for h, _ in sets]))), ends)], ["h1", "h2", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), T.list_array(pa.array(T.as_long(np.concatenate([h for h, _ in sets]))), ends), T.list_array(pa.array(np.concatenate([_parities(h) for h, _ in sets])), np.arange(len(sets) + 1) * (MARKS // 64))], ["h1", "h2", "grams", "marks"])
 
-    return T.mapped(texts, run, "h1 long, h2 long, grams array<long>")
+    return T.mapped(texts, run, "h1 long, h2 long, grams array<long>, marks array<long>")
 
 
 def choose_boundary(histogram: list[tuple[int, int, float]], percent: int) -> int:
@@ -177,7 +185,8 @@ def _links(pairs: DataFrame, prefix: DataFrame, classes: DataFrame, docs: DataFr
     """The (a, b) of pairs (node, pivot) whose sets have Jaccard >= percent / 100.
 
     What two sets share is in both prefixes or behind the one that ends first, so c shared elements of the
-    prefixes bound the intersection by c + the longer rest. Only pairs that pass fetch whole sets.
+    prefixes bound the intersection by c + the longer rest. Pairs that pass are held against the sets' parities, 256 bytes each,
+    which bound from below how much two sets differ. Only pairs that pass again fetch whole sets.
     """
     asked = small(pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct())
     parts = pairs.count() // PAIRS_A_TASK + 1
@@ -192,9 +201,17 @@ def _links(pairs: DataFrame, prefix: DataFrame, classes: DataFrame, docs: DataFr
     wanted = small(involved.select(F.col("least").alias("wanted")).distinct())
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     known = _whole_sets(texts.select("text"), n)
-    sets = cut(known.join(small(involved.select("h1", "h2", "node")), ["h1", "h2"]).groupBy("node").agg(F.first("grams").alias("grams")).coalesce(parts))
-    other = sets.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
-    compared = near.join(sets, "node").join(other, "pivot").withColumn("both", F.size(F.array_intersect("grams", "pivot_grams")))
+    sets = cut(known.join(small(involved.select("h1", "h2", "node")), ["h1", "h2"]).select("node", "grams", "marks"))
+    if sets.count() > involved.count():  # rows that repeat an id, or have none, hold a set again
+        sets = cut(sets.groupBy("node").agg(F.first("grams").alias("grams"), F.first("marks").alias("marks")).coalesce(parts))
+    marks = sets.select("node", F.size("grams").alias("size"), "marks")
+    differ = F.expr("aggregate(zip_with(marks, pivot_marks, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)")
+    met = marks.join(small(near), "node").join(marks.select(*[F.col(c).alias(f"pivot_{c}" if c != "node" else "pivot") for c in marks.columns]), "pivot")
+    near = cut(met.where(differ * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("pivot_size"))).select("node", "pivot").coalesce(parts))
+    # whole sets are what a shuffle here is made of: each side takes those that it looks for
+    side = lambda c: sets.select("node", "grams").join(small(near.select(F.col(c).alias("node")).distinct()), "node", "left_semi")
+    other = side("pivot").select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
+    compared = side("node").join(small(near), "node").join(other, "pivot").withColumn("both", F.size(F.array_intersect("grams", "pivot_grams")))
     return compared.where(F.expr(f"100 * both >= {percent} * (size(grams) + size(pivot_grams) - both)")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
 
@@ -215,9 +232,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # an entry's place bounds the size of a partner that it can still link with
     reach = F.expr(f"cast(({100 + percent} * (size - pos)) div {percent} - size as int)")
-    entries = prefix.select("node", "size", F.posexplode(F.slice("grams", F.lit(1), F.col("p"))).alias("pos", "key")).withColumn("reach", reach)
+    entries = prefix.select("node", "size", F.posexplode(F.slice("grams", F.lit(1), F.col("p"))).alias("pos", "key"))
     lists = entries.groupBy("key").agg(F.count("*").alias("entries"), F.min("size").alias("smallest")).where("entries > 1")
-    shared = cut(entries.join(lists, "key").where("reach >= smallest").drop("smallest", "entries"))
+    # most entries stand alone in their list: until that is known, size and place go as one number, and what follows from them doesn't
+    packed = entries.select("key", "node", F.expr("shiftleft(cast(size as long), 32) | cast(pos as long)").alias("place")).join(lists, "key")
+    unpacked = packed.select("key", "node", F.expr("cast(shiftright(place, 32) as int)").alias("size"), F.expr("cast(place & 4294967295 as int)").alias("pos"), "smallest")
+    shared = cut(unpacked.withColumn("reach", reach).where("reach >= smallest").drop("smallest"))
     kept = shared.groupBy("size").agg(F.count("*").alias("kept"))
     histogram = [(r[0], r[1], (r[2] or 0) / r[1]) for r in prefix.groupBy("size").count().join(kept, "size", "left").collect()]  # by size: bounded by the longest text
     boundary = choose_boundary(_coarse(histogram), percent)
