@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIKE, HEAD, SHORTEST = 0.6, 200, 10
+LIKE, SHORTEST = 0.6, 10
 SAME_TITLE = 0.88
 
 
@@ -44,11 +44,12 @@ class Likest:
     """``best_like`` for many texts against the same others.
 
     Equal ones are looked up; the rest are tried in order of the bound by characters in common, worked out for all others at once, until
-    no bound reaches the best ratio. Equal ratios go to the first other, as there.
+    no bound reaches the best ratio. Equal ratios go to the first other, as there. Without ``autojunk`` frequent characters of texts of
+    200 and more count as well.
     """
 
-    def __init__(self, others: list[str]):
-        self.others = others
+    def __init__(self, others: list[str], autojunk: bool = True):
+        self.others, self.autojunk = others, autojunk
         self.first = {x: i for i, x in reversed(list(enumerate(others)))}
         self.counts: tuple[dict[str, int], np.ndarray, np.ndarray] | None = None
 
@@ -72,7 +73,7 @@ class Likest:
             return (self.first[text], 1.0) if 1.0 > least or not strictly and least == 1.0 else (-1, 0.0)
         bound = self._bounds(text)
         best, at = 0.0, -1
-        matcher = difflib.SequenceMatcher(None, autojunk=True)
+        matcher = difflib.SequenceMatcher(None, autojunk=self.autojunk)
         near = np.flatnonzero(bound >= least)
         for i in near[np.argsort(-bound[near], kind="stable")].tolist():
             if bound[i] < best:
@@ -91,7 +92,7 @@ def paragraphs(text: str) -> list[str]:
 
 def paragraphs_of_blocks(blocks: DataFrame, clean: DataFrame, least: float = LIKE) -> DataFrame:
     """(doc_id, block_id, paragraph, score): for each block (doc_id, block_id, content) the likest paragraph of its document's clean text
-    (doc_id, text), by their first ``HEAD`` characters, if it is liker than ``least``; blocks of fewer than ``SHORTEST`` characters have none.
+    (doc_id, text), if it is liker than ``least``; blocks of fewer than ``SHORTEST`` characters have none. Both are compared whole, however long.
 
     A text goes to Python once for each batch of its blocks; equal blocks of a document are compared once.
     """
@@ -103,12 +104,11 @@ def paragraphs_of_blocks(blocks: DataFrame, clean: DataFrame, least: float = LIK
             for doc, block, content, text in zip(batch["doc_id"], batch["block_id"], batch["content"], batch["text"], strict=True):
                 if text not in held:
                     every = paragraphs(text)
-                    held[text] = (every, Likest([p[:HEAD] for p in every]), {})
+                    held[text] = (every, Likest(every, autojunk=False), {})
                 own, likest, known = held[text]
-                head = content[:HEAD]
-                if head not in known:
-                    known[head] = likest.best(head, least, True)
-                at, score = known[head]
+                if content not in known:
+                    known[content] = likest.best(content, least, True)
+                at, score = known[content]
                 if at >= 0:
                     rows.append((doc, block, own[at], round(score, 6)))
             yield pd.DataFrame(rows, columns=["doc_id", "block_id", "paragraph", "score"])

@@ -52,6 +52,16 @@ def test_paragraphs_and_blocks(spark):
     assert {(r.doc_id, r.block_id): r.paragraph for r in got.collect()} == {(1, "b0"): "The first line\nof a paragraph", (1, "b1"): "Zhe second paragraph is here"}
 
 
+def test_paragraphs_are_compared_whole(spark):
+    rng = random.Random(4)
+    said = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n)).replace("  ", " a").strip()
+    head, tail, other = said(250), said(700), said(700)
+    clean = [(1, f"{head} {other}\n\n{head} {tail}\n\n{tail}"), (2, f"{head} {other}"), (3, f"{said(250)} {tail}")]
+    blocks = [(1, "b0", f"{head} {tail}!"), (1, "b1", f"#{tail}"), (2, "b0", f"{head} {'0123456789' * 70}"), (3, "b0", f"{head} {tail}")]
+    got = M.paragraphs_of_blocks(spark.createDataFrame(blocks, "doc_id long, block_id string, content string"), spark.createDataFrame(clean, "doc_id long, text string"))
+    assert {(r.doc_id, r.block_id): r.paragraph for r in got.collect()} == {(1, "b0"): f"{head} {tail}", (1, "b1"): tail, (3, "b0"): clean[2][1]}
+
+
 def test_titles(spark):
     outline = [(1, "introduction", 0), (1, "relatedwork", 3), (1, "relatedworks", 5), (2, "other", 1)]
     asked = [(1, "introduction"), (1, "zntroduction"), (1, "relatedwork"), (1, "conclusion"), (2, "introduction"), (3, "x")]
