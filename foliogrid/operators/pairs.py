@@ -46,6 +46,12 @@ def window(x0: np.ndarray, x1: np.ndarray, mid_y: np.ndarray, height: np.ndarray
 
 def local_pairs(nodes: DataFrame, key: str = "page_num", node_id: str = "node_id", most: int = ALL) -> DataFrame:
     """``twin`` without a node's pair with itself, on large pages within windows."""
+    small, large = sided_pairs(nodes, key, node_id, most)
+    return small.unionByName(large)
+
+
+def sided_pairs(nodes: DataFrame, key: str = "page_num", node_id: str = "node_id", most: int = ALL) -> tuple[DataFrame, DataFrame]:
+    """``local_pairs`` of pages up to ``most`` nodes, which lie where their page does, and of larger ones; in a union of both, pairs would be dealt anew."""
     small, large = _sides(nodes, key, most)
     pairs = twin(small, key=key).where(f"s_{node_id} <> t_{node_id}")
     schema = pairs.schema
@@ -62,7 +68,7 @@ def local_pairs(nodes: DataFrame, key: str = "page_num", node_id: str = "node_id
         left, right = page.iloc[source].add_prefix("s_").reset_index(drop=True), page.iloc[target].add_prefix("t_").reset_index(drop=True)
         return pd.concat([left, right], axis=1)
 
-    return pairs.unionByName(large.groupBy(key).applyInPandas(run, schema))
+    return pairs, large.groupBy(key).applyInPandas(run, schema)
 
 
 def nearest(x: np.ndarray, y: np.ndarray, names: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from foliogrid.functions import geometry as G
 from foliogrid.functions import text as X
 from foliogrid.operators import pairs
-from foliogrid.operators.pairs import local_pairs
 from foliogrid.plans.base import BLOCKS, FORMULAS, GLYPHS, blocks, formulas, glyphs, query
 from foliogrid.session import compilable
 
@@ -86,13 +85,18 @@ def relation_edges(g: DataFrame) -> DataFrame:
 
     A source is a node of a page: ids may come again on other pages. Ranked by page, too, pairs stay where the page is.
     """
-    p = local_pairs(marked(compilable(g))).withColumn("hint", F.expr(G.relation_hint("s_", "t_"))).where("hint is not null")
     features = {name: F.expr(sql) if sql.startswith("case") else F.round(F.expr(sql), 6) for name, sql in G.edge_features("s_", "t_").items()}
     # what the ranking needs comes first, the rest when it is done
-    p = p.withColumns({name: features.pop(name) for name in ("dx_over_height", "dy_over_height")})
-    p = p.withColumn("edge_id", F.concat_ws(":", F.concat_ws("->", "s_node_id", "t_node_id"), "hint"))
-    p = p.withColumn("place", F.expr(f"row_number() over (partition by s_page_num, s_node_id order by {G.hint_order('hint')}, round(abs(dx_over_height) + abs(dy_over_height), 6), edge_id)"))
-    return p.where(F.col("place") <= EDGES).withColumns(features)
+    first = {name: features.pop(name) for name in ("dx_over_height", "dy_over_height")}
+    place = f"row_number() over (partition by s_page_num, s_node_id order by {G.hint_order('hint')}, round(abs(dx_over_height) + abs(dy_over_height), 6), edge_id)"
+
+    def best(p: DataFrame) -> DataFrame:
+        p = p.withColumn("hint", F.expr(G.relation_hint("s_", "t_"))).where("hint is not null").withColumns(first)
+        p = p.withColumn("edge_id", F.concat_ws(":", F.concat_ws("->", "s_node_id", "t_node_id"), "hint"))
+        return p.withColumn("place", F.expr(place)).where(F.col("place") <= EDGES)
+
+    small, large = pairs.sided_pairs(marked(compilable(g)))
+    return best(small).unionByName(best(large)).withColumns(features)
 
 
 _FEATURES = ", ".join(f"{sql if sql.startswith('case') else f'round({sql}, 6)'} as {name}" for name, sql in G.edge_features("s.", "t.").items())

@@ -27,3 +27,8 @@ def test_node_ids_that_come_again_on_other_pages(spark):
     by_page = relation_edges(g).groupBy("s_page_num").count()
     again = relation_edges(g.withColumn("node_id", F.concat(F.lit("g"), F.col("idx")))).groupBy("s_page_num").count()
     assert sorted(by_page.collect()) == sorted(again.collect())
+
+
+def test_pairs_of_small_pages_are_ranked_where_they_lie(spark):
+    text = relation_edges(glyphs(spark, PATH))._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Union") < text.index("Window")  # each side is ranked before both are united
